@@ -5,6 +5,253 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from leafmill.operators import filters, relations, reports, resources
+from leafmill.operators.convert import Engine
+from leafmill.plans import lowering
+from leafmill.sources import detect, text
+
+ENGINE = Engine()
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ENGINE.parse(_pages(spark, sf_dir), F.lit("page.html"), "html")
+
+
+# --------------------------------------------------------------------- text
+def text_paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = text.paragraphs(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("bigint").alias("paragraphs"))
+
+
+def text_soft_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = text.paragraphs(F.coalesce("text", F.lit("")))
+    breaks = F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + F.size(F.split(x, "\n", -1)) - 1)
+    return table(spark, sf_dir, "documents").select("doc_id", breaks.alias("soft_breaks"))
+
+
+def text_space_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(text.collapse(F.col("text"))).cast("bigint").alias("chars"))
+
+
+def text_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = text.paragraphs(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.size(p)).alias("paragraphs"), F.count("*").alias("messages"))
+
+
+def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = F.regexp_replace(F.col("text"), r"([\\`*\[\]<])", r"\\$1")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escaped.cast("binary"), 256).alias("escaped_sha256"))
+
+
+# --------------------------------------------------------------------- html
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ENGINE.convert(_pages(spark, sf_dir), F.lit("page.html"), "html")
+    return out.select(F.col("doc_id").alias("page_id"), "status", "n_blocks", "n_headings", "n_links", "markdown")
+
+
+def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ENGINE.convert(_pages(spark, sf_dir), F.lit("page.html"), "html")
+    return out.select(F.col("doc_id").alias("page_id"), F.col("n_headings").cast("bigint").alias("headings"), F.col("n_links").cast("bigint").alias("links"))
+
+
+def html_title_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _parsed(spark, sf_dir)
+    return out.select(F.col("doc_id").alias("page_id"), F.size("metadata").cast("bigint").alias("entries"), F.exists("inlines", lambda i: F.contains(F.coalesce(i["text"], F.lit("")), F.lit("track("))).alias("script_seen"))
+
+
+def html_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.transform(F.filter("inlines", lambda i: i["tag"] == "link"), lambda i: i["url"])
+    return _parsed(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.array_join(links, "|").alias("targets"))
+
+
+def html_heading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _parsed(spark, sf_dir)
+    heads = relations.blocks(parsed, "doc_id").where("tag = 'heading'").select("doc_id", F.col("node").alias("block"), "level")
+    return heads.join(relations.subtree_text(parsed, "doc_id"), ["doc_id", "block"]).select(F.col("doc_id").alias("page_id"), F.col("level").cast("bigint").alias("level"), F.btrim(F.regexp_replace("text", " +", " ")).alias("heading"))
+
+
+def block_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.blocks(_parsed(spark, sf_dir), "doc_id").groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+def subtree_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relations.blocks(_parsed(spark, sf_dir), "doc_id").select("doc_id", "node", "subtree_len", "tag")
+    return relations.containment(rows, "doc_id", outer=F.col("tag").isin("container", "list")).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+
+
+def tree_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that parsed pages break: none, so the result is one row of zero."""
+    return relations.violations(_parsed(spark, sf_dir), "doc_id").agg(F.count("*").alias("violations"))
+
+
+def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.size(F.filter("blocks", lambda b: b["tag"] == "list_item")).cast("bigint")
+    return _parsed(spark, sf_dir).select(F.col("doc_id").alias("page_id"), items.alias("items"))
+
+
+def round_trip_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = ENGINE.convert(_pages(spark, sf_dir), F.lit("page.html"), "html").select("doc_id", F.col("markdown").alias("a"))
+    twice = ENGINE.convert(once, F.lit("a.md"), "a", keep=("doc_id",)).select("doc_id", F.col("markdown").alias("b"))
+    thrice = ENGINE.convert(twice, F.lit("b.md"), "b", keep=("doc_id", "b"))
+    return thrice.select(F.col("doc_id").alias("page_id"), (F.col("b") == F.col("markdown")).alias("fixed"))
+
+
+# ---------------------------------------------------------------- detection
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_extract("url", r"^[^?#]*", 0)
+    fmt, code = detect.resolve(bare, F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", fmt.alias("format"), code.alias("code"))
+
+
+def sniff_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that begin like several formats, made from orders."""
+    k = F.col("o_orderkey") % 6
+    magic = F.when(k == 0, F.lit("%PDF-1.7")).when(k == 1, F.lit("{\\rtf1")).when(k == 2, F.lit("PK\x03\x04 word/document.xml")).when(k == 3, F.lit("PK\x03\x04 xl/workbook.xml")).when(k == 4, F.lit("PK\x03\x04 other")).otherwise(F.lit("plain"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(detect.sniff(magic.cast("binary")), F.lit("none")).alias("format"))
+
+
+def format_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typo = F.concat(F.substring(F.element_at(F.split("p_name", " ", -1), 1), 1, 1), F.element_at(F.array(*[F.lit(f) for f in detect.EXTENSIONS]), (F.col("p_partkey") % 19 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", detect.suggestion(typo).alias("suggestion"))
+
+
+# ------------------------------------------------------------- tree and plan
+def shift_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _parsed(spark, sf_dir).transform(filters.shift_headings(2))
+    return relations.blocks(out, "doc_id").where("tag = 'heading'").groupBy("level").agg(F.count("*").alias("n")).select(F.col("level").cast("bigint").alias("level"), "n")
+
+
+def strip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _parsed(spark, sf_dir).transform(filters.strip_classes("a*"))
+    left = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, b: a + F.coalesce(F.size(b["attrs"]["classes"]), F.lit(0)))
+    return out.select(F.col("doc_id").alias("page_id"), F.greatest(left, F.lit(0)).alias("classes_left"))
+
+
+def promote_first_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ENGINE.parse(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\nbody\n")).alias("md")), F.lit("x.md"), "md").transform(filters.promote_first_heading)
+    return out.select("doc_id", F.element_at(F.filter("metadata", lambda m: m["key"] == "title"), 1)["value"].alias("title"), F.size("blocks").cast("bigint").alias("n_blocks"))
+
+
+def loss_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ENGINE.convert(_pages(spark, sf_dir), F.lit("page.html"), "html")
+    price = lowering.add(lowering.cost(), lowering.reported())
+    return out.select(F.col("doc_id").alias("page_id"), *[price[c].alias(c) for c in ("c0", "c1", "c2")], *[lowering.refused(price, g).alias(g) for g in ("content", "structure", "exact")])
+
+
+def lowering_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan from nested rows agrees with what the writer did, document by document."""
+    rendered = ENGINE.render(_parsed(spark, sf_dir))
+    did = rendered.select("doc_id", F.explode("losses").alias("rule", "did"))
+    return lowering.hits(_parsed(spark, sf_dir)).join(did, ["doc_id", "rule"], "full").select("doc_id", "rule", "uses", "did", F.coalesce(F.col("uses") == F.col("did"), F.lit(False)).alias("same"))
+
+
+def choose_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest of the alternatives that line items stand for: by price, then stable id, then operation."""
+    zero = F.lit(0).cast("bigint")
+    cost = F.struct((F.col("l_quantity") % 3).cast("bigint").alias("c0"), (F.col("l_partkey") % 5).alias("c1"), (F.col("l_suppkey") % 7).alias("c2"), zero.alias("c3"), zero.alias("c4"), zero.alias("c5"))
+    alternatives = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), cost.alias("cost"), F.col("l_linenumber").alias("stable_id"), F.col("l_returnflag").alias("operation"))
+    return lowering.choose(alternatives, ["node"]).select("node", "stable_id", "operation", F.col("cost.c0").alias("c0"), F.col("cost.c1").alias("c1"), F.col("cost.c2").alias("c2"))
+
+
+def report_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("code"), F.lit("").alias("consequence"), F.lit("").alias("directions"),
+        F.when(F.col("value") > 90, "failure").when(F.col("value") > 50, "warning").otherwise("note").alias("severity"), (F.col("event_id") % 3 + 1).alias("count"), (F.col("event_id") % 7).cast("string").alias("context"),
+    )
+    out = reports.aggregate(rows, "doc_id")
+    return out.select("doc_id", "code", "count", F.col("severity_rank").cast("bigint").alias("severity_rank"), "seq", F.array_join("contexts", ",").alias("contexts"))
+
+
+def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreadsheet serials to dates and back to text."""
+    serial = F.datediff(F.to_date("l_shipdate"), F.lit("1899-12-30").cast("date"))
+    day = F.date_add(F.lit("1899-12-30").cast("date"), serial)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", serial.cast("bigint").alias("serial"), F.date_format(day, "yyyy-MM-dd").alias("day"))
+
+
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def width(c: str) -> F.Column:
+        return F.least(F.lit(30), F.greatest(F.lit(3), F.max(F.octet_length(F.col(c).cast("string"))))).cast("bigint").alias(c)
+
+    return table(spark, sf_dir, "nation").agg(width("n_nationkey"), width("n_name"), width("n_regionkey"))
+
+
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table rendered from CSV text that a query made."""
+    rows = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("rows"))
+    csv = F.concat(F.lit("key,name\n"), F.array_join(F.transform("rows", lambda r: F.concat(r["r_regionkey"].cast("string"), F.lit(","), r["r_name"])), "\n"))
+    out = ENGINE.convert(rows.select(F.lit(1).alias("doc_id"), csv.alias("content")), F.lit("region.csv"), "content")
+    return out.select("markdown")
+
+
+def resource_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx"), F.when(F.col("l_returnflag") == "R", "external").otherwise("embedded").alias("kind"), F.when(F.col("l_linestatus") == "O", "image/png").otherwise("image/jpeg").alias("mime"))
+    named = resources.resource_rows(rows, F.concat(F.lit("order-"), F.col("doc_id").cast("string")))
+    return named.select("doc_id", "idx", "name")
+
+
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as CSV documents of one record: cells come back as text."""
+    content = F.concat(F.lit('name,segment\n"'), F.col("c_name"), F.lit('",'), F.col("c_mktsegment"), F.lit("\r\n"))
+    out = ENGINE.parse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), content.alias("content")), F.lit("c.csv"), "content")
+    cells = F.transform(F.filter("inlines", lambda i: (i["tag"] == "text")), lambda i: i["text"])
+    return out.select(F.col("doc_id").alias("c_custkey"), F.array_join(cells, "|").alias("cells"), F.size(F.filter("blocks", lambda b: b["tag"] == "table_cell")).cast("bigint").alias("n_cells"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    html_to_markdown, text_paragraph_counts, text_soft_breaks, text_space_collapse, text_conversations, md_escape, html_tag_counts, html_title_dropped, html_link_targets, html_heading_text, block_census, subtree_containment,
+    tree_violations, html_list_items, round_trip_fixed_point, detect_format, sniff_magic, format_suggestion, shift_headings, strip_classes, promote_first_heading, loss_grades, lowering_hits, choose_lowering, report_aggregate,
+    serial_dates, column_widths, table_markdown, resource_naming, csv_tables,
+)}
+
+_BODY = r"regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_FORMATS = list(detect.EXTENSIONS)
+ORACLES: dict[str, str] = {
+    "text_paragraph_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0)) AS paragraphs FROM documents",
+    "text_soft_breaks": r"SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0), lambda x: length(regexp_replace(x, '^([ \t]*\n)+', '')) - length(replace(regexp_replace(x, '^([ \t]*\n)+', ''), E'\n', '')))), 0) AS BIGINT) AS soft_breaks FROM documents",
+    "text_space_collapse": r"SELECT doc_id, length(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ')) AS chars FROM documents",
+    "text_conversations": r"SELECT role, CAST(sum(len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0))) AS BIGINT) AS paragraphs, count(*) AS messages FROM conversations GROUP BY role",
+    "md_escape": r"SELECT doc_id, sha256(regexp_replace(text, '([\\`*\[\]<])', '\\\1', 'g')) AS escaped_sha256 FROM documents",
+    "html_tag_counts": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<h[1-6][ >]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all({_BODY}, '<a[ >]')) AS BIGINT) AS links FROM pages",
+    "html_title_dropped": "SELECT page_id, CAST(0 AS BIGINT) AS entries, false AS script_seen FROM pages",
+    "html_link_targets": rf"SELECT page_id, array_to_string(list_transform(regexp_extract_all({_BODY}, '<a href=\"([^\"]*)\"', 1), lambda x: replace(replace(x, '&quot;', '\"'), '&amp;', '&')), '|') AS targets FROM pages",
+    "html_list_items": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<li[ >]')) AS BIGINT) AS items FROM pages",
+    "html_heading_text": rf"SELECT page_id, CAST(1 AS BIGINT) AS level, trim(regexp_replace(replace(regexp_extract({_BODY}, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ') AS heading FROM pages",
+    "tree_violations": "SELECT CAST(0 AS BIGINT) AS violations",
+    "round_trip_fixed_point": "SELECT page_id, true AS fixed FROM pages",
+    "detect_format": r"SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '\.html?$') THEN 'html' END AS format, CASE WHEN NOT regexp_matches(regexp_extract(url, '^[^?#]*'), '\.html?$') THEN 'core.undetectable-input-format' END AS code FROM pages",
+    "sniff_magic": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'docx' WHEN 3 THEN 'xlsx' WHEN 4 THEN 'zip' ELSE 'none' END AS format FROM orders",
+    "format_suggestion": f"""WITH f AS (SELECT unnest({_FORMATS!r}) AS f, generate_subscripts({_FORMATS!r}, 1) AS i),
+t AS (SELECT p_partkey, lower(substring(string_split(p_name, ' ')[1], 1, 1) || list_extract({_FORMATS!r}, CAST(p_partkey % 19 + 1 AS INT))) AS typo FROM part),
+d AS (SELECT p_partkey, f, i, levenshtein(typo, f) AS d FROM t, f)
+SELECT p_partkey, CASE WHEN min(d) <= 2 THEN arg_min(f, d * 100 + i) END AS suggestion FROM d GROUP BY p_partkey""",
+    "shift_headings": rf"SELECT CAST(3 AS BIGINT) AS level, CAST(sum(len(regexp_extract_all({_BODY}, '<h1[ >]'))) AS BIGINT) AS n FROM pages",
+    "strip_classes": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|footer|header|section|main|figure)[ >]')) + len(regexp_extract_all({_BODY}, '<(div|nav|footer|header|section|main|figure) [^>]*class=.[^a]')) AS BIGINT) AS classes_left FROM pages",
+    "loss_grades": rf"SELECT page_id, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, c2, false AS content, false AS structure, c2 > 0 AS exact FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) AS BIGINT) AS c2 FROM pages)",
+    "lowering_hits": rf"SELECT page_id AS doc_id, 'container-attrs' AS rule, n AS uses, n AS did, true AS same FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) AS BIGINT) AS n FROM pages) WHERE n > 0",
+    "promote_first_heading": "SELECT doc_id, 'T' || doc_id AS title, CAST(1 AS BIGINT) AS n_blocks FROM documents",
+    "choose_lowering": """SELECT node, stable_id, operation, c0, c1, c2 FROM (
+  SELECT l_orderkey AS node, l_linenumber AS stable_id, l_returnflag AS operation, CAST(l_quantity % 3 AS BIGINT) AS c0, l_partkey % 5 AS c1, l_suppkey % 7 AS c2,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity % 3 AS BIGINT), l_partkey % 5, l_suppkey % 7, l_linenumber, l_returnflag) AS k FROM lineitem) WHERE k = 1""",
+    "report_aggregate": """WITH r AS (SELECT user_id AS doc_id, event_id AS seq, event_type AS code, CASE WHEN value > 90 THEN 2 WHEN value > 50 THEN 1 ELSE 0 END AS s, event_id % 3 + 1 AS count, CAST(event_id % 7 AS VARCHAR) AS context FROM events),
+c AS (SELECT doc_id, code, context, min(seq) AS first_seq FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY first_seq, context) AS k FROM c),
+j AS (SELECT doc_id, code, string_agg(context, ',' ORDER BY k) AS contexts FROM k WHERE k <= 4 GROUP BY ALL)
+SELECT r.doc_id, r.code, CAST(sum(count) AS BIGINT) AS count, CAST(max(s) AS BIGINT) AS severity_rank, min(seq) AS seq, any_value(j.contexts) AS contexts FROM r JOIN j USING (doc_id, code) GROUP BY r.doc_id, r.code""",
+    "serial_dates": "SELECT l_orderkey, l_linenumber, CAST(date_diff('day', DATE '1899-12-30', CAST(l_shipdate AS DATE)) AS BIGINT) AS serial, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS day FROM lineitem",
+    "column_widths": "SELECT CAST(least(30, greatest(3, max(strlen(CAST(n_nationkey AS VARCHAR))))) AS BIGINT) AS n_nationkey, CAST(least(30, greatest(3, max(strlen(n_name)))) AS BIGINT) AS n_name, CAST(least(30, greatest(3, max(strlen(CAST(n_regionkey AS VARCHAR))))) AS BIGINT) AS n_regionkey FROM nation",
+    "table_markdown": """WITH w AS (SELECT least(30, greatest(3, 4, max(length(r_name)))) AS w FROM region)
+SELECT '| key | ' || rpad('name', CAST(any_value(w) AS INT), ' ') || E' |\n| --- | ' || repeat('-', any_value(w)) || E' |\n' || string_agg('| ' || rpad(CAST(r_regionkey AS VARCHAR), 3, ' ') || ' | ' || rpad(r_name, CAST(w AS INT), ' ') || E' |\n', '' ORDER BY r_regionkey) AS markdown FROM region, w""",
+    "resource_naming": """SELECT l_orderkey AS doc_id, l_linenumber AS idx, CASE WHEN l_returnflag <> 'R' THEN 'order-' || l_orderkey || '_media/image-' || row_number() OVER (PARTITION BY l_orderkey, l_returnflag <> 'R' ORDER BY l_linenumber, l_linestatus <> 'O' DESC) || CASE WHEN l_linestatus = 'O' THEN '.png' ELSE '.jpg' END END AS name FROM lineitem""",
+    "csv_tables": "SELECT c_custkey, array_to_string(list_filter(string_split('name segment ' || c_name || ' ' || c_mktsegment, ' '), lambda x: x <> ''), '|') AS cells, CAST(4 AS BIGINT) AS n_cells FROM customer",
+}
