@@ -93,7 +93,7 @@ def parse_one(content: bytes | None, name: str | None, fmt: str | None, note: st
     except LimitExceeded as e:
         doc.report("core.limit-exceeded", "failure", exit_class="limit", context=e.name)
         status = "failed"
-    except (ValueError, KeyError, IndexError, AssertionError, RecursionError, struct.error, OverflowError, AttributeError, TypeError) as e:
+    except (ValueError, KeyError, IndexError, AssertionError, RecursionError, struct.error, OverflowError, AttributeError, TypeError, NotImplementedError, EOFError, OSError) as e:
         doc = Document()
         doc.report("core.reader-failed", "failure", type(e).__name__, exit_class="internal")
         status = "failed"
@@ -149,7 +149,7 @@ class Engine:
         stem = F.lit("document") if media_stem is None else media_stem
         base = parsed.withColumn("__names", published_names("resources", stem))
         cols = parsed.columns
-        added = StructType(parsed.schema.fields).add("artifact", "string").add("losses", MapType(StringType(), LongType()))
+        added = StructType(list(parsed.schema.fields)).add("artifact", "string").add("losses", MapType(StringType(), LongType()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
