@@ -54,6 +54,15 @@ def _remove_staged() -> None:
 atexit.register(_remove_staged)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of docs as one struct d, and more columns beside it: no name of docs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
 def text_key(text: Column | str = "text") -> Column:
     """Tells rows of one doc_id apart; rows equal in both are copies with equal results."""
     return F.xxhash64(text)

@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import stage
+from ._util import packed, stage, unpacked
 
 #: A table of leaves with at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_LEAVES = 50_000
 _DIGITS = 32
+_PLAN = ("tokens", "budget", "full", "cut", "rest", "prefix")
 
 
 def n_tokens(text: Column | str = "text") -> Column:
@@ -143,13 +144,11 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
 
 def take_mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], budget: int | None = None, share: float = 0.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
     """The rows of docs, with its columns, each as often as it is taken.  levels: name -> column of docs."""
-    names = [f"__{n}" for n in levels]
-    weights = {f"__{n}": w for n, w in weights.items()}
-    keyed = docs.withColumns(dict(zip(names, levels.values(), strict=True)))
-    rows = stage(keyed.select("doc_id", *names, n_tokens().alias("n_tokens")))
+    names = list(levels)
+    if {"d", "doc_id", "n_tokens", *_PLAN} & set(names):
+        raise ValueError("a level's name is one that the plan uses")
+    base = packed(docs, doc_id=F.col("doc_id"), **levels)
+    rows = stage(docs.select("doc_id", *[c.alias(n) for n, c in levels.items()], n_tokens().alias("n_tokens")))
     plan, leaves = plan_mix(rows, names, weights, budget, share, max_epochs, seed)
-    plan = plan.withColumnsRenamed({"tokens": "__tokens", "budget": "__budget", "full": "__full", "cut": "__cut"})
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("__full") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    times = (F.col("__full") + F.when((F.col("__cut") != "") & (place <= F.col("__cut")), 1).otherwise(0)).cast("int")
-    both = _with_leaf(keyed, plan, names, leaves).withColumn("__times", times).where("__times > 0")
-    return both.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    both = _with_leaf(base, plan, names, leaves).withColumn("copies", copies(seed)).where("copies > 0")
+    return unpacked(both.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import BASE_A, Poly, raw_text, stage, word_hashes
+from ._util import BASE_A, Poly, packed, raw_text, stage, unpacked, word_hashes
 
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -85,12 +85,12 @@ def statistics(raw: bytes) -> tuple[list[int], list[float]]:
 def statistics_table(docs: DataFrame, *keep: str) -> DataFrame:
     """keep columns, base counts and features, a row for a row."""
     cols = list(dict.fromkeys(["doc_id", *keep]))
-    base = docs.select(*cols, raw_text().alias("__raw"))
+    base = docs.select(*cols, raw_text().alias("raw bytes"))
     names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [statistics(x.as_py()) for x in batch.column("__raw")]
+            got = [statistics(x.as_py()) for x in batch.column("raw bytes")]
             out = {c: batch.column(c) for c in cols}
             for i, c in enumerate(_BASE):
                 out[c] = pa.array([g[0][i] for g in got], pa.int64())
@@ -217,18 +217,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_0
 
 def apply_rules(docs: DataFrame, model: Trees, least_prob: float) -> DataFrame:
     """The rows of docs that are kept, with its columns; no shuffle: texts are scored where they are read."""
-    cols = docs.columns
-    base = docs.withColumn("__raw", raw_text())
     cut = float(np.log(least_prob / (1 - least_prob)))
+    base = packed(docs, raw=raw_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [statistics(x.as_py()) for x in batch.column("__raw")]
+            got = [statistics(x.as_py()) for x in batch.column("raw")]
             score = model.score(np.array([g[1] for g in got]).reshape(len(got), len(FEATURES)))
             ok = [not (g[0][0] < 10 or 100 * g[0][4] > 20 * g[0][0]) and s >= cut for g, s in zip(got, score.tolist(), strict=True)]
-            yield batch.select(cols).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["d"]).filter(pa.array(ok, pa.bool_()))
 
-    return base.mapInArrow(run, docs.schema)
+    return unpacked(base.mapInArrow(run, base.select("d").schema), docs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, least_prob: float = 0.3, trees: int = 40) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import raw_text, stage, text_key
+from ._util import packed, raw_text, same_key, stage, text_key, unpacked
 from .components import components
 
 BITS, LEAST_SHARED, SEED = 3, 5, 42
@@ -227,10 +227,8 @@ def keep_one(docs: DataFrame, hot: int = 1024) -> DataFrame:
     """The row with the least doc_id of each group, with the columns of docs; of rows alike in doc_id, the one
     with the least text key, and of rows alike in both, one."""
     groups = simhash_groups(docs, hot)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("b")).select("b.doc_id", "b.tk")
-    keyed = docs.withColumn("__tk", text_key())
-    found = keyed.join(best, keyed["doc_id"].eqNullSafe(best["doc_id"]) & (keyed["__tk"] == best["tk"])).select(*[keyed[c] for c in docs.columns], keyed["__tk"])
-    twice = stage(groups.groupBy("doc_id", "tk").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tk"))
-    if twice.isEmpty():
-        return found.drop("__tk")
-    return found.dropDuplicates(["doc_id", "__tk"]).drop("__tk")
+    best = stage(groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("b")).select("b.doc_id", "b.tk"))
+    base = packed(docs, doc_id=F.col("doc_id"), tk=text_key())
+    found = base.join(best, same_key(base, best, ["doc_id", "tk"])).select(base["d"], base["doc_id"], base["tk"])
+    twice = groups.groupBy("doc_id", "tk").agg(F.count("*").alias("n")).where("n > 1")
+    return unpacked(found if twice.isEmpty() else found.dropDuplicates(["doc_id", "tk"]), docs)
