@@ -19,24 +19,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import same_key, stage, text_key
+from ._util import packed, same_key, stage, text_key
 
-KEY = ["__id", "__tk"]
+KEY = ["id", "tk"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """lower() is exact for ASCII-only text and much quicker; other text has its A-Z replaced alone."""
-    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
+def line_keys(lines: Column) -> Column:
+    """Lines -> keys.  Each step is an array of its own, so that no lambda works out a value twice.  lower() is exact for
+    ASCII-only text and much quicker; other text has its A-Z replaced alone."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, _UPPER, _LOWER)))
 
 
-def _hashed(line: Column, min_chars: int) -> Column:
+def _hashed(keys: Column, min_chars: int) -> Column:
     """Null for keys too short to drop."""
-    def of(x: Column) -> Column:
-        return F.when(F.char_length(x) >= min_chars, F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2")))
-
-    return of(line_key(line))
+    long_enough = (lambda x: x != "") if min_chars == 1 else (lambda x: F.char_length(x) >= min_chars)
+    return F.transform(keys, lambda x: F.when(long_enough(x), F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))))
 
 
 def _lines(text: Column) -> Column:
@@ -44,18 +43,17 @@ def _lines(text: Column) -> Column:
 
 
 def marked(docs: DataFrame, min_docs: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __lines and __drop, the positions of the lines to drop (null: none)."""
-    keyed = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__tk"), F.transform(_lines(F.col(text_col)), lambda x: _hashed(x, min_chars)).alias("hs"))
+    """docs as a struct d, with lines and drop, the positions of the lines to drop (null: none)."""
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), _hashed(line_keys(_lines(F.col(text_col))), min_chars).alias("hs"))
     each = keyed.select(F.explode(F.array_distinct("hs")).alias("h")).where("h is not null").select("h.*")
     frequent = stage(each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"))
-    placed = keyed.select("__id", "__tk", F.posexplode("hs").alias("pos", "h")).where("h is not null").select("__id", "__tk", "pos", "h.*")
-    found = placed.join(frequent, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("pos").alias("__drop"))
-    base = docs.withColumns({"__id": F.col(id_col), "__tk": text_key(text_col), "__lines": _lines(F.col(text_col))})
-    both = base.join(found, same_key(base, found, KEY), "left")
-    return both.select(*[base[c] for c in docs.columns], base["__lines"], found["__drop"])
+    placed = keyed.select("id", "tk", F.posexplode("hs").alias("pos", "h")).where("h is not null").select("id", "tk", "pos", "h.*")
+    found = placed.join(frequent, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("pos").alias("drop"))
+    base = packed(docs, id=F.col(id_col), tk=text_key(text_col), lines=_lines(F.col(text_col)))
+    return base.join(found, same_key(base, found, KEY), "left").select(base["d"], base["lines"], found["drop"])
 
 
-def _kept(lines: str = "__lines", drop: str = "__drop") -> Column:
+def _kept(lines: str = "lines", drop: str = "drop") -> Column:
     """What stays, by position; null if no line stays.  Linear in the number of lines."""
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
     some = F.array_join(F.transform(places, lambda i: F.element_at(F.col(lines), i + 1)), "\n")
@@ -65,17 +63,14 @@ def _kept(lines: str = "__lines", drop: str = "__drop") -> Column:
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_text ('' if no line stays)."""
     out = marked(docs.select("doc_id", "text"), min_docs, min_chars)
-    dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop"))
-    return out.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.coalesce(_kept(), F.lit("")).alias("kept_text"))
+    dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
+    return out.select("d.doc_id", F.size("lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.coalesce(_kept(), F.lit("")).alias("kept_text"))
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the same columns and shortened texts; n_chars, if there is one, follows the text.
     A null text stays null."""
     out = marked(docs, min_docs, min_chars)
-    kept = F.when(F.col("text").isNotNull(), F.coalesce(_kept(), F.lit("")))
-    cols = []
-    for f in docs.schema.fields:
-        c = kept if f.name == "text" else F.when(kept.isNotNull(), F.char_length(kept)).cast(f.dataType) if f.name == "n_chars" else F.col(f"`{f.name}`")
-        cols.append(c.alias(f.name))
-    return out.select(*cols)
+    out = out.select("d", F.when(F.col("d.text").isNotNull(), F.coalesce(_kept(), F.lit(""))).alias("kept"))
+    new = {"text": F.col("kept"), "n_chars": F.coalesce(F.char_length("kept"), F.col("d.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(new[f.name].cast(f.dataType) if new.get(f.name) is not None else F.col(f"d.`{f.name}`")).alias(f.name) for f in docs.schema.fields])
