@@ -8,9 +8,13 @@ windows are found from the inside out:
   hash among the first ``window - 2 * base + 1`` of each long window.  Equal long windows have equal
   anchors, so none is missed.  Short windows seen once are dropped.
 * Level 2 extends the survivors, and them alone, to twice that length.
-* The last level extends the survivors to the full length.  All windows with one anchor form a span.  A
+* Level 3 extends the survivors to the full length.  All windows with one anchor form a span.  A
   span whose words occur twice is a repeat as a whole; only spans that differ from others around the same
-  anchor are taken apart into windows.
+  anchor are taken apart into windows.  This decides which words go.
+* From there on lengths double until no candidate survives: a window that starts at an anchor of its own is a
+  candidate for twice the length if it is a repeat and the window behind it may be one too.  This tells how
+  long the repeats are (``longest_repeat``: the greatest such length of a repeat that begins at an
+  anchor, the window's if only that repeats, 0 if nothing does).
 
 Every level is a partial aggregate by hash, so that a passage that stands in a third of all documents
 meets as one row a task; the joins back are plain equi-joins that skew handling can split.  Keys are 128 bits
@@ -117,36 +121,80 @@ def _emit_windows(window: int):
     return run
 
 
-def covered(hashes: np.ndarray, window: int, s1: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Which words stand in a repeated window, given the repeats of each span as a bit mask."""
-    n = len(hashes)
-    mark = np.zeros(n + 1, np.int64)
+def repeated_starts(hashes: np.ndarray, window: int, s1: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which windows of a document are repeats, given those of each span as a bit mask."""
     first, count, _, _, spans = spans_of(hashes, window)
+    out = np.zeros(max(len(hashes) - window + 1, 0), bool)
     if len(s1) and len(spans):
         order = np.argsort(s1)
         s1, masks = s1[order], masks[order]
         at = np.minimum(np.searchsorted(s1, spans), len(s1) - 1)
         mask = np.where(s1[at] == spans, masks[at], 0)
         for bit in range(int(count.max())):
-            begins = first[(mask >> bit & 1 == 1) & (bit < count)] + bit
-            mark[begins] += 1  # one window a start at most, so no index repeats
-            mark[begins + window] -= 1
+            out[first[(mask >> bit & 1 == 1) & (bit < count)] + bit] = True
+    return out
+
+
+def covered(repeated: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n words stand in a repeated window."""
+    mark = np.zeros(n + 1, np.int64)
+    starts = np.flatnonzero(repeated)
+    mark[starts] += 1  # one window a start, so no index repeats
+    mark[starts + window] -= 1
     return np.cumsum(mark[:n]) > 0
 
 
+def own_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Windows that begin at their own anchor: their words alone say so."""
+    base = -(-window // 4)
+    short = Poly(hashes, BASE_A).grams(base)
+    view = np.lib.stride_tricks.sliding_window_view(short, window - 2 * base + 1)[: len(hashes) - window + 1]
+    return np.flatnonzero(view.argmin(1) == 0)
+
+
+def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, level, hash) of windows of window * 2**level words, level >= 1, all of whose parts are repeats."""
+    starts = own_anchors(hashes, window)
+    starts = starts[repeated[starts]]
+    rows = -(-len(repeated) // window)
+    grid = np.zeros(rows * window, bool)
+    grid[: len(repeated)] = repeated
+    chain = np.zeros((rows + 1, window), np.int64)
+    for r in range(rows - 1, -1, -1):  # how many repeats follow each other, end to end
+        chain[r] = (chain[r + 1] + 1) * grid[r * window : (r + 1) * window]
+    parts = chain.ravel()[starts]
+    hash_of = Poly(mix(hashes), BASE_B)
+    out: list[list[np.ndarray]] = [[_NONE], [_NONE], [_NONE]]
+    level = 1
+    while len(starts := starts[parts >= 1 << level]):
+        parts = parts[parts >= 1 << level]
+        out[0].append(starts)
+        out[1].append(np.full(len(starts), level))
+        out[2].append(mix(hash_of.of(starts, window << level) ^ np.uint64(level)).view(np.int64))
+        level += 1
+    return tuple(np.concatenate(x) for x in out)
+
+
 def _apply(window: int, with_text: bool):
+    """One row a document, and one for each longer candidate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = batch.column("raw"), batch.column("spans")
-            total, gone, digest, kept_text = [], [], [], []
+            total, gone, digest, kept_text, longer = [], [], [], [], []
             for i in range(batch.num_rows):
                 words = texts[i].as_py().split()
                 found = spans[i].as_py()
                 removed = 0
                 if found:
-                    bad = covered(word_hashes(words), window, np.array([x["s1"] for x in found], np.int64), np.array([x["mask"] for x in found], np.int64))
+                    hashes = word_hashes(words)
+                    repeated = repeated_starts(hashes, window, np.array([x["s1"] for x in found], np.int64), np.array([x["mask"] for x in found], np.int64))
+                    bad = covered(repeated, len(words), window)
                     removed = int(bad.sum())
                     kept = b" ".join([w for w, b in zip(words, bad.tolist(), strict=True) if not b])
+                    at, level, h = candidates(hashes, repeated, window)
+                    if len(at):
+                        longer.append((np.full(len(at), i), at, level, h))
                 else:
                     kept = b" ".join(words)
                 total.append(len(words))
@@ -154,14 +202,33 @@ def _apply(window: int, with_text: bool):
                 digest.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     kept_text.append(kept)
-            cols = {"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-            if with_text:
-                cols["kept_text"] = pa.array(kept_text, pa.binary()).cast(pa.string())
-            yield pa.record_batch(cols)
+            n = batch.num_rows
+            cols = {k: batch.column(k) for k in KEY} | {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.binary()).cast(pa.string()) if with_text else pa.nulls(n, pa.string())}
+            yield pa.record_batch(cols | {"at": pa.nulls(n, pa.int64()), "level": pa.nulls(n, pa.int32()), "h": pa.nulls(n, pa.int64())})
+            if longer:
+                doc, at, level, h = (np.concatenate(x) for x in zip(*longer, strict=True))
+                doc, n = pa.array(doc), len(at)
+                cols = {k: batch.column(k).take(doc) for k in KEY} | {"n_words": pa.nulls(n, pa.int64()), "n_removed": pa.nulls(n, pa.int64()), "kept_sha256": pa.nulls(n, pa.string()), "kept_text": pa.nulls(n, pa.string())}
+                yield pa.record_batch(cols | {"at": at, "level": level.astype(np.int32), "h": h})
 
     return run
 
 
+def longest_repeats(rows: DataFrame, window: int) -> DataFrame:
+    """rows of _apply -> (doc_id, tk, longest): lengths double until no candidate survives."""
+    found = stage(rows.where("level is not null").groupBy(*KEY, "at", "level", "h").agg(F.count("*").alias("n")))
+    alive, level, out = found.where("level = 1"), 1, rows.where("level is not null").select(*KEY, F.lit(window).cast("long").alias("longest")).limit(0)
+    while True:
+        twice = stage(alive.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h"))
+        survivors = stage(_joined(alive, twice, ["h"]).select(*KEY, "at"))
+        if survivors.isEmpty():
+            return out.groupBy(*KEY).agg(F.max("longest").alias("longest"))
+        out = out.unionByName(survivors.select(*KEY, F.lit(window << level).cast("long").alias("longest")))
+        level += 1
+        longer = found.where(F.col("level") == level)
+        alive = longer.join(survivors, same_key(longer, survivors, [*KEY, "at"])).select(*[longer[c] for c in longer.columns])
+
+
 def _joined(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     return a.join(b, names)
 
@@ -198,11 +265,15 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words
-    that stay, joined by one space)."""
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256, longest_repeat and, if asked for, kept_text (the
+    words that stay, joined by one space)."""
     found = repeated_spans(docs.select("doc_id", "text"), window)
     base = docs.select("doc_id", text_key().alias("tk"), raw_text().alias("raw"))
-    both = base.join(found, same_key(base, found, KEY), "left").select(base["doc_id"], base["raw"], found["spans"])
+    both = base.join(found, same_key(base, found, KEY), "left").select(base["doc_id"], base["tk"], base["raw"], found["spans"])
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return both.mapInArrow(_apply(window, with_text), schema)
+    rows = stage(both.mapInArrow(_apply(window, with_text), f"doc_id {id_type}, tk long, n_words long, n_removed long, kept_sha256 string, kept_text string, at long, level int, h long"))
+    own, longest = rows.where("level is null"), longest_repeats(rows, window)
+    out = own.join(longest, same_key(own, longest, KEY), "left")
+    least = F.when(own["n_removed"] > 0, window).otherwise(0).cast("long")
+    cols = [own["doc_id"], own["n_words"], own["n_removed"], own["kept_sha256"], F.coalesce(longest["longest"], least).alias("longest_repeat")]
+    return out.select(*cols, *([own["kept_text"]] if with_text else []))

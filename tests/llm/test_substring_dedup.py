@@ -7,7 +7,7 @@ import pytest
 from helpers import DOCS, rows, rows_of, table
 
 from leafmill.llm._util import word_hashes
-from leafmill.llm.substring_dedup import spans_of, substring_dedup, windows_of
+from leafmill.llm.substring_dedup import own_anchors, spans_of, substring_dedup, windows_of
 
 
 def brute(data, n):
@@ -40,6 +40,29 @@ def test_shared_edges(spark):
     assert rows_of(substring_dedup(table(spark, data), 35), "doc_id", "n_words", "n_removed", "kept_sha256") == brute(data, 35)
 
 
+def longest(data, n):
+    """Doubled windows from anchors, each level among what is left of the one before."""
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in data]
+    gone = {r[0]: r[2] for r in brute(data, n)}
+    out = {d: n if gone[d] else 0 for d, *_ in data}
+    alive = [(k, int(s)) for k, w in enumerate(texts) if len(w) >= n for s in own_anchors(word_hashes([x.encode() for x in w]), n)]
+    size = n
+    while alive:
+        seen = Counter(tuple(texts[k][s : s + size]) for k, s in alive if s + size <= len(texts[k]))
+        alive = [(k, s) for k, s in alive if s + size <= len(texts[k]) and seen[tuple(texts[k][s : s + size])] > 1]
+        for k, _ in alive:
+            out[data[k][0]] = max(out[data[k][0]], size)
+        size *= 2
+    return out
+
+
+@pytest.mark.parametrize("window", [35, 8])
+def test_lengths_double_until_none_survives(spark, window):
+    data = rows()
+    got = {r["doc_id"]: r["longest_repeat"] for r in substring_dedup(table(spark), window, with_text=False).collect()}
+    assert got == longest(data, window) and max(got.values()) > 2 * window
+
+
 def test_empty_table_and_text_column(spark):
     assert substring_dedup(spark.createDataFrame([], DOCS)).collect() == []
     got = substring_dedup(table(spark, [(1, "a  b\nc", "", "", 1), (2, None, "", "", 1)])).orderBy("doc_id").collect()
