@@ -25,6 +25,8 @@ def _alnum(c: str) -> bool:
 
 
 def escape(text: str, line_start: bool, cell: bool) -> str:
+    if not _SPECIAL.search(text):
+        return text
     out, last = [], 0
     for m in _SPECIAL.finditer(text):
         c, i = m.group(), m.start()

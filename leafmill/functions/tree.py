@@ -14,7 +14,8 @@ from .limits import DEFAULT, LimitExceeded, Limits
 
 INLINE_LEAVES = frozenset({"plain", "paragraph", "heading", "line", "definition_term"})
 TEXT_LEAVES = frozenset({"code_block", "raw_block"})
-_SPLIT = re.compile(r"([ \t\r\n]+)")
+_RUNS = re.compile(r"[ \t\r\n]+|[^ \t\r\n]+").findall
+_BLANKS = frozenset({"space", "soft_break", "hard_break"})
 SPACES = " \t\r\n"
 
 
@@ -30,6 +31,10 @@ class Node:
         return f"{self.tag}{self.p or ''}{'' if self.text is None else repr(self.text)}{self.kids or ''}"
 
 
+#: All blanks that text() makes: a blank has nothing of its own.
+SPACE = Node("space")
+
+
 @dataclass
 class Report:
     code: str
@@ -137,17 +142,22 @@ class Builder:
 
     # inlines ------------------------------------------------------------
     def text(self, s: str) -> None:
-        for i, run in enumerate(_SPLIT.split(s)):
-            if not run:
-                continue
-            if i % 2:
-                self.space()
+        kids = self.spans[-1].kids
+        tag = kids[-1].tag if kids else ""
+        made = len(kids)
+        for run in _RUNS(s):
+            if run[0] in SPACES:
+                if tag not in _BLANKS:
+                    kids.append(SPACE)
+                    tag = "space"
+            elif tag == "text":
+                kids[-1].text += run
             else:
-                kids = self.spans[-1].kids
-                if kids and kids[-1].tag == "text":
-                    kids[-1].text += run
-                else:
-                    kids.append(self._node(Node("text", text=run)))
+                kids.append(Node("text", None, run))
+                tag = "text"
+        self.nodes += len(kids) - made
+        if self.nodes > self.limits.max_nodes:
+            raise LimitExceeded("max_nodes")
 
     def space(self) -> None:
         kids = self.spans[-1].kids

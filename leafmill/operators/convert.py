@@ -226,6 +226,13 @@ class Engine:
         return graded(out, strict).select(*keep, "name", "format", "status", "markdown", "n_blocks", "n_headings", "n_links", "losses", "reports")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than there are cores, dealt out to all of them; a larger one as it is.  Parsing a
+    document takes far longer than moving it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def files(spark, path: str, limits: Limits = DEFAULT) -> DataFrame:
     """Files as (doc_id, name, content); those over the limit are listed without their bytes, which are then never read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators import filters, relations, reports, resources
-from leafmill.operators.convert import Engine
+from leafmill.operators.convert import Engine, spread
 from leafmill.plans import lowering
 from leafmill.sources import detect, text
 
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "html")
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
