@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from leafmill.functions.limits import DEFAULT, LimitExceeded, Limits
-from leafmill.functions.markdown_writer import RULES, render
+from leafmill.functions.markdown_writer import RULES, render, report_losses
 from leafmill.functions.tree import Document, Report, flatten
 from leafmill.operators.convert import parse_one, pixel_size
 from leafmill.operators.manifest import SCHEMA, VERSION
@@ -136,14 +136,14 @@ class Converter:
             name = name or os.fspath(source)
             try:
                 if os.path.getsize(source) > self.limits.max_input_bytes:
-                    raise LimitExceededError([Report("core.limit-exceeded", "failure", "max_input_bytes", exit_class="limit")])
+                    raise LimitExceededError([Report("core.input-too-large", "failure", "max_input_bytes", exit_class="limit")])
                 content = Path(source).read_bytes()
             except OSError as e:
                 raise InputReadError(str(e)) from e
         else:
             content, name = bytes(source), name or "document"
         if from_format is not None and from_format not in READERS:
-            raise UnknownFormatError([Report("core.unknown-format", "failure", from_format, exit_class="usage")])
+            raise UnknownFormatError([Report("core.unknown-input-format", "failure", from_format, exit_class="usage")])
         fmt, note = resolve(name, content, from_format, from_file)
         status, doc = parse_one(content, name, fmt, note if fmt else None, READERS, self.limits)
         if status != "success":
@@ -158,15 +158,16 @@ class Converter:
                 names[i] = f"{stem}_media/image-{len(names) + 1}.{ENDINGS.get(r['mime'], 'bin')}"
         text, losses = render(doc, names)
         if len(text.encode()) > self.limits.max_output_bytes:
-            raise LimitExceededError([Report("core.limit-exceeded", "failure", "max_output_bytes", exit_class="limit")])
+            raise LimitExceededError([Report("core.output-too-large", "failure", "max_output_bytes", exit_class="limit")])
         price = [sum(RULES[k][i] * n for k, n in losses.items()) for i in range(3)]
         for r in doc.reports:
             i = {"dropped": 0, "structural": 1, "presentation": 2}.get(r.loss)
             if i is not None:
                 price[i] += r.count
+        report_losses(doc, losses)
         grade = ["off", "content", "structure", "exact"].index(Strictness(self.strict).value)
         if any(price[:grade]):
-            raise ConversionError([*doc.reports, Report("core.strict-refusal", "failure", Strictness(self.strict).value, exit_class="strict")])
+            raise ConversionError([*doc.reports, Report("core.strict-refused", "failure", Strictness(self.strict).value, exit_class="strict")])
         out = Conversion(text, f"{stem}.md", fmt, {names[i]: doc.resources[i]["content"] for i in names}, self._manifest(doc, text, content, fmt), doc.reports, losses, doc)
         if output is not None:
             out.save(output, overwrite)

@@ -12,6 +12,11 @@ RULES = {
     "style-dropped": (0, 0, 1), "extension-fallback": (0, 0, 1), "citation-dropped": (0, 0, 1), "raw-dropped": (1, 0, 0), "nested-table": (1, 0, 0), "cell-flattened": (0, 1, 0),
     "cell-span": (0, 1, 0), "number-style": (0, 0, 1), "definition-list": (0, 1, 0), "container-attrs": (0, 0, 1), "table-caption": (0, 1, 0),
 }
+#: Rule -> the code that its uses are reported under.
+CODES = {
+    "style-dropped": "markdown.style-dropped", "extension-fallback": "markdown.extension-fallback", "citation-dropped": "markdown.citation-dropped", "raw-dropped": "markdown.raw-dropped", "nested-table": "markdown.nested-table-dropped", "cell-flattened": "markdown.table-cell-flattened",
+    "cell-span": "markdown.cell-span-degraded", "number-style": "markdown.list-number-style-degraded", "definition-list": "markdown.definition-list-degraded", "container-attrs": "markdown.container-attributes-dropped", "table-caption": "markdown.table-caption-degraded",
+}
 _DELIMITERS = {"emphasis": "_", "strong": "**", "strikethrough": "~~"}
 _DROPPED_STYLES = frozenset({"underline", "small_caps", "superscript", "subscript"})
 _ENTITY = re.compile(r"&(#?)[A-Za-z0-9]+;")
@@ -307,3 +312,9 @@ def render(doc: Document, urls: dict[int, str] | None = None) -> tuple[str, dict
     w = Writer(doc)
     w.urls = urls or {}
     return w.render(), dict(w.hits)
+
+
+def report_losses(doc: Document, hits: dict[str, int]) -> None:
+    """The writer's losses among the document's reports.  Their price is in the plan, so they carry none of their own."""
+    for rule, n in hits.items():
+        doc.report(CODES[rule], "warning" if rule == "nested-table" else "note", count=n)

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, MapType, StringType, StructType, _parse_
 
 from leafmill import schema
 from leafmill.functions.limits import DEFAULT, LimitExceeded, Limits
-from leafmill.functions.markdown_writer import render
+from leafmill.functions.markdown_writer import render, report_losses
 from leafmill.functions.tree import Document, Refused, flatten, unflatten
 from leafmill.sources import registry
 from leafmill.sources.detect import EXTENSIONS, resolve
@@ -79,7 +79,7 @@ def report_rows(doc: Document) -> list[dict]:
 def parse_one(content: bytes | None, name: str | None, fmt: str | None, note: str | None, readers: dict[str, Read], limits: Limits) -> tuple[str, Document]:
     doc = Document()
     if fmt is None or fmt not in readers:
-        doc.report("core.undetectable-input-format" if fmt is None else "core.unknown-format", "failure", exit_class="input", context=name or fmt)
+        doc.report("core.undetectable-input-format" if fmt is None else "core.unknown-input-format", "failure", exit_class="input", context=name or fmt)
         return "failed", doc
     content = content or b""
     try:
@@ -91,11 +91,11 @@ def parse_one(content: bytes | None, name: str | None, fmt: str | None, note: st
         doc.report(e.code, "failure", e.consequence, exit_class=e.exit_class)
         status = "failed"
     except LimitExceeded as e:
-        doc.report("core.limit-exceeded", "failure", exit_class="limit", context=e.name)
+        doc.report({"max_input_bytes": "core.input-too-large", "max_depth": "core.depth-limit-exceeded"}.get(e.name, "core.limit-exceeded"), "failure", exit_class="limit", context=e.name)
         status = "failed"
     except (ValueError, KeyError, IndexError, AssertionError, RecursionError, struct.error, OverflowError, AttributeError, TypeError, NotImplementedError, EOFError, OSError) as e:
         doc = Document()
-        doc.report("core.reader-failed", "failure", type(e).__name__, exit_class="internal")
+        doc.report("core.malformed-input", "failure", type(e).__name__, exit_class="internal")
         status = "failed"
     if note:
         doc.report(note, "note", context=name)
@@ -155,17 +155,22 @@ class Engine:
             for whole in batches:
                 for a in range(0, whole.num_rows, BATCH):
                     batch = whole.slice(a, BATCH)
-                    text, losses = [], []
-                    for r in batch.select(["status", "blocks", "inlines", "__names"]).to_pylist():
+                    text, losses, reports = [], [], []
+                    for r in batch.select(["status", "blocks", "inlines", "reports", "__names"]).to_pylist():
+                        reports.append(r["reports"])
                         if r["status"] != "success":
                             text.append(None)
                             losses.append(None)
                             continue
                         names = {x["idx"]: x["name"] for x in r["__names"] or []}
-                        out, hits = render(unflatten(r["blocks"], r["inlines"]), names)
+                        doc = unflatten(r["blocks"], r["inlines"])
+                        out, hits = render(doc, names)
+                        report_losses(doc, hits)
+                        reports[-1] = r["reports"] + [x | {"seq": len(r["reports"]) + x["seq"]} for x in report_rows(doc)]
                         text.append(out)
                         losses.append(list(hits.items()))
-                    yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + [pa.array(text, pa.string()), pa.array(losses, pa.map_(pa.string(), pa.int64()))], names=[*cols, "artifact", "losses"])
+                    told = pa.array(reports, batch.column("reports").type)
+                    yield pa.RecordBatch.from_arrays([told if c == "reports" else batch.column(c) for c in cols] + [pa.array(text, pa.string()), pa.array(losses, pa.map_(pa.string(), pa.int64()))], names=[*cols, "artifact", "losses"])
 
         return base.mapInArrow(run, added).withColumn("sha256", F.sha2(F.col("artifact").cast("binary"), 256))
 
@@ -217,6 +222,7 @@ class Engine:
                     for r in batch.select(["__content", "name", "format", "__note"]).to_pylist():
                         status, doc = parse_one(r["__content"], r["name"], r["format"], r["__note"], readers, limits)
                         text, hits = render(doc) if status == "success" else (None, {})
+                        report_losses(doc, hits)
                         n = count(doc)
                         rows.append({"status": status, "markdown": text, "n_blocks": n[0], "n_headings": n[1], "n_links": n[2], "losses": list(hits.items()), "reports": report_rows(doc)})
                     made = pa.RecordBatch.from_pylist(rows, schema=types)

@@ -42,17 +42,18 @@ def manifest(rendered: DataFrame, content: Column) -> DataFrame:
 
 
 def fresh(current: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """current (doc_id, digest hex of the source), sidecars (doc_id, manifest json) -> doc_id, state, plugins.  A missing manifest
+    """current (doc_id, digest hex of the source), sidecars (doc_id, manifest json) -> doc_id, state, code, plugins.  A missing manifest
     is fine; one that is too large, malformed, of another schema or of other bytes is ignored with a warning."""
     shape = "struct<plugins:array<struct<data:string,id:string,version:int>>,schema:string,schema_version:int,source:struct<digest:struct<algorithm:string,hex:string>>>"
     read = sidecars.select("doc_id", "manifest", F.from_json("manifest", shape).alias("m"))
     both = current.join(read, "doc_id", "left")
     ok = (F.col("m.schema") == SCHEMA) & (F.col("m.schema_version") == VERSION)
     state = (
-        F.when(F.col("manifest").isNull(), "missing").when(F.octet_length("manifest") > MOST_BYTES, "core.manifest-too-large").when(F.col("m").isNull() | ~F.coalesce(ok, F.lit(False)), "core.manifest-malformed")
-        .when(F.col("m.source.digest.hex") != F.col("digest"), "core.manifest-stale").otherwise("fresh")
+        F.when(F.col("manifest").isNull(), "missing").when(F.octet_length("manifest") > MOST_BYTES, "too-large").when(F.col("m").isNull() | ~F.coalesce(ok, F.lit(False)), "malformed")
+        .when(F.col("m.source.digest.hex") != F.col("digest"), "stale").otherwise("fresh")
     )
-    return both.withColumn("state", state).select("doc_id", "state", F.when(state == "fresh", F.col("m.plugins")).alias("plugins"))
+    code = F.when(~state.isin("fresh", "missing"), "core.stale-or-invalid-manifest")
+    return both.withColumns({"state": state, "code": code}).select("doc_id", "state", "code", F.when(state == "fresh", F.col("m.plugins")).alias("plugins"))
 
 
 def carry(new: Column | str, old: Column | str) -> Column:

@@ -21,7 +21,7 @@ class Package:
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(content))
         except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError, EOFError, struct.error) as e:
-            raise Refused(f"{code}.not-a-package") from e
+            raise Refused(f"{code}.bad-archive" if code == "epub" else f"{code}.not-an-archive") from e
         infos = self.zip.infolist()
         if len(infos) > limits.max_archive_entries:
             raise LimitExceeded("max_archive_entries")
@@ -29,7 +29,7 @@ class Package:
         for i in infos:
             name = i.orig_filename
             if name.startswith("/") or "\\" in name or "\0" in name or ".." in name.split("/"):
-                raise Refused(f"{code}.unsafe-member-name")
+                raise Refused(f"{code}.hostile-archive")
             if i.flag_bits & 1:
                 raise Refused(f"{code}.encrypted")
             if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
@@ -48,17 +48,17 @@ class Package:
         raw.seek(info.header_offset)
         head = raw.read(30)
         if len(head) < 30 or head[:4] != b"PK\x03\x04":
-            raise Refused(f"{self.code}.truncated")
+            raise Refused(f"{self.code}.not-an-archive")
         raw.seek(info.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
         data = raw.read(info.compress_size)
         if len(data) < info.compress_size:
-            raise Refused(f"{self.code}.truncated")
+            raise Refused(f"{self.code}.not-an-archive")
         budget = min(self.limits.max_archive_entry_bytes, self.limits.max_archive_ratio * max(info.compress_size, 64), self.left)
         if info.compress_type == zipfile.ZIP_DEFLATED:
             try:
                 data = zlib.decompressobj(-15).decompress(data, budget + 1)
             except zlib.error as e:
-                raise Refused(f"{self.code}.corrupt-member") from e
+                raise Refused(f"{self.code}.not-an-archive") from e
         if len(data) > budget:
             raise LimitExceeded("max_archive_ratio")
         self.left -= len(data)

@@ -99,16 +99,16 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     box, out = Compound(content, "doc"), Builder(limits)
     word = box.stream("WordDocument")
     if word is None or len(word) < 0x1AA:
-        raise Refused("doc.missing-stream")
+        raise Refused("doc.missing-word-stream")
     magic, _, _, _, _, flags = struct.unpack_from("<HHHHHH", word, 0)
     if magic != 0xA5EC:
         raise Refused("doc.unsupported-version")
     if flags & 0x0100:
-        raise Refused("doc.encrypted")
+        raise Refused("doc.encryption-refused")
     table = box.stream("1Table" if flags & 0x0200 else "0Table") or b""
     left, = struct.unpack_from("<I", word, 0x4C)
     styles = Styles(word, table)
-    counts = {"table-flattened": 0, "page-break-dropped": 0, "object-dropped": 0}
+    counts = {"tables-flattened": 0, "page-breaks-dropped": 0, "embedded-objects-dropped": 0}
     fields: list[dict] = []
     start: int | None = None
 
@@ -164,10 +164,10 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
             elif s == "\r":
                 end()
             elif s == "\x07":
-                counts["table-flattened"] += 1
+                counts["tables-flattened"] += 1
                 end()
             elif s == "\x0c":
-                counts["page-break-dropped"] += 1
+                counts["page-breaks-dropped"] += 1
                 end()
             elif s == "\x0b":
                 if out.in_leaf:
@@ -176,7 +176,7 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
                 if out.in_leaf:
                     out.space()
             elif s in ("\x01", "\x08"):
-                counts["object-dropped"] += 1
+                counts["embedded-objects-dropped"] += 1
             elif s == "\x1e":
                 ensure(at)
                 out.text("-")
@@ -186,8 +186,8 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
                     out.text(s)
     end()
     if not styles.starts:
-        out.report("doc.styles-unavailable", "note", loss="structural")
+        out.report("doc.styles-omitted", "note", loss="structural")
     for what, k in counts.items():
         if k:
-            out.report(f"doc.{what}", "note", loss={"table-flattened": "structural", "object-dropped": "dropped"}.get(what, "presentation"), count=k)
+            out.report(f"doc.{what}", "note", loss={"tables-flattened": "structural", "embedded-objects-dropped": "dropped"}.get(what, "presentation"), count=k)
     return out.doc

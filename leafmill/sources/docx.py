@@ -108,7 +108,7 @@ class _Reader:
         rest = sorted(self.styles_seen)
         if rest:
             self.out.doc.plugins["org.leafmill.docx"] = (1, {"paragraph_style_ids": rest})
-        losses = {"page-break-dropped": "presentation", "section-properties-dropped": "presentation", "comment-dropped": "dropped", "deletion-dropped": "dropped", "text-box-dropped": "dropped", "embedded-object-dropped": "dropped", "bookmark-dropped": "none", "heading-clamped": "structural", "merged-cells-degraded": "structural"}
+        losses = {"page-breaks-dropped": "presentation", "section-properties-dropped": "presentation", "comments-dropped": "dropped", "tracked-deletions-dropped": "dropped", "text-boxes-dropped": "dropped", "embedded-objects-dropped": "dropped", "bookmarks-dropped": "none", "heading-level-clamped": "structural", "merged-cells-degraded": "structural"}
         for what, n in self.counted.items():
             self.out.report(f"docx.{what}", "note", loss=losses.get(what, "none"), count=n)
         return self.out.doc
@@ -126,11 +126,11 @@ class _Reader:
             elif t in ("ins", "moveTo", "customXml", "smartTag"):
                 self.blocks(e)
             elif t in ("del", "moveFrom"):
-                self.count("deletion-dropped")
+                self.count("tracked-deletions-dropped")
             elif t == "sectPr":
                 self.section(e)
             elif t in ("bookmarkStart",):
-                self.count("bookmark-dropped")
+                self.count("bookmarks-dropped")
             elif t in ("bookmarkEnd", "proofErr", "commentRangeStart", "commentRangeEnd", "permStart", "permEnd"):
                 pass
             elif t == "AlternateContent":
@@ -183,7 +183,7 @@ class _Reader:
         elif level is not None:
             self.lists.end()
             if level > 6:
-                self.count("heading-clamped")
+                self.count("heading-level-clamped")
             self.out.open("heading", level=min(level, 6))
         else:
             self.lists.end()
@@ -257,7 +257,7 @@ class _Reader:
                     self.out.facet(self.out.current, "revision", revision="insertion", author=e.get("author", ""), timestamp=e.get("date", ""))
                 self.inlines(e)
             elif t in ("del", "moveFrom"):
-                self.count("deletion-dropped")
+                self.count("tracked-deletions-dropped")
                 if self.out.current is not None:
                     self.out.facet(self.out.current, "revision", revision="deletion", author=e.get("author", ""), timestamp=e.get("date", ""))
             elif t == "sdt":
@@ -271,9 +271,9 @@ class _Reader:
             elif t == "fldSimple":
                 self.link_or_text(e.get("instr", ""), lambda e=e: self.inlines(e))
             elif t == "bookmarkStart":
-                self.count("bookmark-dropped")
+                self.count("bookmarks-dropped")
             elif t == "commentReference":
-                self.count("comment-dropped")
+                self.count("comments-dropped")
             elif t in ("smartTag", "customXml", "dir", "bdo"):
                 self.inlines(e)
             elif t == "AlternateContent":
@@ -347,7 +347,7 @@ class _Reader:
                 self.out.space()
             elif t in ("br", "cr"):
                 if e.get("type") in ("page", "column"):
-                    self.count("page-break-dropped")
+                    self.count("page-breaks-dropped")
                 else:
                     self.runs.style(styles)
                     self.out.hard_break()
@@ -358,9 +358,9 @@ class _Reader:
             elif t in ("drawing", "pict"):
                 self.drawing(e)
             elif t == "object":
-                self.count("embedded-object-dropped")
+                self.count("embedded-objects-dropped")
             elif t == "commentReference":
-                self.count("comment-dropped")
+                self.count("comments-dropped")
             elif t == "AlternateContent":
                 for d in e.walk():
                     if d.tag in ("drawing", "pict"):
@@ -390,7 +390,7 @@ class _Reader:
 
     def drawing(self, e: Element) -> None:
         if any(x.tag == "txbxContent" for x in e.walk()):
-            self.count("text-box-dropped")
+            self.count("text-boxes-dropped")
             return
         embed = next((x.get("embed") or x.get("id") for x in e.walk() if x.tag in ("blip", "imagedata") and (x.get("embed") or x.get("id"))), None)
         alt = next((x.get("descr") for x in e.walk() if x.get("descr")), "")

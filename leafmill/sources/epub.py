@@ -14,9 +14,11 @@ from leafmill.sources.archive import Package, resolve
 def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     pkg, out = Package(content, limits, "epub"), Builder(limits)
     if "META-INF/encryption.xml" in pkg:
-        raise Refused("epub.encrypted")
+        raise Refused("epub.drm-refused")
     container = pkg.xml("META-INF/container.xml")
-    path = next((e.get("full-path") for e in container.walk() if e.tag == "rootfile" and e.get("full-path")), None) if container else None
+    if container is None:
+        raise Refused("epub.missing-container")
+    path = next((e.get("full-path") for e in container.walk() if e.tag == "rootfile" and e.get("full-path")), None)
     opf = pkg.xml(path) if path else None
     if opf is None:
         raise Refused("epub.missing-package")
@@ -30,7 +32,7 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     for ref in opf.child("spine").children("itemref") if opf.child("spine") else ():
         item = items.get(ref.get("idref", ""))
         if item is None:
-            out.report("epub.missing-chapter", "warning", loss="dropped", context=ref.get("idref", ""))
+            out.report("epub.skipped-spine-item", "warning", loss="dropped", context=ref.get("idref", ""))
             continue
         member = resolve(folder, unquote(item.get("href", "")))
         data = pkg.read(member)
@@ -40,7 +42,7 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
         try:
             source = data.decode("utf-8-sig")
         except UnicodeDecodeError:
-            out.report("epub.unreadable-chapter", "warning", loss="dropped", context=member)
+            out.report("epub.skipped-spine-item", "warning", loss="dropped", context=member)
             continue
         before = len(out.doc.body)
         here = posixpath.dirname(member)

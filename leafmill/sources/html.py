@@ -224,7 +224,7 @@ class _Parser:
             pass
         elif name in _RAW:
             if name in ("svg", "iframe"):
-                out.report("html.dropped-element", "warning", consequence=f"{name} was left out", loss="dropped", context=name)
+                out.report("html.skipped-embedded-content", "warning", consequence=f"{name} was left out", loss="dropped", context=name)
             if empty:
                 return at
             end = re.compile(f"</{name}", re.I).search(self.s, at)

@@ -112,7 +112,7 @@ class _Odf:
             elif t == "note":
                 self.note(e)
             elif t == "annotation":
-                self.out.report(f"{self.code}.annotation-dropped", "note", loss="dropped")
+                self.out.report(f"{self.code}.annotations-dropped", "note", loss="dropped")
                 if self.out.current is not None:
                     who = next((x.text() for x in e.walk() if x.tag == "creator"), "")
                     when = next((x.text() for x in e.walk() if x.tag == "date"), "")

@@ -248,7 +248,7 @@ class Page:
                 elif x == "BI":
                     end = re.compile(rb"[\s]EI(?=[\s]|$)").search(data, lexer.at)
                     lexer.at = end.end() if end else len(data)
-                    self.out.report("pdf.inline-image-dropped", "note", loss="dropped")
+                    self.out.report("pdf.images-omitted", "note", loss="dropped")
                 elif x == "m":
                     start = at = (float(a[0]), float(a[1]))
                 elif x == "l":
@@ -507,7 +507,7 @@ def _emit_image(out: Builder, file: File, name: str, s: Stream) -> None:
     except (Unsupported, ValueError, zlib.error):
         got = None
     if got is None:
-        out.report("pdf.image-dropped", "note", loss="dropped", context=name)
+        out.report("pdf.images-omitted", "note", loss="dropped", context=name)
         return
     source = f"{name}.{ {'image/jpeg': 'jpg', 'image/jp2': 'jp2'}.get(got[1], 'png')}"
     out.open("paragraph")
@@ -567,6 +567,8 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
         pages.append(page)
         links += sum(1 for a in get(d.get("Annots")) or [] if isinstance(get(a), dict) and get(get(a).get("Subtype")) == "Link")
     if links:
-        out.report("pdf.links-dropped", "note", loss="structural", count=links)
+        out.report("pdf.links-omitted", "note", loss="structural", count=links)
+    if not any(isinstance(x, Line) for p in pages for x in p.items):
+        out.report("pdf.no-text", "warning", loss="dropped")
     project(out, file, pages)
     return out.doc

@@ -79,7 +79,7 @@ class Lexer:
     def _nest(self) -> None:
         self.depth += 1
         if self.depth > 200:
-            raise Refused("pdf.too-deep", exit_class="limit")
+            raise Refused("pdf.limit", exit_class="limit")
 
     def _array(self) -> list:
         self._nest()
@@ -151,9 +151,9 @@ class File:
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             self._rebuild()
         if "Encrypt" in self.trailer:
-            raise Refused("pdf.encrypted")
+            raise Refused("pdf.encryption-refused")
         if not isinstance(self.get(self.trailer.get("Root")), dict):
-            raise Refused("pdf.no-catalog")
+            raise Refused("pdf.malformed")
 
     # ---------------------------------------------------------------- xref
     def _xref(self) -> None:

@@ -27,12 +27,12 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     box, out = Compound(content, "ppt"), Builder(limits)
     stream = box.stream("PowerPoint Document")
     if stream is None:
-        raise Refused("ppt.missing-stream")
-    out.report("ppt.text-projection", "note", loss="presentation")
+        raise Refused("ppt.missing-document-stream")
+    out.report("ppt.presentation-projection", "note", loss="presentation")
     kind, slide, notes = 4, 0, False
     for t, data in atoms(stream):
         if t == _CRYPT:
-            raise Refused("ppt.encrypted")
+            raise Refused("ppt.encryption-refused")
         if t == _HEADER and len(data) >= 4:
             kind, = struct.unpack_from("<I", data)
             slide += kind in (0, 6)

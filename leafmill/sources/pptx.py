@@ -122,7 +122,7 @@ class _Slide:
             out.open("table_row")
             for c in r.children("tc"):
                 if c.get("hMerge") in ("1", "true") or c.get("vMerge") in ("1", "true"):
-                    out.report("pptx.merged-cells-degraded", "note", loss="structural")
+                    out.report("pptx.merged-cells", "note", loss="structural")
                     if c.get("vMerge") not in ("1", "true"):
                         continue
                 out.open("table_cell", alignment="default", row_span=1, col_span=max(1, number(c.get("gridSpan"), 1)))

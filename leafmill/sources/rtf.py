@@ -317,7 +317,7 @@ class _Reader:
             self.out.report("rtf.nested-table-flattened", "note", loss="structural")
         elif not _SILENT.match(w) and w not in self.unknown:
             self.unknown.add(w)
-            self.out.report("rtf.unhandled-control-word", "note", context=w)
+            self.out.report("rtf.unknown-control-words", "note", context=w)
 
     def begin_note(self) -> None:
         self.ensure()

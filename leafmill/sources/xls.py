@@ -86,9 +86,9 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     box, out = Compound(content, "xls"), Builder(limits)
     stream = box.stream("Workbook") or box.stream("Book")
     if stream is None:
-        raise Refused("xls.missing-stream")
+        raise Refused("xls.missing-workbook")
     if len(stream) < 8 or struct.unpack_from("<H", stream, 4)[0] != 0x0600:
-        raise Refused("xls.unsupported-version")
+        raise Refused("xls.unsupported-biff")
     sheets: list[tuple[str, int]] = []
     strings: list[str] = []
     custom: dict[int, str] = {}
@@ -97,7 +97,7 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     for kind, parts in records(stream):
         d = parts[0]
         if kind == _CRYPT:
-            raise Refused("xls.encrypted")
+            raise Refused("xls.encryption-refused")
         if kind == _EPOCH:
             epoch = d[:2] == b"\x01\x00"
         elif kind == _SHEET and len(d) > 7 and d[5] == 0:
@@ -177,5 +177,5 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
             line.append(c)
         sheet(out, title, [rows[r] for r in sorted(rows)])
     if missing:
-        out.report("xls.formula-without-value", "note", loss="dropped", count=missing)
+        out.report("xls.formula-without-cached-value", "note", loss="dropped", count=missing)
     return out.doc

@@ -110,9 +110,9 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
                     line.append({"text": value, "value_type": what, "formula": None, "row": number})
         sheet(out, title, rows)
     if seen and failed == seen:
-        raise Refused("xlsb.no-readable-sheet")
+        raise Refused("xlsb.sheets-unreadable")
     if failed:
-        out.report("xlsb.unreadable-sheet", "warning", loss="dropped", count=failed)
+        out.report("xlsb.sheet-skipped", "warning", loss="dropped", count=failed)
     return out.doc
 
 

@@ -67,7 +67,7 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
             rows.append(row)
         sheet(out, s.get("name", ""), rows)
     if missing:
-        out.report("xlsx.formula-without-value", "note", loss="dropped", count=missing)
+        out.report("xlsx.formula-without-cached-value", "note", loss="dropped", count=missing)
     return out.doc
 
 

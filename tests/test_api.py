@@ -15,7 +15,7 @@ def test_convert_bytes_and_errors():
     out = api.convert(P.REPORT, name="r.docx")
     assert out.name == "r.md" and out.source_format == "docx" and out.artifact.startswith("# The Report")
     assert json.loads(out.manifest)["source"]["format"] == "docx"
-    with pytest.raises(api.ConversionError, match="core.strict-refusal"):
+    with pytest.raises(api.ConversionError, match="core.strict-refused"):
         api.convert(P.REPORT, strict="exact")
     with pytest.raises(api.LimitExceededError):
         api.convert(b"abcd", from_format="text", limits=api.Limits(max_input_bytes=3))

@@ -50,7 +50,7 @@ def test_convert_statuses(spark):
     rows = {r["doc_id"]: r for r in ENGINE.convert(df).collect()}
     assert (rows[0]["status"], rows[0]["markdown"], rows[0]["n_blocks"], rows[0]["n_headings"], rows[0]["n_links"]) == ("success", "# T\n\nx [l](u)\n", 2, 1, 1)
     assert [rows[i]["status"] for i in (1, 2, 3)] == ["failed"] * 3 and rows[1]["markdown"] is None
-    assert [rows[i]["reports"][0]["code"] for i in (1, 2, 3)] == ["text.invalid-utf8", "core.undetectable-input-format", "docx.not-a-package"]
+    assert [rows[i]["reports"][0]["code"] for i in (1, 2, 3)] == ["text.invalid-utf8", "core.undetectable-input-format", "docx.not-an-archive"]
     assert Engine(limits=Limits(max_input_bytes=3)).convert(df.where("doc_id = 0")).first()["reports"][0]["contexts"] == ["max_input_bytes"]
 
 
@@ -78,7 +78,7 @@ def test_strict_grades(spark):
     ok = {g: {r["doc_id"] for r in ENGINE.convert(df, strict=g).where("status = 'success'").collect()} for g in lowering.GRADES}
     assert ok == {"off": {0, 1, 2, 3}, "content": {0, 1, 2}, "structure": {0, 2}, "exact": {2}}
     refused = ENGINE.convert(df, strict="exact").where("doc_id = 0").first()
-    assert refused["markdown"] is None and refused["reports"][-1]["code"] == "core.strict-refusal"
+    assert refused["markdown"] is None and [r["code"] for r in refused["reports"]] == ["markdown.style-dropped", "core.strict-refused"]
     with pytest.raises(ValueError):
         ENGINE.convert(df, strict="very")
 
@@ -158,7 +158,7 @@ def test_manifest_is_canonical_and_staleness(spark):
     digest = m["source"]["digest"]["hex"]
     now = spark.createDataFrame([(0, digest), (1, "other"), (2, "x"), (3, "x")], "doc_id int, digest string")
     side = spark.createDataFrame([(0, one[0]), (1, one[0]), (2, "{broken")], "doc_id int, manifest string")
-    assert [r["state"] for r in manifest.fresh(now, side).orderBy("doc_id").collect()] == ["fresh", "core.manifest-stale", "core.manifest-malformed", "missing"]
+    assert [r["state"] for r in manifest.fresh(now, side).orderBy("doc_id").collect()] == ["fresh", "stale", "malformed", "missing"]
     plugins = spark.createDataFrame([([("a", 1, "new")], [("a", 1, "old"), ("b", 2, "kept")])], "n array<struct<id:string,version:int,data:string>>, o array<struct<id:string,version:int,data:string>>")
     assert [x["data"] for x in plugins.select(manifest.carry("n", "o")).first()[0]] == ["new", "kept"]
 
