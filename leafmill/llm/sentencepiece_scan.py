@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,6 +329,13 @@ def encode_ids(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: i
     return small.unionByName(giants)
 
 
+def _lists(column: pa.Array) -> list[list[int]]:
+    """to_pylist() of a list column, by way of one flat list.  Null: no ids."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids) -> doc_id, n_tokens, ids, text."""
 
@@ -336,7 +344,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                ids = part.column("ids").to_pylist()
+                ids = _lists(part.column("ids"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": part.column("ids"), "text": pa.array(sp.decode(ids) if ids else [], pa.string())})
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
