@@ -67,3 +67,23 @@ def violations(parsed: DataFrame, *keys: str) -> DataFrame:
         F.when((F.col("tag") == "text") & F.col("text").rlike(r"[ \t\r\n]"), "blank-in-text"), F.when((F.col("tag") == "text") & (F.coalesce(F.length("text"), F.lit(0)) == 0), "empty-text"),
     ))
     return of_blocks.unionByName(near.select(*keys, "node", F.explode(rules).alias("rule")))
+
+
+def side_violations(parsed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, entity, rule): facets bound to no node, links and images that name no resource, embedded resources without
+    their digest, notes that are referred to but missing."""
+    nodes = blocks(parsed, *keys).where("entity is not null").select(*keys, "entity").unionByName(inlines(parsed, *keys).where("entity is not null").select(*keys, "entity"))
+    bound = parsed.select(*keys, F.explode("facets").alias("f")).select(*keys, "f.entity")
+    loose = bound.join(nodes, [*keys, "entity"], "left_anti").select(*keys, "entity", F.lit("unbound-facet").alias("rule"))
+    have = resources(parsed, *keys)
+    named = inlines(parsed, *keys).where("resource is not null").select(*keys, F.col("resource").alias("idx"))
+    missing = named.join(have.select(*keys, "idx"), [*keys, "idx"], "left_anti").select(*keys, F.col("idx").alias("entity"), F.lit("unknown-resource").alias("rule"))
+    bare = have.where("kind = 'embedded' and (digest is null or digest <> sha2(content, 256))").select(*keys, F.col("idx").alias("entity"), F.lit("digest").alias("rule"))
+    notes = inlines(parsed, *keys).where("tag = 'note'").select(*keys, (F.col("note") + 1).alias("forest"))
+    lost = notes.join(blocks(parsed, *keys).select(*keys, "forest").distinct(), [*keys, "forest"], "left_anti").select(*keys, F.col("forest").alias("entity"), F.lit("missing-note").alias("rule"))
+    return loose.unionByName(missing).unionByName(bare).unionByName(lost)
+
+
+def envelope() -> Column:
+    """A conversion as one line of JSON: keys in order, absent values left out."""
+    return F.to_json(F.struct(F.col("markdown").alias("artifact"), "format", "name", "reports", "status"))

@@ -60,7 +60,7 @@ def graded(df: DataFrame, strict: str) -> DataFrame:
         return df
     bad = (F.col("status") == "success") & refused(add(cost(), reported()), strict)
     note = F.struct(
-        F.size("reports").alias("seq"), F.lit("core.strict-refusal").alias("code"), F.lit("failure").alias("severity"), F.lit(strict).alias("consequence"), F.lit("none").alias("loss"),
+        F.size("reports").alias("seq"), F.lit("core.strict-refused").alias("code"), F.lit("failure").alias("severity"), F.lit(strict).alias("consequence"), F.lit("none").alias("loss"),
         F.lit("").alias("directions"), F.lit("strict").alias("exit_class"), F.lit(1).cast("bigint").alias("count"), F.array().cast("array<string>").alias("contexts"),
     )
     out = {"reports": F.when(bad, F.array_append("reports", note)).otherwise(F.col("reports")), "status": F.when(bad, "failed").otherwise(F.col("status"))}

@@ -82,12 +82,20 @@ def html_heading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.blocks(_parsed(spark, sf_dir), "doc_id").groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    own = relations.blocks(_parsed(spark, sf_dir), "doc_id").where(F.col("tag").isin("heading", "list", "list_item", "container"))
+    return own.groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def subtree_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relations.blocks(_parsed(spark, sf_dir), "doc_id").select("doc_id", "node", "subtree_len", "tag")
-    return relations.containment(rows, "doc_id", outer=F.col("tag").isin("container", "list")).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    """Lists and the items in them, by the interval of subtrees."""
+    rows = relations.blocks(_parsed(spark, sf_dir), "doc_id").where("tag in ('list', 'list_item')").select("doc_id", "node", "subtree_len", "tag")
+    return relations.containment(rows, "doc_id", outer=F.col("tag") == "list").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("pairs"))
+
+
+def batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newline-delimited JSON, an envelope a document."""
+    out = ENGINE.convert(spread(table(spark, sf_dir, "region")).select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("# "), F.col("r_name")).alias("md")), F.lit("r.md"), "md")
+    return out.select("doc_id", F.regexp_replace(relations.envelope(), r'"reports":\[\],?', "").alias("line"))
 
 
 def tree_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +218,7 @@ def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    html_to_markdown, text_paragraph_counts, text_soft_breaks, text_space_collapse, text_conversations, md_escape, html_tag_counts, html_title_dropped, html_link_targets, html_heading_text, block_census, subtree_containment,
+    html_to_markdown, text_paragraph_counts, text_soft_breaks, text_space_collapse, text_conversations, md_escape, html_tag_counts, html_title_dropped, html_link_targets, html_heading_text, block_census, subtree_containment, batch_envelopes,
     tree_violations, html_list_items, round_trip_fixed_point, detect_format, sniff_magic, format_suggestion, shift_headings, strip_classes, promote_first_heading, loss_grades, lowering_hits, choose_lowering, report_aggregate,
     serial_dates, column_widths, table_markdown, resource_naming, csv_tables,
 )}
@@ -228,6 +236,11 @@ ORACLES: dict[str, str] = {
     "html_link_targets": rf"SELECT page_id, array_to_string(list_transform(regexp_extract_all({_BODY}, '<a href=\"([^\"]*)\"', 1), lambda x: replace(replace(x, '&quot;', '\"'), '&amp;', '&')), '|') AS targets FROM pages",
     "html_list_items": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<li[ >]')) AS BIGINT) AS items FROM pages",
     "html_heading_text": rf"SELECT page_id, CAST(1 AS BIGINT) AS level, trim(regexp_replace(replace(regexp_extract({_BODY}, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ') AS heading FROM pages",
+    "block_census": rf"""WITH b AS (SELECT {_BODY} AS html FROM pages)
+SELECT 'heading' AS tag, CAST(sum(len(regexp_extract_all(html, '<h[1-6][ >]'))) AS BIGINT) AS n FROM b UNION ALL SELECT 'list', CAST(sum(len(regexp_extract_all(html, '<[uo]l[ >]'))) AS BIGINT) FROM b
+UNION ALL SELECT 'list_item', CAST(sum(len(regexp_extract_all(html, '<li[ >]'))) AS BIGINT) FROM b UNION ALL SELECT 'container', CAST(sum(len(regexp_extract_all(html, '<(div|section|article|aside|figure|main|nav|header|footer)[ >]'))) AS BIGINT) FROM b""",
+    "subtree_containment": rf"SELECT page_id, n AS pairs FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<li[ >]')) AS BIGINT) AS n FROM pages) WHERE n > 0",
+    "batch_envelopes": r"""SELECT r_regionkey AS doc_id, '{"artifact":"# ' || r_name || '\n","format":"markdown","name":"r.md","status":"success"}' AS line FROM region""",
     "tree_violations": "SELECT CAST(0 AS BIGINT) AS violations",
     "round_trip_fixed_point": "SELECT page_id, true AS fixed FROM pages",
     "detect_format": r"SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '\.html?$') THEN 'html' END AS format, CASE WHEN NOT regexp_matches(regexp_extract(url, '^[^?#]*'), '\.html?$') THEN 'core.undetectable-input-format' END AS code FROM pages",

@@ -171,6 +171,9 @@ def test_relations(spark):
     assert relations.facets(p, "layout", "surface string, width long", "doc_id").where("surface = 'slide'").count() == 4
     assert [r["value"] for r in relations.metadata(p, "doc_id").collect()] == ["Book"]
     assert "The Report" in {r["text"] for r in relations.subtree_text(p, "doc_id").collect()}
+    assert relations.side_violations(p, "doc_id").count() == 0
+    loose = p.where("doc_id = 1").withColumn("facets", F.transform("facets", lambda f: f.withField("entity", f["entity"] + 100)))
+    assert {r["rule"] for r in relations.side_violations(loose, "doc_id").collect()} == {"unbound-facet"}
     bad = p.where("doc_id = 0").withColumn("blocks", F.transform("blocks", lambda b: F.when(b["tag"] == "heading", b.withField("level", F.lit(9))).when(b["tag"] == "table_row", b.withField("tag", F.lit("quote"))).otherwise(b)))
     assert {r["rule"] for r in relations.violations(bad, "doc_id").collect()} == {"heading-level", "placement"}
 
