@@ -27,7 +27,7 @@ def rels(*rows: tuple) -> str:
 def docx(body: str, **more: str) -> bytes:
     return pack({
         "_rels/.rels": rels(("r1", "officeDocument", "word/document.xml")),
-        "word/_rels/document.xml.rels": rels(("h1", "hyperlink", "https://ziglang.org/", "x"), ("f", "footnotes", "footnotes.xml"), ("i1", "image", "media/a.png")),
+        "word/_rels/document.xml.rels": rels(("h1", "hyperlink", "https://example.org/", "x"), ("f", "footnotes", "footnotes.xml"), ("i1", "image", "media/a.png")),
         "word/styles.xml": f'<w:styles {W}><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:type="paragraph" w:styleId="Sub"><w:name w:val="own"/><w:basedOn w:val="H1"/></w:style></w:styles>',
         "word/numbering.xml": f'<w:numbering {W}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>',
         "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:t>The note body.</w:t></w:r></w:p></w:footnote></w:footnotes>',
