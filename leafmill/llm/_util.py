@@ -17,7 +17,11 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of files.  One with fewer splits than there are cores is dealt out to all of them: the operators spend far
+    more time on a row than it takes to move it.  A large table has splits enough and is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
