@@ -116,7 +116,8 @@ class _Odf:
                 if self.out.current is not None:
                     who = next((x.text() for x in e.walk() if x.tag == "creator"), "")
                     when = next((x.text() for x in e.walk() if x.tag == "date"), "")
-                    self.out.facet(self.out.current, "revision", revision="comment", author=who, timestamp=when)
+                    said = " ".join(p.text() for p in e.walk() if p.tag == "p")
+                    self.out.facet(self.out.current, "revision", revision="comment", author=who, timestamp=when, note=said)
             elif t in ("frame", "image"):
                 self.image(e)
             elif t in ("bookmark", "bookmark-start", "bookmark-end", "annotation-end", "soft-page-break", "reference-mark"):
@@ -139,6 +140,7 @@ class _Odf:
     def image(self, frame: Element) -> None:
         image = next((x for x in frame.walk() if x.tag == "image"), None)
         if image is None or not image.get("href"):
+            self.out.report(f"{self.code}.frame-dropped", "note", loss="dropped")
             return
         href = image.get("href").removeprefix("./")
         alt = next((x.text() for x in frame.walk() if x.tag == "desc"), None) or next((x.text() for x in frame.walk() if x.tag == "title"), None) or frame.get("name") or ""

@@ -7,10 +7,9 @@ import re
 from leafmill.functions.limits import DEFAULT, LimitExceeded, Limits
 from leafmill.functions.runs import Lists, Runs
 from leafmill.functions.tree import Builder, Document, Refused
-from leafmill.operators.resources import MIMES
 
 _TOKEN = re.compile(rb"\\([a-zA-Z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z'])|([{}])|([^\\{}\r\n]+)|[\r\n]+|\\")
-_SKIPPED = frozenset("fonttbl colortbl stylesheet info generator listtable listoverridetable rsidtbl themedata colorschememapping datastore latentstyles xmlnstbl header headerl headerr headerf footer footerl footerr footerf filetbl revtbl pgptbl mmathPr wgrffmtfilter xe tc bkmkstart bkmkend object nonshppict shptxt datafield formfield".split())
+_SKIPPED = frozenset("fonttbl colortbl info generator listtable listoverridetable rsidtbl themedata colorschememapping datastore latentstyles xmlnstbl header headerl headerr headerf footer footerl footerr footerf filetbl revtbl pgptbl mmathPr wgrffmtfilter xe tc bkmkstart bkmkend nonshppict shptxt datafield formfield".split())
 _SYMBOLS = {"emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "emspace": " ", "enspace": " ", "qmspace": " "}
 _STYLES = {"b": "strong", "i": "emphasis", "strike": "strikethrough", "striked": "strikethrough", "scaps": "small_caps", "ul": "underline", "super": "superscript", "sub": "subscript"}
 _SILENT = re.compile(r"(?:f|fs|cf|cb|li|ri|fi|sa|sb|sl|slmult|lang\w*|deff\w*|ansi\w*|rtf|uc|q[lrcj]|widctlpar|nowidctlpar|hyphpar|keepn?|cs|s|ds|ts|af\w*|hich|loch|dbch|ltrch|rtlch|ltrpar|rtlpar|pard|sect\w*|pg\w*|marg\w*|paper\w*|view\w*|tx|tq\w*|kerning|expnd\w*|charscalex|noproof|insrsid|char\w*|rsid\w*|itap|cl\w+|tr\w+|cellx|intbl|nestrow|brdr\w*|b?rd\w*|u[lp]\w*|outlinelevel|ls|ilvl|pn\w*|mac|pc|pca|fet|ftn\w*|aftn\w*|chftn|lytprtmet|hyph\w*|form\w*|dn|up|v|shad|outl|caps|chpgn|pict\w*|pic\w+|blip\w*|wmetafile|pngblip|jpegblip|emfblip|bin|adjustright|aspalpha|aspnum|faauto|contextualspacing|nosupersub|f\w+|deflang\w*|jexpand|viewkind|viewscale|nouicompat|stshf\w*|gutter|htmautsp|noqfpromote|lquote|softline|no\w+|wp\w*|sp\w+|ql|line|page|tab|par)$")
@@ -38,13 +37,14 @@ class _Reader:
         self.table_open: str | None = None
         self.instruction = ""
         self.marker = ""
-        self.picture: dict | None = None
         self.unknown: set[str] = set()
         self.star = False
         self.at_depth: list[tuple[int, str]] = []
+        self.style_names: dict[int, str] = {}
+        self.naming: int | None = None
 
     def reset_paragraph(self) -> None:
-        self.level, self.outline, self.list_level, self.list_id, self.ordered, self.in_table = None, None, 0, None, None, False
+        self.level, self.outline, self.list_level, self.list_id, self.ordered, self.in_table, self.style = None, None, 0, None, None, False, 0
 
     # ------------------------------------------------------------- output
     def ensure(self) -> None:
@@ -53,21 +53,25 @@ class _Reader:
         if self.row is not None and self.in_table:
             if not self.row["cell"]:
                 self.begin_cell()
-            self.out.open("plain" if not self.out.current.kids else "paragraph")
+            self.styled(self.out.open("paragraph"))
             return
         self.end_table()
         if self.list_id is not None:
             ordered = self.ordered if self.ordered is not None else bool(re.match(r"\s*\(?\d", self.marker))
             self.lists.item(self.list_level, self.list_id, ordered)
-            self.out.open("paragraph")
+            self.styled(self.out.open("paragraph"))
         elif self.outline is not None and self.outline < 9:
             self.lists.end()
-            self.out.open("heading", level=min(self.outline + 1, 6))
+            self.styled(self.out.open("heading", level=min(self.outline + 1, 6)))
         else:
             self.lists.end()
-            self.out.open("paragraph")
+            self.styled(self.out.open("paragraph"))
         self.marker = ""
 
+    def styled(self, node) -> None:
+        if self.style and self.style_names.get(self.style):
+            self.out.facet(node, "style", name=self.style_names[self.style])
+
     def text(self, s: str) -> None:
         if self.skip:
             n = min(self.skip, len(s))
@@ -85,10 +89,12 @@ class _Reader:
             self.runs.text(s, self.state.styles)
         elif d == "instruction":
             self.instruction += s
+        elif d == "styles" and self.naming is not None:
+            name = self.style_names.get(self.naming, "") + s
+            self.style_names[self.naming] = name.split(";")[0].strip()
+            self.naming = None if ";" in name else self.naming
         elif d == "marker":
             self.marker += s
-        elif d == "picture" and self.picture is not None:
-            self.picture["hex"].append(s)
 
     def end_paragraph(self) -> None:
         self.runs.end()
@@ -200,13 +206,6 @@ class _Reader:
             self.word("par", None)
 
     def close_group(self) -> None:
-        name = self.state.dest
-        above = self.stack[-1].dest if self.stack else "text"
-        if name != above:
-            if name == "picture":
-                self.end_picture()
-            elif name == "result" or (name == "text" and self.state.url):
-                pass
         if self.state.url:
             self.runs.end()
             self.out.end()
@@ -229,6 +228,17 @@ class _Reader:
             st.uc = max(v or 0, 0)
         elif w in _SKIPPED:
             st.dest = "skip"
+        elif w == "stylesheet":
+            st.dest = "styles"
+        elif st.dest == "styles":
+            if starred:
+                st.dest = "skip"
+            elif w == "s":
+                self.naming = v or 0
+                self.style_names.pop(self.naming, None)
+        elif w == "object":
+            st.dest = "skip"
+            self.out.report("rtf.objects-dropped", "note", loss="dropped")
         elif w == "footnote":
             self.begin_note()
         elif w == "fldinst":
@@ -245,9 +255,8 @@ class _Reader:
         elif w in ("pntext", "listtext"):
             st.dest, self.marker = "marker", ""
         elif w == "pict":
-            st.dest, self.picture = "picture", {"hex": [], "mime": None}
-        elif w in ("pngblip", "jpegblip", "emfblip", "wmetafile") and self.picture is not None:
-            self.picture["mime"] = {"pngblip": "image/png", "jpegblip": "image/jpeg", "emfblip": "image/x-emf", "wmetafile": "image/x-wmf"}[w]
+            st.dest = "skip"
+            self.out.report("rtf.images-dropped", "note", loss="dropped")
         elif w in ("shppict", "pn", "field", "upr", "ud", "shp", "shpinst", "rtf"):
             if w == "pn":
                 st.dest = "marker"
@@ -292,6 +301,8 @@ class _Reader:
             self.text(_SYMBOLS[w])
         elif w == "outlinelevel":
             self.outline = v
+        elif w == "s":
+            self.style = v or 0
         elif w == "ls":
             self.list_id = v
         elif w == "ilvl":
@@ -337,19 +348,6 @@ class _Reader:
         self.runs, self.lists, self.row, self.table_open, self.level, self.outline, self.list_level, self.list_id, self.ordered, self.in_table, n = self._kept.pop()
         self.out.inline("note", note=n)
 
-    def end_picture(self) -> None:
-        p, self.picture = self.picture, None
-        digits = re.sub(r"[^0-9a-fA-F]", "", "".join(p["hex"])) if p else ""
-        if not p or not p["mime"] or not digits:
-            return
-        data = bytes.fromhex(digits[: len(digits) // 2 * 2])
-        ending = next((e for e, m in MIMES.items() if m == p["mime"]), "bin")
-        name = f"picture-{len(self.out.doc.resources) + 1}.{ending}"
-        self.ensure()
-        self.runs.end()
-        self.out.begin("image", url=name, title="", resource=self.out.resource(name, data, p["mime"]))
-        self.out.end()
-
 
 def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
     if not content.startswith(b"{\\rtf"):

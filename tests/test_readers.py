@@ -150,6 +150,10 @@ def test_rtf():
     assert md("rtf", text) == "# Head\n\nHello **bold _both_** café € end\\\nx[^1]\n\n1. item\n\n[here](http://a)\n\n| A   | B   |\n| --- | --- |\n| c   | d   |\n\ntail\n\n[^1]: note text\n"
     with pytest.raises(Refused):
         md("rtf", "plain")
+    doc = READ["rtf"](rb"{\rtf1{\stylesheet{\s0 Normal;}{\s1\b Heading 1;}{\*\cs16 Link;}}\pard\s1 Styled{\pict\pngblip 89504e47}{\object 01}\par\pard Plain\par}", "x", DEFAULT)
+    assert [f["values"]["name"] for f in doc.facets] == ["Heading 1"] and {r.code for r in doc.reports} == {"rtf.images-dropped", "rtf.objects-dropped"}
+    lists = rb"{\rtf1\pard{\listtext \'b7\tab}\ls1\ilvl0 One\par\pard{\listtext \'b7\tab}\ls1\ilvl1 Sub\par\pard{\listtext \'b7\tab}\ls1\ilvl0 Two\par\pard{\*\pn\pnlvlbody\pndec\pnstart1}First\par\pard{\*\pn\pnlvlbody\pndec}Second\par\pard\par}"
+    assert md("rtf", lists) == "- One\n\n  - Sub\n\n- Two\n\n1. First\n\n2. Second\n"
 
 
 PAGE = b"""BT /F1 24 Tf 72 700 Td (Big Title) Tj ET BT /F1 12 Tf 72 660 Td 14 TL (First line of a para-) Tj T* (graph goes on.) Tj 0 -40 Td (Second \\(par\\)) Tj ET
