@@ -161,6 +161,8 @@ class Page:
         self.fonts: dict[int, Font] = {}
         self.line: Line | None = None
         self.depth = 0
+        self.plain = Font(file, {})  # what an unknown font is taken for
+        self.height = 0.0
 
     def font(self, ref, d: dict) -> Font:
         key = ref[0] if isinstance(ref, Ref) else id(d)
@@ -209,7 +211,7 @@ class Page:
                 elif x == "Tf":
                     fonts = get(resources.get("Font")) or {}
                     d = get(fonts.get(a[0]))
-                    font, size = (self.font(fonts.get(a[0]), d) if isinstance(d, dict) else None), float(a[1])
+                    font, size = (self.font(fonts.get(a[0]), d) if isinstance(d, dict) else self.plain), float(a[1])
                 elif x in ("Td", "TD"):
                     if x == "TD":
                         leading = -float(a[1])
@@ -419,7 +421,12 @@ def project(out: Builder, file: File, pages: list[Page]) -> None:
         out.text(text)
         out.close()
         if last is not None:
-            out.facet(node, "layout", surface="page", surface_index=last.page, x=round(last.x * 12700), y=round(last.y * 12700))
+            place(node, last)
+
+    def place(node, line: Line) -> None:
+        """Where a block ends on its page, in EMU from the top left corner."""
+        out.facet(node, "provenance", plugin="pdf", member=f"page-{line.page + 1}", byte_start=0, byte_len=0, confidence="projected")
+        out.facet(node, "layout", surface="page", surface_index=line.page, x=round(line.x * 12700), y=round((pages[line.page].height - line.y - line.size) * 12700))
 
     for p in pages:
         found = grid(p.rules)
@@ -466,9 +473,10 @@ def project(out: Builder, file: File, pages: list[Page]) -> None:
             level = heading(x)
             if level:
                 flush()
-                out.open("heading", level=level)
+                node = out.open("heading", level=level)
                 out.text(x.text)
                 out.close()
+                place(node, x)
                 last = None
             else:
                 if last is not None and (x.page != last.page or last.y - x.y > 1.7 * max(x.size, last.size) or x.y > last.y + x.size):
@@ -509,9 +517,10 @@ def _emit_image(out: Builder, file: File, name: str, s: Stream) -> None:
     if got is None:
         out.report("pdf.images-omitted", "note", loss="dropped", context=name)
         return
-    source = f"{name}.{ {'image/jpeg': 'jpg', 'image/jp2': 'jp2'}.get(got[1], 'png')}"
+    known = next((i for i, r in enumerate(out.doc.resources) if r["content"] == got[0]), None)  # drawn again
+    n = out.resource(f"pdf-image-{len(out.doc.resources) + 1}", *got) if known is None else known
     out.open("paragraph")
-    out.begin("image", url=source, title="", resource=out.resource(f"{len(out.doc.resources)}-{source}", got[0], got[1]))
+    out.begin("image", url=out.doc.resources[n]["source"], title="", resource=n)
     out.end()
     out.close()
 
@@ -546,11 +555,13 @@ def read(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Document:
         d = get(ref)
         if not isinstance(d, dict):
             continue
-        own = inherited | ({"Resources": d["Resources"]} if "Resources" in d else {})
+        own = inherited | {k: d[k] for k in ("Resources", "MediaBox") if k in d}
         if "Kids" in d:
             todo += [(k, own) for k in reversed(get(d["Kids"]) or [])]
             continue
         page = Page(file, out, len(pages))
+        box = [get(x) for x in get(own.get("MediaBox")) or []]
+        page.height = float(box[3]) - float(box[1]) if len(box) == 4 and all(isinstance(x, (int, float)) for x in box) else 792.0
         contents = get(d.get("Contents"))
         parts = []
         for c in contents if isinstance(contents, list) else [contents]:

@@ -1,7 +1,9 @@
 """Each reader on files built in code, hostile packages, and properties over random bytes."""
 
 import random
+import struct
 import zipfile
+import zlib
 
 import packages as P
 import pytest
@@ -169,6 +171,49 @@ def test_pdf(flate):
     assert doc.metadata == [("title", "Doc")]
 
 
+def build_pdf(objects):
+    out, at = b"%PDF-1.5\n", {}
+    for n, o in objects.items():
+        at[n] = len(out)
+        out += b"%d 0 obj\n" % n + o + b"\nendobj\n"
+    return out, at
+
+
+def test_pdf_cross_reference_streams_and_object_streams():
+    inner = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 600 800] >>", b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>"]
+    heads, body = "", b""
+    for n, o in enumerate(inner, 1):
+        heads += f"{n} {len(body)} "
+        body += o + b" "
+    packed = zlib.compress(heads.encode() + body)
+    page = b"BT /F1 12 Tf 72 720 Td (In an object stream) Tj ET"
+    objects = {4: b"<< /Type /ObjStm /N 3 /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (len(heads), len(packed)) + packed + b"\nendstream", 5: b"<< /Length %d >>\nstream\n" % len(page) + page + b"\nendstream"}
+    out, at = build_pdf(objects)
+    rows = b"".join(struct.pack(">BHB", *r) for r in [(0, 0, 0), (2, 4, 0), (2, 4, 1), (2, 4, 2), (1, at[4], 0), (1, at[5], 0), (1, len(out), 0)])
+    # PNG "up" rows, as writers make them
+    before, coded = bytes(4), b""
+    for i in range(0, len(rows), 4):
+        coded += b"\x02" + bytes((a - b) & 255 for a, b in zip(rows[i : i + 4], before, strict=True))
+        before = rows[i : i + 4]
+    coded = zlib.compress(coded)
+    xref = b"<< /Type /XRef /Size 7 /W [1 2 1] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 4 >> /Length %d >>\nstream\n" % len(coded) + coded + b"\nendstream"
+    doc = READ["pdf"](out + b"6 0 obj\n" + xref + b"\nendobj\nstartxref\n%d\n%%%%EOF" % len(out), "x", DEFAULT)
+    assert render(doc)[0] == "In an object stream\n"
+    assert [(f["kind"], f["values"].get("y")) for f in doc.facets] == [("provenance", None), ("layout", (800 - 720 - 12) * 12700)]
+
+
+def test_pdf_images():
+    page = b"BT /F1 12 Tf 72 720 Td (text) Tj ET /Im1 Do /Im1 Do /Im2 Do /Im3 Do"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /Im1 5 0 R /Im2 6 0 R /Im3 7 0 R >> >> >>",
+               4: b"<< /Length %d >>\nstream\n" % len(page) + page + b"\nendstream", 5: b"<< /Subtype /Image /Filter /DCTDecode /Length 2 >>\nstream\n\xff\xd8\nendstream", 6: b"<< /Subtype /Image /Filter /CCITTFaxDecode /Length 1 >>\nstream\n\0\nendstream",
+               7: b"<< /Subtype /Image /ColorSpace /DeviceGray /BitsPerComponent 8 /Width 2 /Height 1 /Length 2 >>\nstream\n\x07\x09\nendstream"}
+    doc = READ["pdf"](build_pdf(objects)[0] + b"trailer << /Root 1 0 R >>", "x", DEFAULT)
+    assert [(r["source"], r["mime"]) for r in doc.resources] == [("pdf-image-1", "image/jpeg"), ("pdf-image-2", "image/png")]
+    assert render(doc)[0].count("![](pdf-image-1)") == 2 and "pdf.images-omitted" in {r.code for r in doc.reports}
+    png = doc.resources[1]["content"]
+    assert zlib.decompress(png[png.index(b"IDAT") + 4 : -16]) == b"\0\x07\x09"
+
+
 def test_pdf_damaged_and_encrypted():
     good = P.pdf(PAGE)
     assert "Big Title" in md("pdf", good[: good.index(b"xref")])  # no cross references: rebuilt
