@@ -78,7 +78,7 @@ def sheet(out: Builder, name: str, rows: list[list[dict | None]]) -> None:
             out.close()
             out.close()
             if c and (c["text"] or c.get("formula")):
-                out.facet(cell, "grid", sheet=name, row=c["row"], col=j, value_type=c["value_type"], formula=c.get("formula") or "")
+                out.facet(cell, "grid", sheet=name, row=c["row"], col=j, value_type=c["value_type"], formula=c.get("formula") or "", cached=c["text"], merge_rows=c.get("merge_rows", 1), merge_cols=c.get("merge_cols", 1))
         out.close()
     out.close()
     out.close()

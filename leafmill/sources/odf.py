@@ -265,10 +265,16 @@ def read_ods(content: bytes, name: str = "", limits: Limits = DEFAULT) -> Docume
                 todo = x.children() + todo
         for line in lines:
             row: list[dict | None] = []
-            for c in line.children("table-cell", "covered-table-cell"):
+            for c in line.children("table-cell"):  # covered cells belong to the one that covers them
                 text, kind = _ods_cell(c)
                 formula = c.get("formula")
-                cell = {"text": text, "value_type": kind, "formula": formula, "row": 0} if text or formula else None
+                notes = len(c.children("annotation"))
+                if notes:
+                    r.out.report("ods.annotations-dropped", "note", loss="dropped", count=notes)
+                if formula and not text and not any(x.code == "ods.formula-without-cached-value" for x in r.out.doc.reports):
+                    r.out.report("ods.formula-without-cached-value", "note", loss="dropped")
+                merged = {"merge_rows": number(c.get("number-rows-spanned"), 1), "merge_cols": number(c.get("number-columns-spanned"), 1)}
+                cell = {"text": text, "value_type": kind, "formula": formula, "row": 0, **merged} if text or formula else None
                 n = min(number(c.get("number-columns-repeated"), 1), MOST_COLUMNS - len(row))
                 row += [cell] * max(n, 0)
             while row and row[-1] is None:
@@ -294,7 +300,7 @@ def _ods_cell(c: Element) -> tuple[str, str]:
         return (":".join(f"{int(x or 0):02d}" for x in m.groups()) if m else c.get("time-value")), "date"
     if kind == "boolean" and c.get("boolean-value"):
         return c.get("boolean-value").upper(), "boolean"
-    text = "\n".join(_shown(p) for p in c.children("p"))
+    text = " ".join(_shown(p) for p in c.children("p"))
     return text, "string" if text else "empty"
 
 

@@ -126,6 +126,10 @@ def test_odf_family():
     assert md("odt", odt) == "## H\n\na **b**[^1]\n\n- one\n\n[^1]: n\n"
     ods = P.odf('<office:spreadsheet><table:table table:name="T"><table:table-row><table:table-cell office:value-type="string"><text:p>a</text:p></table:table-cell><table:table-cell table:number-columns-repeated="2" office:value-type="float" office:value="1.5"/><table:table-cell table:number-columns-repeated="900"/></table:table-row><table:table-row><table:table-cell office:value-type="time" office:time-value="PT1H2M3S"/><table:table-cell office:value-type="percentage" office:value="0.5"/></table:table-row><table:table-row table:number-rows-repeated="1000000"/></table:table></office:spreadsheet>')
     assert md("ods", ods) == "## T\n\n| a        | 1.5 | 1.5 |\n| -------- | --- | --- |\n| 01:02:03 | 50% |     |\n"
+    merged = P.odf('<office:spreadsheet><table:table table:name="M"><table:table-row><table:table-cell table:number-columns-spanned="2" office:value-type="string"><office:annotation><text:p>a comment</text:p></office:annotation><text:p>Wide</text:p></table:table-cell><table:covered-table-cell/></table:table-row><table:table-row><table:table-cell><text:p>x</text:p></table:table-cell><table:table-cell table:formula="of:=1"/></table:table-row></table:table></office:spreadsheet>')
+    doc = READ["ods"](merged, "x", DEFAULT)
+    assert render(doc)[0] == "## M\n\n| Wide |     |\n| ---- | --- |\n| x    |     |\n" and doc.facets[0]["values"]["merge_cols"] == 2
+    assert {r.code for r in doc.reports} == {"ods.annotations-dropped", "ods.formula-without-cached-value"}
     odp = P.odf('<office:presentation><draw:page draw:name="P1"><draw:frame presentation:class="title"><draw:text-box><text:p>Tt</text:p></draw:text-box></draw:frame><draw:frame svg:x="1cm"><draw:text-box><text:p>body</text:p></draw:text-box></draw:frame></draw:page></office:presentation>')
     doc = READ["odp"](odp, "x", DEFAULT)
     assert render(doc)[0] == "## Tt\n\nbody\n" and doc.facets[0]["values"]["x"] == 360_000
