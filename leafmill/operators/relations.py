@@ -16,6 +16,16 @@ def inlines(parsed: DataFrame, *keys: str) -> DataFrame:
     return parsed.select(*keys, F.explode("inlines").alias("i")).select(*keys, "i.*")
 
 
+def roots(rows: DataFrame, forest: int = 0) -> DataFrame:
+    """Top-level rows of a forest: 0 is the body, n is note n - 1."""
+    return rows.where((F.col("forest") == forest) & F.col("parent").isNull())
+
+
+def children(rows: DataFrame, parents: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose parent is among parents (keys, node), with that parent's number as it stands."""
+    return rows.join(parents.select(*keys, F.col("node").alias("parent")), [*keys, "parent"], "left_semi")
+
+
 def resources(parsed: DataFrame, *keys: str) -> DataFrame:
     return parsed.select(*keys, F.explode("resources").alias("r")).select(*keys, "r.*")
 

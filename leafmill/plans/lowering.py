@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill import schema
 from leafmill.functions.markdown_writer import RULES
 
 COST = [f"c{i}" for i in range(6)]
@@ -103,3 +104,20 @@ def hits(parsed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rule = F.when(t.isin("underline", "small_caps", "superscript", "subscript"), "style-dropped").when((t == "raw") & ~F.col("i.format").isin("markdown", "html"), "raw-dropped").when(t == "citation", "citation-dropped").when(t == "extension", "extension-fallback")
     of_inlines = i.select(*keys, rule.alias("rule")).where("rule is not null")
     return of_blocks.unionByName(of_inlines).groupBy(*keys, "rule").agg(F.count("*").alias("uses"))
+
+
+#: Tag -> the rules that may apply to it; tags that are not named are written exactly.
+LOWERED = {
+    "block": {"raw_block": ["raw-dropped"], "definition_list": ["definition-list"], "table": ["nested-table", "table-caption"], "table_cell": ["cell-span", "cell-flattened"], "container": ["container-attrs"], "extension": ["extension-fallback"], "list": ["number-style"]},
+    "inline": {"underline": ["style-dropped"], "small_caps": ["style-dropped"], "superscript": ["style-dropped"], "subscript": ["style-dropped"], "raw": ["raw-dropped"], "citation": ["citation-dropped"], "extension": ["extension-fallback"]},
+}
+
+
+def capabilities(spark) -> DataFrame:
+    """What Markdown does with each tag: (kind, tag, disposition, rule, c0, c1, c2), a row for each rule."""
+    rows = []
+    for kind, tags in (("block", [*schema.BLOCK_TAGS, *schema.STRUCTURE]), ("inline", schema.INLINE_TAGS)):
+        for tag in tags:
+            rules = LOWERED[kind].get(tag)
+            rows += [(kind, tag, "lowered", r, *RULES[r]) for r in rules] if rules else [(kind, tag, "exact", None, 0, 0, 0)]
+    return spark.createDataFrame(rows, "kind string, tag string, disposition string, rule string, c0 int, c1 int, c2 int")

@@ -170,6 +170,11 @@ def test_relations(spark):
     assert inside.groupBy("doc_id").count().collect()[0]["count"] == 10
     assert relations.facets(p, "layout", "surface string, width long", "doc_id").where("surface = 'slide'").count() == 4
     assert [r["value"] for r in relations.metadata(p, "doc_id").collect()] == ["Book"]
+    b = relations.blocks(p.where("doc_id = 0"), "doc_id")
+    assert relations.roots(b).count() == 5 and relations.roots(b, 1).count() == 1
+    assert {r["tag"] for r in relations.children(b, b.where("tag = 'table'"), "doc_id").collect()} == {"table_head", "table_body"}
+    table = lowering.capabilities(spark)
+    assert table.where("disposition = 'exact' and rule is null").count() == 18 + 14 and table.where("rule = 'style-dropped'").count() == 4
     assert "The Report" in {r["text"] for r in relations.subtree_text(p, "doc_id").collect()}
     assert relations.side_violations(p, "doc_id").count() == 0
     loose = p.where("doc_id = 1").withColumn("facets", F.transform("facets", lambda f: f.withField("entity", f["entity"] + 100)))
