@@ -5,6 +5,8 @@ A token budget goes down the tree by weight.  A node can take no more than its l
 ``max_epochs``; what it cannot take goes to its siblings by weight, and only what all of them cannot take is
 missing at the parent, whose own siblings take it: giving each node the least of its share and its
 subtree's capacity, level by level from the root, does exactly that.  Shares are whole numbers of tokens.
+Only nodes are ranked, never rows: the children of one node share a window that sorts one small row a child and
+spills to disk if there are very many.
 
 A leaf with budget b and t tokens gives b div t whole epochs and a prefix of the next one: its documents
 in the order of md5(seed:epoch:doc_id), as long as their tokens fit in b mod t.  The prefix ends are found by
