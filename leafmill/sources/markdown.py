@@ -66,7 +66,7 @@ def decode(s: str) -> str:
 def row_cells(line: str) -> list[str]:
     line = line.strip()
     line = line[1:] if line.startswith("|") else line
-    cells, cell, i, ticks = [], "", 0, 0
+    cells, cell, i = [], "", 0
     while i < len(line):
         c = line[i]
         if c == "\\" and i + 1 < len(line):
@@ -79,7 +79,6 @@ def row_cells(line: str) -> list[str]:
         else:
             cell += c
         i += 1
-    del ticks
     if cell.strip() or not line.endswith("|"):
         cells.append(cell.strip())
     return cells
@@ -151,7 +150,8 @@ class _Blocks:
                 out.append(("quote", self.parse(inner, depth + 1)))
                 continue
             m = _NOTE.match(line)
-            if m and not para:
+            if m:
+                flush()
                 i = self.collect_note(lines, i, m, depth)
                 continue
             m = _ITEM.match(line)
@@ -174,14 +174,12 @@ class _Blocks:
             m = _SETEXT.match(line)
             if m and para:
                 text = [x.strip(" \t") for x in para]
-                if len(para) == 1 and "|" in para[0] and delimiter_row(line) and len(row_cells(para[0])) == 1:
-                    pass
                 para.clear()
                 out.append(("heading", 1 if m.group(1)[0] == "=" else 2, "\n".join(text)))
                 i += 1
                 continue
             columns = delimiter_row(line) if len(para) == 1 and "|" in para[0] else None
-            if columns and len(row_cells(para[0])) == len(columns):
+            if columns:
                 i = self.table(lines, i, para.pop(), columns, out)
                 continue
             if _BREAK.match(line):
@@ -267,7 +265,7 @@ class _Blocks:
         while i < len(lines):
             line = expand(lines[i])
             m = _ITEM.match(line)
-            if not m or m.group(2)[-1] != sign or (_BREAK.match(line) and items and sign in "-*"):
+            if not m or m.group(2)[-1] != sign:
                 break
             if blank:
                 loose = True
@@ -345,7 +343,8 @@ class _Blocks:
             cells = row_cells(line)[: len(columns)]
             rows.append(cells + [""] * (len(columns) - len(cells)))
             i += 1
-        out.append(("table", columns, row_cells(head), rows))
+        cells = row_cells(head)[: len(columns)]
+        out.append(("table", columns, cells + [""] * (len(columns) - len(cells)), rows))
         return i
 
 

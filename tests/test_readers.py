@@ -84,6 +84,9 @@ def test_markdown_details():
     assert md("markdown", "> a\nlazy\n\nb") == "> a\n> lazy\n\nb\n"
     assert md("markdown", "~~~\nx\n~~~\n") == "```\nx\n```\n"
     assert md("markdown", "- a\n\n  b\n- c") == "- a\n\n  b\n\n- c\n"
+    assert md("markdown", "* * * x\n\n***\n") == "- - - x\n\n---\n"
+    assert md("markdown", "a|b|c\n-|-\n1\n2|3|4\n") == "| a   | b   |\n| --- | --- |\n| 1   |     |\n| 2   | 3   |\n"
+    assert md("markdown", "text[^n]\n[^n]: note\nmore\n\n    second\n") == "text[^1]\n\n[^1]: note\n      more\n\n      second\n"
     assert md("markdown", "<div>\n*x*\n\n*y*") == "<div>\n*x*\n\n_y_\n"
 
 
