@@ -182,10 +182,19 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 40, depth:
     return model
 
 
-def train(stats: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, trees: int = 40) -> Trees:
-    """stats from statistics_table.  A document's label is the least of its labels' qualities."""
+def some_labels(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, y): at most ``most`` labelled documents, those with the least hash of their id.  The hash is cut
+    at a share first, so that what any task sends on is about ``most`` rows in all.  A document's label is the least of
+    its labels' qualities."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    rows = stats.join(known, "doc_id").select("doc_id", "y", "f").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(max_train_rows).collect()
+    share = min(1.0, 1.1 * most / max(known.count(), 1))
+    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)), "doc_id").limit(most)
+
+
+def train(stats: DataFrame, picked: DataFrame, max_train_rows: int = 20_000, trees: int = 40) -> Trees:
+    """stats from statistics_table, picked from some_labels."""
+    rows = stats.join(picked, "doc_id").select("doc_id", "y", "f").limit(4 * max_train_rows).collect()  # repeated ids give several rows
     rows.sort(key=lambda r: (r["doc_id"], r["f"]))
     x = np.array([r["f"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([float(r["y"] > 0) for r in rows]), list(FEATURES.values()), trees=trees)
@@ -212,7 +221,7 @@ def judged(stats: DataFrame, model: Trees, least_prob: float) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, least_prob: float = 0.3, trees: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, keep columns, base counts, base_failed, quality (probability), kept."""
     stats = stage(statistics_table(docs, *keep))
-    return judged(stats, train(stats, labels, max_train_rows, trees), least_prob)
+    return judged(stats, train(stats, some_labels(labels, max_train_rows), max_train_rows, trees), least_prob)
 
 
 def apply_rules(docs: DataFrame, model: Trees, least_prob: float) -> DataFrame:
@@ -233,7 +242,6 @@ def apply_rules(docs: DataFrame, model: Trees, least_prob: float) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, least_prob: float = 0.3, trees: int = 40) -> DataFrame:
     """docs without what the rules reject, with the same columns.  The trees see the statistics of labelled
     rows only, so the first of the two passes sends few rows."""
-    wanted = labels.where("quality is not null and doc_id is not null")
-    picked = wanted.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
+    picked = some_labels(labels, max_train_rows)
     stats = stage(statistics_table(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")))  # at most max_train_rows ids
     return apply_rules(docs, train(stats, picked, max_train_rows, trees), least_prob)
