@@ -38,7 +38,7 @@ from ._util import same_key, stage, text_key
 
 MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-GIANT, CHUNK = 65_536, 8_192
+GIANT, CHUNK, CHUNKS_A_TASK = 65_536, 8_192, 32
 NO = -np.inf
 
 
@@ -316,13 +316,16 @@ def encode_ids(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: i
     small = base.where(F.char_length("text") <= giant).mapInArrow(_encode_plain(model), by.replace("tk long", "ids array<int>"))
     large = base.where(F.char_length("text") > giant).withColumn("tk", text_key())
     counts = stage(large.groupBy("doc_id", "tk").agg(F.count("*").alias("times"), F.min("text").alias("text")))
-    dealt = stage(counts.select("doc_id", "tk", "text").mapInArrow(_deal_out(model, chunk), f"{by}, k int, base long, piece string, begin int, border int, total long").repartition("doc_id", "tk", "k"))
+    # A chunk costs far more than its bytes say, so tasks are made by their number.
+    tasks = max(counts.sparkSession.sparkContext.defaultParallelism, -(-(counts.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (chunk * CHUNKS_A_TASK)))
+    by_chunk = ["doc_id", "tk", "k"]
+    dealt = counts.select("doc_id", "tk", "text").mapInArrow(_deal_out(model, chunk), f"{by}, k int, base long, piece string, begin int, border int, total long").repartition(tasks, *by_chunk)
     state = "array<struct<end:long,piece:string>>"
     matrices = stage(dealt.mapInArrow(_matrices(model), f"{by}, k int, total long, entries {state}, leaves {state}, m binary"))
     whole = matrices.groupBy("doc_id", "tk", "total").agg(F.array_sort(F.collect_list(F.struct("k", "entries", "leaves", "m"))).alias("parts"))
     states = stage(whole.mapInArrow(_combine, f"{by}, k int, e_end long, e_piece string, l_end long, l_piece string"))
-    both = dealt.join(states, same_key(dealt, states, ["doc_id", "tk", "k"])).select(*[dealt[c] for c in dealt.columns], "e_end", "e_piece", "l_end", "l_piece")
-    parts = both.repartition("doc_id", "tk", "k").mapInArrow(_backtraces(model), f"{by}, k int, ids array<int>")
+    both = dealt.join(states, same_key(dealt, states, by_chunk)).select(*[dealt[c] for c in dealt.columns], "e_end", "e_piece", "l_end", "l_piece")
+    parts = both.repartition(tasks, *by_chunk).mapInArrow(_backtraces(model), f"{by}, k int, ids array<int>")
     joined = parts.groupBy("doc_id", "tk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     times_of = counts.select("doc_id", "tk", "times")
     giants = joined.join(times_of, same_key(joined, times_of, ["doc_id", "tk"])).select(joined["doc_id"], joined["ids"], F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "ids")
