@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import stage
+from ._util import stage, tidy
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]*)+)")
 _UNIT = pa.struct([("level", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.int32())])
@@ -78,7 +78,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             yield pa.record_batch({c: batch.column(c) for c in kinds} | {"body": pa.array(body, pa.string()), "units": pa.array(found, pa.list_(_UNIT))})
 
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", body string, units array<struct<level:int,h1:long,h2:long,words:int>>"
-    return messages.select("conv_id", "turn", "role", "text").mapInArrow(run, schema)
+    return messages.select("conv_id", "turn", "role", "text").mapInArrow(tidy(run), schema)
 
 
 def parents(rows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import raw_text
+from ._util import raw_text, tidy
 
 ROW, MAX_ROWS, QUANT = 64, 8191, 8
 # The usual code lengths and symbols of luminance DC terms (ITU-T T.81, table K.3).
@@ -391,7 +391,7 @@ def to_media(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
                 media = encode_payloads([payload_of(x) for x in part], [len(x) for x in part])
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "media": pa.array(media, pa.binary())})
 
-    return base.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return base.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, n_bytes long, media_bytes long, media_sha256 string, width int, height int, images int, thumb_xxh64 string, average_hash string, feature string, error string"
@@ -424,4 +424,4 @@ def media_features(media: DataFrame, id_col: str = "doc_id", most: int = 3_000_0
                 out = {c.split()[0]: pa.array(cols[c.split()[0]], kinds[c.split()[1]]) for c in _FEATURES.split(", ")}
                 yield pa.record_batch({id_col: batch.column(id_col).slice(a, b - a)} | out)
 
-    return media.select(id_col, "media").mapInArrow(run, f"{id_col} {media.schema[id_col].dataType.simpleString()}, {_FEATURES}")
+    return media.select(id_col, "media").mapInArrow(tidy(run), f"{id_col} {media.schema[id_col].dataType.simpleString()}, {_FEATURES}")

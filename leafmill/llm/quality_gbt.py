@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import BASE_A, Poly, packed, raw_text, stage, unpacked, word_hashes
+from ._util import BASE_A, Poly, packed, raw_text, stage, tidy, unpacked, word_hashes
 
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -97,7 +97,7 @@ def statistics_table(docs: DataFrame, *keep: str) -> DataFrame:
             out["f"] = pa.array([g[1] for g in got], pa.list_(pa.float64()))
             yield pa.record_batch(out)
 
-    return base.mapInArrow(run, f"{names}, {', '.join(f'{c} long' for c in _BASE)}, f array<double>")
+    return base.mapInArrow(tidy(run), f"{names}, {', '.join(f'{c} long' for c in _BASE)}, f array<double>")
 
 
 @dataclass
@@ -215,7 +215,7 @@ def judged(stats: DataFrame, model: Trees, least_prob: float) -> DataFrame:
             score = model.score(x)
             yield pa.record_batch({c: batch.column(c) for c in names} | {"base_failed": failed, "quality": 1 / (1 + np.exp(-score)), "kept": ~failed & (score >= cut)})
 
-    return stats.mapInArrow(run, f"{schema}, base_failed boolean, quality double, kept boolean")
+    return stats.mapInArrow(tidy(run), f"{schema}, base_failed boolean, quality double, kept boolean")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, least_prob: float = 0.3, trees: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -227,16 +227,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_0
 def apply_rules(docs: DataFrame, model: Trees, least_prob: float) -> DataFrame:
     """The rows of docs that are kept, with its columns; no shuffle: texts are scored where they are read."""
     cut = float(np.log(least_prob / (1 - least_prob)))
-    base = packed(docs, raw=raw_text())
+    base = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [statistics(x.as_py()) for x in batch.column("raw")]
+            texts = batch.column("d").field("text").cast(pa.binary())
+            got = [statistics(x.as_py() or b"") for x in texts]
             score = model.score(np.array([g[1] for g in got]).reshape(len(got), len(FEATURES)))
             ok = [not (g[0][0] < 10 or 100 * g[0][4] > 20 * g[0][0]) and s >= cut for g, s in zip(got, score.tolist(), strict=True)]
-            yield batch.select(["d"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return unpacked(base.mapInArrow(run, base.select("d").schema), docs)
+    return unpacked(base.mapInArrow(tidy(run), base.schema), docs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, least_prob: float = 0.3, trees: int = 40) -> DataFrame:

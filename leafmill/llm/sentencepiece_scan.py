@@ -34,11 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import same_key, stage, text_key
+from ._util import same_key, stage, text_key, tidy
 
 MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 GIANT, CHUNK, CHUNKS_A_TASK = 65_536, 8_192, 32
+#: Rows that the library gets at a time, and pairs of pieces that a worker remembers.
+ROWS, PAIRS = 250, 100_000
 NO = -np.inf
 
 
@@ -84,7 +86,7 @@ class Pieces:
     def holds(self, u: str, t: str) -> bool:
         got = self.pairs.get((u, t))
         if got is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             got = self.pairs[u, t] = self.merge(u + t) == [u, t]
         return got
@@ -236,8 +238,8 @@ def _encode_plain(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(path).library
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
                 ids = sp.encode(part.column("text").to_pylist(), num_threads=1)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
@@ -313,19 +315,19 @@ def encode_ids(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: i
     """docs (doc_id, text) -> doc_id, ids, a row for a row."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     by = _by_schema(docs)
-    small = base.where(F.char_length("text") <= giant).mapInArrow(_encode_plain(model), by.replace("tk long", "ids array<int>"))
+    small = base.where(F.char_length("text") <= giant).mapInArrow(tidy(_encode_plain(model)), by.replace("tk long", "ids array<int>"))
     large = base.where(F.char_length("text") > giant).withColumn("tk", text_key())
     counts = stage(large.groupBy("doc_id", "tk").agg(F.count("*").alias("times"), F.min("text").alias("text")))
     # A chunk costs far more than its bytes say, so tasks are made by their number.
     tasks = max(counts.sparkSession.sparkContext.defaultParallelism, -(-(counts.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (chunk * CHUNKS_A_TASK)))
     by_chunk = ["doc_id", "tk", "k"]
-    dealt = counts.select("doc_id", "tk", "text").mapInArrow(_deal_out(model, chunk), f"{by}, k int, base long, piece string, begin int, border int, total long").repartition(tasks, *by_chunk)
+    dealt = counts.select("doc_id", "tk", "text").mapInArrow(tidy(_deal_out(model, chunk)), f"{by}, k int, base long, piece string, begin int, border int, total long").repartition(tasks, *by_chunk)
     state = "array<struct<end:long,piece:string>>"
-    matrices = stage(dealt.mapInArrow(_matrices(model), f"{by}, k int, total long, entries {state}, leaves {state}, m binary"))
+    matrices = stage(dealt.mapInArrow(tidy(_matrices(model)), f"{by}, k int, total long, entries {state}, leaves {state}, m binary"))
     whole = matrices.groupBy("doc_id", "tk", "total").agg(F.array_sort(F.collect_list(F.struct("k", "entries", "leaves", "m"))).alias("parts"))
-    states = stage(whole.mapInArrow(_combine, f"{by}, k int, e_end long, e_piece string, l_end long, l_piece string"))
+    states = stage(whole.mapInArrow(tidy(_combine), f"{by}, k int, e_end long, e_piece string, l_end long, l_piece string"))
     both = dealt.join(states, same_key(dealt, states, by_chunk)).select(*[dealt[c] for c in dealt.columns], "e_end", "e_piece", "l_end", "l_piece")
-    parts = both.repartition(tasks, *by_chunk).mapInArrow(_backtraces(model), f"{by}, k int, ids array<int>")
+    parts = both.repartition(tasks, *by_chunk).mapInArrow(tidy(_backtraces(model)), f"{by}, k int, ids array<int>")
     joined = parts.groupBy("doc_id", "tk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     times_of = counts.select("doc_id", "tk", "times")
     giants = joined.join(times_of, same_key(joined, times_of, ["doc_id", "tk"])).select(joined["doc_id"], joined["ids"], F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "ids")
@@ -345,13 +347,13 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(model).library
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
                 ids = _lists(part.column("ids"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": part.column("ids"), "text": pa.array(sp.decode(ids) if ids else [], pa.string())})
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids array<int>, text string")
 
 
 def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import packed, raw_text, same_key, stage, text_key, unpacked
+from ._util import packed, raw_text, same_key, stage, text_key, tidy, unpacked
 from .components import components
 
 BITS, LEAST_SHARED, SEED = 3, 5, 42
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = [fingerprint(x.as_py().lower().split()) for x in batch.column("raw")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "tk": batch.column("tk"), "fp": np.array(fp, np.uint64).view(np.int64)})
 
-    return base.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long, fp long")
+    return base.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long, fp long")
 
 
 def _bytes_of(fp: np.ndarray) -> np.ndarray:
@@ -197,18 +197,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame, hot: int = 1024) -> DataFrame:
     """distinct (fp) -> edges (u, v) whose connected components are those of all links."""
     shape = "key long, key2 long, fp long"
-    rows = distinct.mapInArrow(_postings(SETS), shape)
+    rows = distinct.mapInArrow(tidy(_postings(SETS)), shape)
     out = None
     for level in (1, 2, 3):
         by = ["key", "key2"]
         sizes = stage(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"))
         small = rows.join(sizes.where(F.col("n") <= hot) if level < 3 else sizes, by).select("key", "key2", "fp")
-        found = small.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare, "u long, v long")
+        found = small.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(_compare), "u long, v long")
         out = found if out is None else out.unionByName(found)
         large = sizes.where(F.col("n") > hot)
         if level == 3 or large.isEmpty():
             break
-        rows = stage(rows.join(large.select(*by), by).mapInArrow(_divide(level + 1), shape))
+        rows = stage(rows.join(large.select(*by), by).mapInArrow(tidy(_divide(level + 1)), shape))
     return stage(out.distinct())
 
 
