@@ -11,8 +11,9 @@ windows are found from the inside out:
 * Level 3 extends the survivors to the full length.  All windows with one anchor form a span.  A
   span whose words occur twice is a repeat as a whole; only spans that differ from others around the same
   anchor are taken apart into windows.  This decides which words go.
-* From there on lengths double until no candidate survives: a window that starts at an anchor of its own is a
-  candidate for twice the length if it is a repeat and the window behind it may be one too.  This tells how
+* From there on lengths double until no candidate survives: a window that starts at its own anchor is a
+  candidate for twice the length if it is a repeat, the window behind it may be one too, and it starts at the
+  longer window's anchor as well, so each length has about half the candidates of the one before.  This tells how
   long the repeats are (``longest_repeat``: the greatest such length of a repeat that begins at an
   anchor, the window's if only that repeats, 0 if nothing does).
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import BASE_A, BASE_B, Poly, mix, raw_text, same_key, stage, text_key, word_hashes
+from ._util import BASE_A, BASE_B, Poly, mix, raw_text, same_key, stage, text_key, tidy, word_hashes
 
 KEY = ["doc_id", "tk"]
 SPAN = ["h9", "h18", "s1"]
@@ -144,34 +145,43 @@ def covered(repeated: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def own_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Windows that begin at their own anchor: their words alone say so."""
+def own_anchors(hashes: np.ndarray, window: int) -> Iterator[np.ndarray]:
+    """For lengths window, 2 * window, ...: the windows that begin at their own anchor, the least short window of
+    about their first half.  Their words alone say so, each length's are among those of the length before, and
+    there are half as many."""
+    if len(hashes) < window:
+        return
     base = -(-window // 4)
-    short = Poly(hashes, BASE_A).grams(base)
-    view = np.lib.stride_tricks.sliding_window_view(short, window - 2 * base + 1)[: len(hashes) - window + 1]
-    return np.flatnonzero(view.argmin(1) == 0)
+    least, span, length = Poly(hashes, BASE_A).grams(base), window - 2 * base + 1, window
+    short = least
+    view = np.lib.stride_tricks.sliding_window_view(least, span) if len(least) >= span else np.zeros((0, 1), np.uint64)
+    least = view.min(1) if len(view) else np.zeros(0, np.uint64)
+    while len(hashes) >= length:
+        n = len(hashes) - length + 1
+        yield np.flatnonzero(least[:n] == short[:n])
+        least = np.minimum(least[:-span], least[span:]) if len(least) > span else least[:0]
+        span, length = span * 2, length * 2
 
 
 def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, level, hash) of windows of window * 2**level words, level >= 1, all of whose parts are repeats."""
-    starts = own_anchors(hashes, window)
-    starts = starts[repeated[starts]]
     rows = -(-len(repeated) // window)
     grid = np.zeros(rows * window, bool)
     grid[: len(repeated)] = repeated
     chain = np.zeros((rows + 1, window), np.int64)
     for r in range(rows - 1, -1, -1):  # how many repeats follow each other, end to end
         chain[r] = (chain[r + 1] + 1) * grid[r * window : (r + 1) * window]
-    parts = chain.ravel()[starts]
-    hash_of = Poly(mix(hashes), BASE_B)
+    parts, hash_of = chain.ravel(), None
     out: list[list[np.ndarray]] = [[_NONE], [_NONE], [_NONE]]
-    level = 1
-    while len(starts := starts[parts >= 1 << level]):
-        parts = parts[parts >= 1 << level]
-        out[0].append(starts)
-        out[1].append(np.full(len(starts), level))
-        out[2].append(mix(hash_of.of(starts, window << level) ^ np.uint64(level)).view(np.int64))
-        level += 1
+    for level, starts in enumerate(own_anchors(hashes, window)):
+        starts = starts[parts[starts] >= 1 << level]
+        if not len(starts):
+            break
+        if level:
+            hash_of = hash_of or Poly(mix(hashes), BASE_B)
+            out[0].append(starts)
+            out[1].append(np.full(len(starts), level))
+            out[2].append(mix(hash_of.of(starts, window << level) ^ np.uint64(level)).view(np.int64))
     return tuple(np.concatenate(x) for x in out)
 
 
@@ -215,18 +225,19 @@ def _apply(window: int, with_text: bool):
 
 
 def longest_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """rows of _apply -> (doc_id, tk, longest): lengths double until no candidate survives."""
-    found = stage(rows.where("level is not null").groupBy(*KEY, "at", "level", "h").agg(F.count("*").alias("n")))
-    alive, level, out = found.where("level = 1"), 1, rows.where("level is not null").select(*KEY, F.lit(window).cast("long").alias("longest")).limit(0)
+    """rows of _apply -> (doc_id, tk, longest): lengths double until no candidate survives.  A start is one hash: two that
+    share it cost a look at a window too many, but every window counts its own words."""
+    found = rows.where("level is not null").select(*KEY, F.xxhash64(*KEY, "at").alias("start"), "level", "h")
+    alive, level, out = found.where("level = 1"), 1, None
     while True:
-        twice = stage(alive.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h"))
-        survivors = stage(_joined(alive, twice, ["h"]).select(*KEY, "at"))
+        twice = stage(alive.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h"))
+        survivors = stage(_joined(alive, twice, ["h"]).select(*KEY, "start"))
+        longer = survivors.select(*KEY, F.lit(window << level).cast("long").alias("longest")).distinct()
+        out = longer if out is None else out.unionByName(longer)
         if survivors.isEmpty():
             return out.groupBy(*KEY).agg(F.max("longest").alias("longest"))
-        out = out.unionByName(survivors.select(*KEY, F.lit(window << level).cast("long").alias("longest")))
         level += 1
-        longer = found.where(F.col("level") == level)
-        alive = longer.join(survivors, same_key(longer, survivors, [*KEY, "at"])).select(*[longer[c] for c in longer.columns])
+        alive = found.where(F.col("level") == level).join(survivors.select("start"), "start", "left_semi")
 
 
 def _joined(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
@@ -242,9 +253,9 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     full_schema = f"doc_id {id_type}, tk long, h9 long, h18 long, s1 long, cnt int, n long"
 
     # Level 1: short windows at anchors.
-    level1 = base.select("raw").mapInArrow(_emit_spans(window, True), "h9 long, n long")
+    level1 = base.select("raw").mapInArrow(tidy(_emit_spans(window, True)), "h9 long, n long")
     twice = stage(level1.groupBy("h9").agg(F.sum("n").alias("n")).where("n >= 2").select("h9"))
-    rows = base.mapInArrow(_emit_spans(window, False), full_schema)
+    rows = base.mapInArrow(tidy(_emit_spans(window, False)), full_schema)
     alive = stage(_joined(rows, twice, ["h9"]).withColumn("dk", F.xxhash64("doc_id", "tk")))
 
     # Level 2: the survivors, twice as long.
@@ -256,7 +267,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     apart = stage(_joined(spans, mixed, ["h9", "h18"]).select(*SPAN, "dk"))
     wanted = _joined(alive.select(*KEY, *SPAN, "dk"), apart, [*SPAN, "dk"]).groupBy(*KEY).agg(F.collect_list("s1").alias("wanted"))
     sources = base.join(wanted, same_key(base, wanted, KEY)).select(base["raw"], wanted["wanted"])
-    windows = stage(sources.mapInArrow(_emit_windows(window), "h9 long, h18 long, s1 long, w long, place int"))
+    windows = stage(sources.mapInArrow(tidy(_emit_windows(window)), "h9 long, h18 long, s1 long, w long, place int"))
     shared = stage(windows.groupBy("h9", "h18", "w").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("h9", "h18", "w"))
     part = _joined(windows, shared, ["h9", "h18", "w"]).select(*SPAN, F.expr("shiftleft(1L, place)").alias("mask"))
     whole = spans.where("n >= 2").select(*SPAN, F.expr("shiftleft(1L, cnt) - 1L").alias("mask"))
@@ -271,7 +282,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = True) -
     base = docs.select("doc_id", text_key().alias("tk"), raw_text().alias("raw"))
     both = base.join(found, same_key(base, found, KEY), "left").select(base["doc_id"], base["tk"], base["raw"], found["spans"])
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(both.mapInArrow(_apply(window, with_text), f"doc_id {id_type}, tk long, n_words long, n_removed long, kept_sha256 string, kept_text string, at long, level int, h long"))
+    rows = stage(both.mapInArrow(tidy(_apply(window, with_text)), f"doc_id {id_type}, tk long, n_words long, n_removed long, kept_sha256 string, kept_text string, at long, level int, h long"))
     own, longest = rows.where("level is null"), longest_repeats(rows, window)
     out = own.join(longest, same_key(own, longest, KEY), "left")
     least = F.when(own["n_removed"] > 0, window).otherwise(0).cast("long")

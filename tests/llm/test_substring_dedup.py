@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -45,17 +46,30 @@ def longest(data, n):
     texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in data]
     gone = {r[0]: r[2] for r in brute(data, n)}
     out = {d: n if gone[d] else 0 for d, *_ in data}
-    alive = [(k, int(s)) for k, w in enumerate(texts) if len(w) >= n for s in own_anchors(word_hashes([x.encode() for x in w]), n)]
-    size = n
+    anchors = [[set(a.tolist()) for a in own_anchors(word_hashes([x.encode() for x in w]), n)] for w in texts]
+    alive = [(k, s) for k, a in enumerate(anchors) if a for s in a[0]]
+    size, level = n, 0
     while alive:
-        seen = Counter(tuple(texts[k][s : s + size]) for k, s in alive if s + size <= len(texts[k]))
-        alive = [(k, s) for k, s in alive if s + size <= len(texts[k]) and seen[tuple(texts[k][s : s + size])] > 1]
+        seen = Counter(tuple(texts[k][s : s + size]) for k, s in alive)
+        alive = [(k, s) for k, s in alive if seen[tuple(texts[k][s : s + size])] > 1]
         for k, _ in alive:
             out[data[k][0]] = max(out[data[k][0]], size)
-        size *= 2
+        size, level = size * 2, level + 1
+        alive = [(k, s) for k, s in alive if level < len(anchors[k]) and s in anchors[k][level]]
     return out
 
 
+def test_anchors_nest_and_follow_from_the_window_s_words():
+    rng = random.Random(2)
+    w = [b"%d" % rng.randrange(9) for _ in range(700)]
+    levels = [set(a.tolist()) for a in own_anchors(word_hashes(w), 35)]
+    assert len(levels) == 5 and all(b <= a for a, b in zip(levels, levels[1:], strict=False))
+    for level, starts in enumerate(levels):
+        size = 35 << level
+        for s in range(len(w) - size + 1):
+            assert (s in starts) == (0 in [set(a.tolist()) for a in own_anchors(word_hashes(w[s : s + size]), 35)][level])
+
+
 @pytest.mark.parametrize("window", [35, 8])
 def test_lengths_double_until_none_survives(spark, window):
     data = rows()
