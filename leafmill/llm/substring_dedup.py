@@ -11,11 +11,9 @@ windows are found from the inside out:
 * Level 3 extends the survivors to the full length.  All windows with one anchor form a span.  A
   span whose words occur twice is a repeat as a whole; only spans that differ from others around the same
   anchor are taken apart into windows.  This decides which words go.
-* From there on lengths double until no candidate survives: a window that starts at its own anchor is a
-  candidate for twice the length if it is a repeat, the window behind it may be one too, and it starts at the
-  longer window's anchor as well, so each length has about half the candidates of the one before.  This tells how
-  long the repeats are (``longest_repeat``: the greatest such length of a repeat that begins at an
-  anchor, the window's if only that repeats, 0 if nothing does).
+* From there on lengths double until no candidate survives: every window that is a repeat is a candidate for twice
+  the length if the window behind it is a repeat too.  This tells how long the repeats are (``longest_repeat``: the
+  greatest such length at which any window of the document repeats, 0 if nothing does).
 
 Every level is a partial aggregate by hash, so that a passage that stands in a third of all documents
 meets as one row a task; the joins back are plain equi-joins that skew handling can split.  Keys are 128 bits
@@ -146,21 +144,12 @@ def covered(repeated: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def own_anchors(hashes: np.ndarray, window: int) -> Iterator[np.ndarray]:
-    """For lengths window, 2 * window, ...: the windows that begin at their own anchor, the least short window of
-    about their first half.  Their words alone say so, each length's are among those of the length before, and
-    there are half as many."""
-    if len(hashes) < window:
-        return
-    base = -(-window // 4)
-    least, span, length = Poly(hashes, BASE_A).grams(base), window - 2 * base + 1, window
-    short = least
-    view = np.lib.stride_tricks.sliding_window_view(least, span) if len(least) >= span else np.zeros((0, 1), np.uint64)
-    least = view.min(1) if len(view) else np.zeros(0, np.uint64)
+    """For lengths window, 2 * window, ...: where windows begin that may be longer repeats.  None is left out, since a
+    repeat can begin anywhere."""
+    length = window
     while len(hashes) >= length:
-        n = len(hashes) - length + 1
-        yield np.flatnonzero(least[:n] == short[:n])
-        least = np.minimum(least[:-span], least[span:]) if len(least) > span else least[:0]
-        span, length = span * 2, length * 2
+        yield np.arange(len(hashes) - length + 1)
+        length *= 2
 
 
 def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

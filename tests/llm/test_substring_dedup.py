@@ -90,3 +90,23 @@ def test_spans_cover_every_window_once():
     first, count, *_ = spans_of(h, 35)
     assert np.array_equal(np.concatenate([np.arange(f, f + c) for f, c in zip(first, count, strict=True)]), np.arange(166))
     assert len(windows_of(h, np.arange(166), 35)) == 166 and count.max() <= 18
+
+
+def test_longest_repeat_of_all_windows(spark):
+    """Passages of 70 words and more reach the doubled length wherever they begin, counted over all windows."""
+    rng = random.Random(7)
+    data = []
+    for k in range(24):
+        passage = [f"p{k}.{i}" for i in range(rng.choice([35, 60, 69, 70, 71, 80, 100, 139, 140, 150]))]
+        for copy in range(2):
+            before, after = ([f"{side}{k}.{copy}.{i}" for i in range(rng.randrange(40))] for side in "ba")
+            data.append((2 * k + copy, " ".join([*before, *passage, *after]), "", "", 1))
+    want = {d: 0 for d, *_ in data}
+    for size in (35, 70, 140):
+        seen = Counter(tuple(w[i : i + size]) for _, t, *_ in data for w in [t.split()] for i in range(len(w) - size + 1))
+        for d, t, *_ in data:
+            w = t.split()
+            if any(seen[tuple(w[i : i + size])] > 1 for i in range(len(w) - size + 1)):
+                want[d] = size
+    got = {r["doc_id"]: r["longest_repeat"] for r in substring_dedup(table(spark, data), 35, with_text=False).collect()}
+    assert got == want and set(want.values()) == {35, 70, 140}
