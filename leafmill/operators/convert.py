@@ -76,8 +76,17 @@ def report_rows(doc: Document) -> list[dict]:
     return [{"seq": i, "code": r.code, "severity": r.severity, "consequence": r.consequence, "loss": r.loss, "directions": r.directions, "exit_class": r.exit_class, "count": r.count, "contexts": r.contexts} for i, r in enumerate(doc.reports)]
 
 
-def parse_one(content: bytes | None, name: str | None, fmt: str | None, note: str | None, readers: dict[str, Read], limits: Limits) -> tuple[str, Document]:
+def left_out(docs: DataFrame, content: Column) -> Column:
+    """The length of a document that comes without its bytes."""
+    return (F.when(content.isNull(), F.col("length").cast("long")) if "length" in docs.columns else F.lit(None).cast("long")).alias("__length")
+
+
+def parse_one(content: bytes | None, name: str | None, fmt: str | None, note: str | None, readers: dict[str, Read], limits: Limits, length: int | None = None) -> tuple[str, Document]:
+    """length: of a file whose bytes were left out, as it is over the limit."""
     doc = Document()
+    if content is None and length:
+        doc.report("core.input-too-large", "failure", exit_class="limit", context="max_input_bytes")
+        return "failed", doc
     if fmt is None or fmt not in readers:
         doc.report("core.undetectable-input-format" if fmt is None else "core.unknown-input-format", "failure", exit_class="input", context=name or fmt)
         return "failed", doc
@@ -125,7 +134,7 @@ class Engine:
         name = F.col(name) if isinstance(name, str) else name
         content = (F.col(content) if isinstance(content, str) else content).cast("binary")
         fmt, note = resolve(name, content, declared, from_file)
-        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("__format"), note.alias("__note"))
+        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("__format"), note.alias("__note"), left_out(docs, content))
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keep, "name").schema.fields) + ", " + schema.PARSED
         out, readers, limits, kept = arrow_schema(ddl), self.readers, self.limits, [*keep, "name"]
 
@@ -134,8 +143,8 @@ class Engine:
                 for a in range(0, whole.num_rows, BATCH):
                     batch = whole.slice(a, BATCH)
                     rows = []
-                    for r in batch.select(["__content", "name", "__format", "__note"]).to_pylist():
-                        status, doc = parse_one(r["__content"], r["name"], r["__format"], r["__note"], readers, limits)
+                    for r in batch.select(["__content", "name", "__format", "__note", "__length"]).to_pylist():
+                        status, doc = parse_one(r["__content"], r["name"], r["__format"], r["__note"], readers, limits, r["__length"])
                         rows.append({"status": status, "format": r["__format"], **rows_of(doc)})
                     made = pa.RecordBatch.from_pylist(rows, schema=pa.schema([f for f in out if f.name not in kept]))
                     yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made.columns, names=kept + made.schema.names)
@@ -189,7 +198,7 @@ class Engine:
         name = F.col(name) if isinstance(name, str) else name
         content = (F.col(content) if isinstance(content, str) else content).cast("binary")
         fmt, note = resolve(name, content, declared)
-        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("format"), note.alias("__note"))
+        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("format"), note.alias("__note"), left_out(docs, content))
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keep, "name", "format").schema.fields)
         more = f"status string, markdown string, n_blocks int, n_headings int, n_links int, losses map<string,bigint>, reports array<{schema.REPORT}>"
         types = arrow_schema(more)
@@ -219,8 +228,8 @@ class Engine:
                 for a in range(0, whole.num_rows, BATCH):
                     batch = whole.slice(a, BATCH)
                     rows = []
-                    for r in batch.select(["__content", "name", "format", "__note"]).to_pylist():
-                        status, doc = parse_one(r["__content"], r["name"], r["format"], r["__note"], readers, limits)
+                    for r in batch.select(["__content", "name", "format", "__note", "__length"]).to_pylist():
+                        status, doc = parse_one(r["__content"], r["name"], r["format"], r["__note"], readers, limits, r["__length"])
                         text, hits = render(doc) if status == "success" else (None, {})
                         report_losses(doc, hits)
                         n = count(doc)
@@ -240,6 +249,18 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def files(spark, path: str, limits: Limits = DEFAULT) -> DataFrame:
-    """Files as (doc_id, name, content); those over the limit are listed without their bytes, which are then never read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df.where(F.col("length") <= limits.max_input_bytes).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("name"), "content")
+    """Files as (doc_id, name, content), without those over the limit; all_files() has them too."""
+    return all_files(spark, path, limits).where("content is not null").drop("length")
+
+
+def all_files(spark, path: str, limits: Limits = DEFAULT) -> DataFrame:
+    """Files as (doc_id, name, length, content); those over the limit without their bytes, which are then never read, so that
+    conversion refuses them."""
+    return listed(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), limits)
+
+
+def listed(scan: Callable[[], DataFrame], limits: Limits) -> DataFrame:
+    named = [F.xxhash64("path").alias("doc_id"), F.col("path").alias("name"), "length"]
+    small = scan().where(F.col("length") <= limits.max_input_bytes).select(*named, "content")
+    large = scan().where(F.col("length") > limits.max_input_bytes).select(*named)
+    return small.unionByName(large.withColumn("content", F.lit(None).cast("binary")))

@@ -7,19 +7,18 @@ batch as a whole, so that a restart neither loses nor repeats documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.functions.limits import DEFAULT, Limits
-from leafmill.operators.convert import Engine
+from leafmill.operators.convert import Engine, listed
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*", per_batch: int = 10_000, limits: Limits = DEFAULT) -> DataFrame:
-    """A streaming (doc_id, name, content)."""
-    df = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).load(path)
-    return df.where(F.col("length") <= limits.max_input_bytes).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("name"), "content")
+    """A streaming (doc_id, name, length, content); files over the limit come without their bytes.  These are a second source,
+    so a checkpoint of a query with one source cannot be carried on."""
+    return listed(lambda: spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).load(path), limits)
 
 
 def convert_files(spark: SparkSession, path: str, output: str, checkpoint: str, engine: Engine | None = None, strict: str = "off", once: bool = True) -> StreamingQuery:

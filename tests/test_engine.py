@@ -212,3 +212,19 @@ def test_writer_details():
     assert out(Node("paragraph", kids=[Node("code", text="`x")])) == "`` `x ``\n"
     cell = lambda s: Node("table_cell", kids=[plain(s)])
     assert out(Node("table", kids=[Node("table_head", kids=[Node("table_row", kids=[cell("Name"), cell("Count")])]), Node("table_body", kids=[Node("table_row", kids=[cell("a|phä"), cell("3")])])], alignments=["left", "right"])) == "| Name    | Count |\n| :------ | ----: |\n| a\\|phä | 3     |\n"
+
+
+def test_files_over_the_limit_are_refused(spark, tmp_path):
+    from leafmill.operators.convert import all_files
+    from leafmill.streaming.files import read_files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# x")
+    (tmp_path / "in" / "b.md").write_text("long enough")
+    limits = Limits(max_input_bytes=10)
+    batch = all_files(spark, str(tmp_path / "in"), limits)
+    stream = ENGINE.convert(read_files(spark, str(tmp_path / "in"), limits=limits)).writeStream.format("memory").queryName("over_the_limit").outputMode("append")
+    stream.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    for df in (ENGINE.convert(batch), ENGINE.parse(batch), spark.table("over_the_limit")):
+        got = {r["name"][-4:]: (r["status"], [x["code"] for x in r["reports"]]) for r in df.collect()}
+        assert got == {"a.md": ("success", []), "b.md": ("failed", ["core.input-too-large"])}
