@@ -11,16 +11,22 @@ windows are found from the inside out:
 * Level 3 extends the survivors to the full length.  All windows with one anchor form a span.  A
   span whose words occur twice is a repeat as a whole; only spans that differ from others around the same
   anchor are taken apart into windows.  This decides which words go.
-* From there on lengths double until no candidate survives: every window that is a repeat is a candidate for twice
-  the length if the window behind it is a repeat too.  This tells how long the repeats are (``longest_repeat``: the
-  greatest such length at which any window of the document repeats, 0 if nothing does).
+* From there on lengths double until no candidate survives: windows all of whose parts are repeats are candidates, every
+  one of them.  They too are held as spans around anchors, and a span that occurs twice is a repeat as a whole; spans
+  that differ are taken apart only where a document could have a longer repeat than is known already.  This
+  tells how long the repeats are (``longest_repeat``: the greatest doubled length at which any window of the document repeats,
+  0 if nothing does).
 
 Every level is a partial aggregate by hash, so that a passage that stands in a third of all documents
 meets as one row a task; the joins back are plain equi-joins that skew handling can split.  Keys are 128 bits
 or more: two or three independent 64-bit hashes.
 
-Nulls and edge cases: a null text has no words; texts shorter than the window lose nothing; a null doc_id
-is a document like any other; rows alike in doc_id and text are two documents that repeat each other.
+``window`` is 4 to 120 words, so that the windows of one span fit the bits of a number.
+
+Nulls and edge cases: an empty table gives an empty one; a null text has no words; texts shorter than the window lose nothing; a null doc_id
+is a document like any other; rows alike in doc_id and text are two documents that repeat each other, however many they are (lists
+of a document's spans are sets); of equal hashes at an anchor the leftmost counts; a very long text is cut into spans in time that
+grows with its length.
 Columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
@@ -143,39 +149,56 @@ def covered(repeated: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def own_anchors(hashes: np.ndarray, window: int) -> Iterator[np.ndarray]:
-    """For lengths window, 2 * window, ...: where windows begin that may be longer repeats.  None is left out, since a
-    repeat can begin anywhere."""
-    length = window
-    while len(hashes) >= length:
-        yield np.arange(len(hashes) - length + 1)
-        length *= 2
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """Where the least of each run of ``size`` values stands, the leftmost of equals: block by block, in linear time."""
+    order = np.argsort(values, kind="stable")
+    n = len(values)
+    rank = np.full(-(-n // size) * size, n, np.int64)
+    rank[order] = np.arange(n)
+    grid = rank.reshape(-1, size)
+    ahead = np.minimum.accumulate(grid, 1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    last = n - size + 1
+    return order[np.minimum(behind[:last], ahead[size - 1 : size - 1 + last])]
 
 
-def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, level, hash) of windows of window * 2**level words, level >= 1, all of whose parts are repeats."""
+def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(level, starts) of the windows of window * 2**level words, level >= 1, all of whose parts are repeats."""
     rows = -(-len(repeated) // window)
     grid = np.zeros(rows * window, bool)
     grid[: len(repeated)] = repeated
     chain = np.zeros((rows + 1, window), np.int64)
     for r in range(rows - 1, -1, -1):  # how many repeats follow each other, end to end
         chain[r] = (chain[r + 1] + 1) * grid[r * window : (r + 1) * window]
-    parts, hash_of = chain.ravel(), None
-    out: list[list[np.ndarray]] = [[_NONE], [_NONE], [_NONE]]
-    for level, starts in enumerate(own_anchors(hashes, window)):
-        starts = starts[parts[starts] >= 1 << level]
-        if not len(starts):
-            break
-        if level:
-            hash_of = hash_of or Poly(mix(hashes), BASE_B)
-            out[0].append(starts)
-            out[1].append(np.full(len(starts), level))
-            out[2].append(mix(hash_of.of(starts, window << level) ^ np.uint64(level)).view(np.int64))
-    return tuple(np.concatenate(x) for x in out)
+    parts, level = chain.ravel(), 1
+    while len(starts := np.flatnonzero(parts >= 1 << level)):
+        yield level, starts
+        level += 1
+
+
+def longer_spans(hashes: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, first window, windows, anchor hash, span hash) of the candidates of each level.  Windows that follow each other
+    and have one anchor form a span, as at the levels before; equal windows have equal anchors."""
+    a = b = None
+    for level, starts in candidates(hashes, repeated, window):
+        a, b = a or Poly(hashes, BASE_A), b or Poly(mix(hashes), BASE_B)
+        length = window << level
+        base = -(-length // 4)
+        short = a.grams(base)
+        anchor = least_of(short, length - 2 * base + 1)[starts]
+        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
+        count, at, begin = np.diff(np.append(first, len(starts))), anchor[first], starts[first]
+        named = mix(a.of(at, 2 * base) ^ mix(short[at] + np.uint64(level)))
+        whole = mix(b.of(begin, count + (length - 1)) ^ (count.astype(np.uint64) << np.uint64(8) | np.uint64(level)))
+        yield level, begin, count, named.view(np.int64), whole.view(np.int64)
+
+
+def _of(found: list[dict], hashes: np.ndarray, window: int) -> np.ndarray:
+    return repeated_starts(hashes, window, np.array([x["s1"] for x in found], np.int64), np.array([x["mask"] for x in found], np.int64))
 
 
 def _apply(window: int, with_text: bool):
-    """One row a document, and one for each longer candidate."""
+    """One row a document, and one for each span of longer candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +210,14 @@ def _apply(window: int, with_text: bool):
                 removed = 0
                 if found:
                     hashes = word_hashes(words)
-                    repeated = repeated_starts(hashes, window, np.array([x["s1"] for x in found], np.int64), np.array([x["mask"] for x in found], np.int64))
+                    repeated = _of(found, hashes, window)
                     bad = covered(repeated, len(words), window)
                     removed = int(bad.sum())
                     kept = b" ".join([w for w, b in zip(words, bad.tolist(), strict=True) if not b])
-                    at, level, h = candidates(hashes, repeated, window)
-                    if len(at):
-                        longer.append((np.full(len(at), i), at, level, h))
+                    for level, _, _, named, whole in longer_spans(hashes, repeated, window):
+                        at = np.unique(whole, return_index=True)[1]
+                        seen = np.bincount(np.searchsorted(whole[at], whole), minlength=len(at))
+                        longer.append((np.full(len(at), i), np.full(len(at), level, np.int32), named[at], whole[at], seen))
                 else:
                     kept = b" ".join(words)
                 total.append(len(words))
@@ -203,30 +227,60 @@ def _apply(window: int, with_text: bool):
                     kept_text.append(kept)
             n = batch.num_rows
             cols = {k: batch.column(k) for k in KEY} | {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.binary()).cast(pa.string()) if with_text else pa.nulls(n, pa.string())}
-            yield pa.record_batch(cols | {"at": pa.nulls(n, pa.int64()), "level": pa.nulls(n, pa.int32()), "h": pa.nulls(n, pa.int64())})
+            yield pa.record_batch(cols | {"level": pa.nulls(n, pa.int32()), "a": pa.nulls(n, pa.int64()), "s": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64())})
             if longer:
-                doc, at, level, h = (np.concatenate(x) for x in zip(*longer, strict=True))
-                doc, n = pa.array(doc), len(at)
+                doc, level, a, s, seen = (np.concatenate(x) for x in zip(*longer, strict=True))
+                doc, n = pa.array(doc), len(level)
                 cols = {k: batch.column(k).take(doc) for k in KEY} | {"n_words": pa.nulls(n, pa.int64()), "n_removed": pa.nulls(n, pa.int64()), "kept_sha256": pa.nulls(n, pa.string()), "kept_text": pa.nulls(n, pa.string())}
-                yield pa.record_batch(cols | {"at": at, "level": level.astype(np.int32), "h": h})
+                yield pa.record_batch(cols | {"level": level, "a": a, "s": s, "n": seen.astype(np.int64)})
 
     return run
 
 
-def longest_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """rows of _apply -> (doc_id, tk, longest): lengths double until no candidate survives.  A start is one hash: two that
-    share it cost a look at a window too many, but every window counts its own words."""
-    found = rows.where("level is not null").select(*KEY, F.xxhash64(*KEY, "at").alias("start"), "level", "h")
-    alive, level, out = found.where("level = 1"), 1, None
-    while True:
-        twice = stage(alive.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h"))
-        survivors = stage(_joined(alive, twice, ["h"]).select(*KEY, "start"))
-        longer = survivors.select(*KEY, F.lit(window << level).cast("long").alias("longest")).distinct()
-        out = longer if out is None else out.unionByName(longer)
-        if survivors.isEmpty():
-            return out.groupBy(*KEY).agg(F.max("longest").alias("longest"))
-        level += 1
-        alive = found.where(F.col("level") == level).join(survivors.select("start"), "start", "left_semi")
+def _emit_longer(window: int):
+    """Of each document's named spans of longer candidates: every window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, wanted = (batch.column(c) for c in ("raw", "spans", "wanted"))
+            for i in range(batch.num_rows):
+                hashes = word_hashes(texts[i].as_py().split())
+                names = np.array(wanted[i].as_py(), np.int64)
+                b = Poly(mix(hashes), BASE_B)
+                for level, begin, count, _, whole in longer_spans(hashes, _of(spans[i].as_py(), hashes, window), window):
+                    keep = np.unique(whole, return_index=True)[1]
+                    keep = keep[np.isin(whole[keep], names)]
+                    which = np.repeat(keep, count[keep])
+                    place = np.arange(len(which)) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
+                    for x in range(0, len(which), 200_000):
+                        w = b.of(begin[which[x : x + 200_000]] + place[x : x + 200_000], window << level).view(np.int64)
+                        yield pa.record_batch({"level": np.full(len(w), level, np.int32), "s": whole[which[x : x + 200_000]], "w": w})
+
+    return run
+
+
+def longest_repeats(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """rows of _apply, texts (KEY, raw, spans) -> (KEY, longest) of documents in which a window of twice the length or more repeats.
+
+    A span that occurs twice is a repeat.  For a document the question is then whether it has one at a level above its longest so far:
+    only spans around the anchors of such rows, and only where they differ, are taken apart into windows."""
+    at = ["level", "s"]
+    found = stage(rows.where("level is not null").select(*KEY, F.xxhash64(*KEY).alias("dk"), "level", "a", "s", "n"))
+    spans = stage(found.groupBy("level", "a", "s").agg(F.sum("n").alias("n"), F.min("dk").alias("dk")))
+    twice = spans.where("n >= 2").select(*at)
+    sure = stage(stage(_joined(found.select(*KEY, "dk", *at), twice, at)).groupBy(*KEY, "dk").agg(F.max("level").alias("sure")))
+    above = stage(found.join(sure.select("dk", "sure"), "dk", "left").where("level > coalesce(sure, 0)").select(*KEY, "dk", "level", "a", "s"))
+    mixed = stage(above.select("level", "a").distinct().join(spans.groupBy("level", "a").agg(F.count("*").alias("k")).where("k >= 2").drop("k"), ["level", "a"], "left_semi"))
+    apart = stage(_joined(spans.select("level", "a", "s", "dk"), mixed, ["level", "a"]).select(*at, "dk"))
+    wanted = stage(_joined(found.select(*KEY, *at, "dk"), apart, [*at, "dk"]).select(*KEY, "s")).groupBy(*KEY).agg(F.collect_set("s").alias("wanted"))
+    sources = texts.join(wanted, same_key(texts, wanted, KEY)).select(*[texts[k] for k in KEY], texts["raw"], texts["spans"], wanted["wanted"])
+    once = sources.dropDuplicates(KEY).drop(*KEY)  # rows alike in both hold the same windows
+    windows = stage(once.mapInArrow(tidy(_emit_longer(window)), "level int, s long, w long"))
+    shared = stage(windows.groupBy("level", "w").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("level", "w"))
+    part = stage(_joined(windows, shared, ["level", "w"]).select(*at).distinct())
+    more = stage(_joined(above.select(*KEY, *at), part, at)).groupBy(*KEY).agg(F.max("level").alias("sure"))
+    both = sure.select(*KEY, "sure").unionByName(more).groupBy(*KEY).agg(F.max("sure").alias("level"))
+    return both.select(*KEY, F.expr(f"{window}L * shiftleft(1L, level)").alias("longest"))
 
 
 def _joined(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
@@ -254,25 +308,25 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     spans = stage(_joined(alive, twice, ["h9", "h18"]).groupBy(*SPAN, "cnt").agg(F.sum("n").alias("n"), F.min("dk").alias("dk")))
     mixed = stage(spans.groupBy("h9", "h18").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k >= 2 and least < 2").select("h9", "h18"))
     apart = stage(_joined(spans, mixed, ["h9", "h18"]).select(*SPAN, "dk"))
-    wanted = _joined(alive.select(*KEY, *SPAN, "dk"), apart, [*SPAN, "dk"]).groupBy(*KEY).agg(F.collect_list("s1").alias("wanted"))
+    wanted = _joined(alive.select(*KEY, *SPAN, "dk"), apart, [*SPAN, "dk"]).groupBy(*KEY).agg(F.collect_set("s1").alias("wanted"))
     sources = base.join(wanted, same_key(base, wanted, KEY)).select(base["raw"], wanted["wanted"])
     windows = stage(sources.mapInArrow(tidy(_emit_windows(window)), "h9 long, h18 long, s1 long, w long, place int"))
     shared = stage(windows.groupBy("h9", "h18", "w").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("h9", "h18", "w"))
     part = _joined(windows, shared, ["h9", "h18", "w"]).select(*SPAN, F.expr("shiftleft(1L, place)").alias("mask"))
     whole = spans.where("n >= 2").select(*SPAN, F.expr("shiftleft(1L, cnt) - 1L").alias("mask"))
     masks = stage(whole.unionByName(part).groupBy(*SPAN).agg(F.bit_or("mask").alias("mask")))
-    return _joined(alive.select(*KEY, *SPAN), masks, SPAN).groupBy(*KEY).agg(F.collect_list(F.struct("s1", "mask")).alias("spans"))
+    return _joined(alive.select(*KEY, *SPAN), masks, SPAN).groupBy(*KEY).agg(F.collect_set(F.struct("s1", "mask")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, longest_repeat and, if asked for, kept_text (the
     words that stay, joined by one space)."""
-    found = repeated_spans(docs.select("doc_id", "text"), window)
+    found = stage(repeated_spans(docs.select("doc_id", "text"), window))
     base = docs.select("doc_id", text_key().alias("tk"), raw_text().alias("raw"))
     both = base.join(found, same_key(base, found, KEY), "left").select(base["doc_id"], base["tk"], base["raw"], found["spans"])
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(both.mapInArrow(tidy(_apply(window, with_text)), f"doc_id {id_type}, tk long, n_words long, n_removed long, kept_sha256 string, kept_text string, at long, level int, h long"))
-    own, longest = rows.where("level is null"), longest_repeats(rows, window)
+    rows = stage(both.mapInArrow(tidy(_apply(window, with_text)), f"doc_id {id_type}, tk long, n_words long, n_removed long, kept_sha256 string, kept_text string, level int, a long, s long, n long"))
+    own, longest = rows.where("level is null"), longest_repeats(rows, both.where("spans is not null"), window)
     out = own.join(longest, same_key(own, longest, KEY), "left")
     least = F.when(own["n_removed"] > 0, window).otherwise(0).cast("long")
     cols = [own["doc_id"], own["n_words"], own["n_removed"], own["kept_sha256"], F.coalesce(longest["longest"], least).alias("longest_repeat")]

@@ -8,7 +8,7 @@ import pytest
 from helpers import DOCS, rows, rows_of, table
 
 from leafmill.llm._util import word_hashes
-from leafmill.llm.substring_dedup import own_anchors, spans_of, substring_dedup, windows_of
+from leafmill.llm.substring_dedup import least_of, spans_of, substring_dedup, windows_of
 
 
 def brute(data, n):
@@ -42,39 +42,52 @@ def test_shared_edges(spark):
 
 
 def longest(data, n):
-    """Doubled windows from anchors, each level among what is left of the one before."""
+    """Over all windows of each doubled length."""
     texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in data]
-    gone = {r[0]: r[2] for r in brute(data, n)}
-    out = {d: n if gone[d] else 0 for d, *_ in data}
-    anchors = [[set(a.tolist()) for a in own_anchors(word_hashes([x.encode() for x in w]), n)] for w in texts]
-    alive = [(k, s) for k, a in enumerate(anchors) if a for s in a[0]]
-    size, level = n, 0
-    while alive:
-        seen = Counter(tuple(texts[k][s : s + size]) for k, s in alive)
-        alive = [(k, s) for k, s in alive if seen[tuple(texts[k][s : s + size])] > 1]
-        for k, _ in alive:
-            out[data[k][0]] = max(out[data[k][0]], size)
-        size, level = size * 2, level + 1
-        alive = [(k, s) for k, s in alive if level < len(anchors[k]) and s in anchors[k][level]]
-    return out
-
-
-def test_anchors_nest_and_follow_from_the_window_s_words():
-    rng = random.Random(2)
-    w = [b"%d" % rng.randrange(9) for _ in range(700)]
-    levels = [set(a.tolist()) for a in own_anchors(word_hashes(w), 35)]
-    assert len(levels) == 5 and all(b <= a for a, b in zip(levels, levels[1:], strict=False))
-    for level, starts in enumerate(levels):
-        size = 35 << level
-        for s in range(len(w) - size + 1):
-            assert (s in starts) == (0 in [set(a.tolist()) for a in own_anchors(word_hashes(w[s : s + size]), 35)][level])
+    out, size, any_left = [0] * len(data), n, True
+    while any_left:
+        seen = Counter(tuple(w[i : i + size]) for w in texts for i in range(len(w) - size + 1))
+        again = [k for k, w in enumerate(texts) if any(seen[tuple(w[i : i + size])] > 1 for i in range(len(w) - size + 1))]
+        for k in again:
+            out[k] = size
+        size, any_left = size * 2, bool(again)
+    return sorted(((d, x) for (d, *_), x in zip(data, out, strict=True)), key=repr)
+
+
+def test_least_of():
+    rng = np.random.default_rng(1)
+    for n, size in ((1, 1), (50, 7), (49, 7), (300, 18), (20, 20)):
+        v = rng.integers(0, 9, n).astype(np.uint64)
+        assert least_of(v, size).tolist() == [i + int(np.argmin(v[i : i + size])) for i in range(n - size + 1)]
 
 
 @pytest.mark.parametrize("window", [35, 8])
 def test_lengths_double_until_none_survives(spark, window):
     data = rows()
-    got = {r["doc_id"]: r["longest_repeat"] for r in substring_dedup(table(spark), window, with_text=False).collect()}
-    assert got == longest(data, window) and max(got.values()) > 2 * window
+    got = rows_of(substring_dedup(table(spark), window, with_text=False), "doc_id", "longest_repeat")
+    assert got == longest(data, window) and max(x for _, x in got) > 2 * window
+
+
+def test_longest_among_passages_that_overlap(spark):
+    """Passages cut out of one text here and there: spans differ at their edges, so windows decide."""
+    rng = random.Random(11)
+    source = [f"s{i}" for i in range(400)]
+    data = []
+    for k in range(40):
+        a = rng.randrange(300)
+        middle = source[a : a + rng.randrange(30, 200)]
+        data.append((k, " ".join([f"b{k}", *middle, f"e{k}"]), "", "", 1))
+    got = rows_of(substring_dedup(table(spark, data), 8, with_text=False), "doc_id", "n_removed", "longest_repeat")
+    removed = {r[0]: r[2] for r in brute(data, 8)}
+    assert got == sorted(((d, removed[d], x) for d, x in longest(data, 8)), key=repr) and len({x for *_, x in got}) > 2
+
+
+def test_many_equal_rows(spark):
+    """Rows alike in doc_id and text: each is a document of its own, and no list grows with them."""
+    text = " ".join(f"r{i}" for i in range(150))
+    data = [(None, text, "", "", 1)] * 3000 + [(1, text + " end", "", "", 1), (2, "own words only", "", "", 1)]
+    got = rows_of(substring_dedup(table(spark, data), 35, with_text=False), "doc_id", "n_words", "n_removed", "longest_repeat")
+    assert got == sorted([(None, 150, 150, 140)] * 3000 + [(1, 151, 150, 140), (2, 3, 0, 0)], key=repr)
 
 
 def test_empty_table_and_text_column(spark):
