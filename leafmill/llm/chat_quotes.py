@@ -14,7 +14,8 @@ conversation with a third of all messages is no group that anything gathers.
 
 Nulls and edge cases: a null text has no lines; a null conv_id or turn links to nothing; rows alike in
 conv_id and turn share parents but keep their texts; a passage of white space alone is none; an empty table
-gives an empty one.
+gives an empty one; of origins with equally many words the latest is the parent; a very long text is parsed line by line and
+leaves a hash a line; columns besides conv_id, turn, role and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -35,8 +35,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), 35, with_text=False)
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """Every message, with quotes put before its text as mail programs do, since the generated conversations hold none.  By (7 * conv_id
+    + turn) modulo 4: 0 quotes nothing; 1 the message before, its lines in capitals (A-Z); 2 the message before, wrapped anew, a
+    word a line; 3 the message two turns before at level two, and the one before at level one.  What is missing or
+    empty is not quoted.  Of rows alike in conv_id and turn the least text is quoted."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    said = messages.where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+
+    def back(k: int) -> DataFrame:
+        return said.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(f"back{k}"))
+
+    def quote(text: F.Column, sign: str) -> F.Column:
+        return F.concat(F.lit(sign), F.replace(text, F.lit("\n"), F.lit(f"\n{sign}")))
+
+    both = messages.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    rule = F.pmod(7 * F.col("conv_id") + F.col("turn"), F.lit(4))
+    one, two = F.when(F.col("back1") != "", F.col("back1")), F.when(F.col("back2") != "", F.col("back2"))
+    quoted = F.when(rule == 1, quote(F.translate(one, lower, upper), "> ")).when(rule == 2, quote(F.replace(one, F.lit(" "), F.lit("\n")), "> ")).when(rule == 3, F.concat(F.coalesce(F.concat(quote(two, "> > "), F.lit("\n")), F.lit("")), quote(one, "> ")))
+    return both.select("conv_id", "turn", "role", F.coalesce(F.concat(quoted, F.lit("\n\n"), F.coalesce("text", F.lit(""))), "text").alias("text"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    out = link_quotes(quoting(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return out.select("conv_id", "turn", "role", "parent_turn", "thread_root", F.col("depth").cast("long").alias("depth"), F.col("n_quotes").cast("long").alias("n_quotes"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +68,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is that of the label with its number: bad if its quality is 0 or it is toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES).drop("bad_bound")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7, "op8_media": op8, "op9_quality_rules": op9, "op10_line_dedup": op10, "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filter": sql.URL_FILTER, "op6_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}
+ORACLES: dict[str, str] = {"op2_chat_quotes": sql.CHAT_QUOTES, "op4_url_filter": sql.URL_FILTER, "op6_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}

@@ -1,5 +1,7 @@
 """DuckDB statements with the results of the queries that SQL can express on whole tables."""
 
+from .url_reputation import SUFFIXES
+
 LINE_DEDUP = r"""
 WITH l AS (
   SELECT row, doc_id, pos, line, translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -12,17 +14,55 @@ FROM l LEFT JOIN often o ON l.key = o.key
 GROUP BY row
 """
 
+_NORMAL = r"trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')"
+
+
+def _pieces(text: str, level: int, where: str) -> str:
+    """Whole, lines and paragraphs of a text, as normalised pieces."""
+    cut = f"unnest(list_concat([{text}], string_split({text}, E'\\n'), string_split({text}, E'\\n\\n')))"
+    return f"SELECT conv_id, turn, {level} AS level, {_NORMAL.format(x='piece')} AS key FROM (SELECT conv_id, turn, {cut} AS piece FROM m WHERE {where})"
+
+
+CHAT_QUOTES = rf"""
+WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS said FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn),
+m AS (
+  SELECT c.conv_id, c.turn, c.role, coalesce(c.text, '') AS text, ((7 * c.conv_id + c.turn) % 4 + 4) % 4 AS rule, nullif(a.said, '') AS one, nullif(b.said, '') AS two
+  FROM conversations c LEFT JOIN said a ON a.conv_id = c.conv_id AND a.turn + 1 = c.turn LEFT JOIN said b ON b.conv_id = c.conv_id AND b.turn + 2 = c.turn),
+own AS ({_pieces("text", 0, "true")}),
+asked AS (
+  SELECT DISTINCT conv_id, turn, level, key, length(key) - length(replace(key, ' ', '')) + 1 AS words
+  FROM ({_pieces("one", 1, "rule IN (1, 3) AND one IS NOT NULL")} UNION ALL {_pieces("replace(one, ' ', chr(10))", 1, "rule = 2 AND one IS NOT NULL")} UNION ALL {_pieces("two", 2, "rule = 3 AND one IS NOT NULL AND two IS NOT NULL")})
+  WHERE key <> ''),
+origin AS (SELECT conv_id, key, min(turn) AS origin FROM own WHERE key <> '' GROUP BY conv_id, key),
+hits AS (SELECT conv_id, turn, level, origin, sum(words) AS found FROM asked JOIN origin USING (conv_id, key) WHERE origin < turn GROUP BY ALL),
+link AS (SELECT conv_id, turn, arg_max(origin, (10 - level) * 1e15 + found * 1e7 + origin) AS parent FROM hits GROUP BY conv_id, turn),
+up AS (
+  SELECT conv_id, turn, parent AS root, 1 AS depth FROM link
+  UNION ALL SELECT up.conv_id, up.turn, l.parent, up.depth + 1 FROM up JOIN link l ON l.conv_id = up.conv_id AND l.turn = up.root),
+top AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+n AS (SELECT conv_id, turn, count(*) AS n FROM asked GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, role, parent AS parent_turn, coalesce(root, m.turn) AS thread_root, CAST(coalesce(depth, 0) AS BIGINT) AS depth, coalesce(n, 0) AS n_quotes,
+       sha256(trim(text, E' \t\n\x0b\f\r')) AS body_sha256
+FROM m LEFT JOIN link USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn)
+"""
+
 URL_FILTER = r"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
+q AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*\z', ''), '\.\z', '') AS site FROM p),
 judged AS (
   SELECT doc_id, max(bad) AS bad FROM (SELECT doc_id, CAST((quality = 0) OR (toxic = 1) AS INT) AS bad FROM labels)
   WHERE doc_id IS NOT NULL AND bad IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k, list_extract(string_split(host, '.'), -1) AS suffix,
-             array_to_string(string_split(host, '.')[-2:], '.') AS domain
-      FROM p LEFT JOIN judged ON page_id = doc_id GROUP BY host),
+h0 AS (SELECT site, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k FROM q LEFT JOIN judged ON page_id = doc_id GROUP BY site),
+h1 AS (
+  SELECT *, CASE WHEN regexp_matches(site, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])\z') THEN site
+                 WHEN array_to_string(string_split(site, '.')[-2:], '.') IN (@SUFFIXES) THEN array_to_string(string_split(site, '.')[-2:], '.')
+                 ELSE list_extract(string_split(site, '.'), -1) END AS suffix FROM h0),
+h AS (
+  SELECT *, CASE WHEN site = suffix THEN site
+                 ELSE list_extract(string_split(left(site, length(site) - length(suffix) - 1), '.'), -1) || '.' || suffix END AS domain FROM h1),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 sums AS (
@@ -31,25 +71,25 @@ sums AS (
 between_groups AS (
   SELECT *, CASE WHEN n > n2 / n THEN (k2 - n * (k / n) * (k / n) - (g - 1) * (k / n) * (1 - k / n)) / (n - n2 / n) ELSE 0 END AS v FROM sums),
 w AS (
-  SELECT level, CASE WHEN k <= 0 OR k >= n OR g < 2 OR v <= 0 THEN 10000.0
-                     ELSE least(greatest((k / n) * (1 - k / n) / v - 1, 1.0), 10000.0) END AS w FROM between_groups),
-prior AS (SELECT coalesce((SELECT k / n FROM sums WHERE level = 3), 0) AS rate, coalesce((SELECT w FROM w WHERE level = 1), 10000.0) AS wh,
-                 coalesce((SELECT w FROM w WHERE level = 2), 10000.0) AS wd, coalesce((SELECT w FROM w WHERE level = 3), 10000.0) AS ws),
+  SELECT level, CASE WHEN k <= 0 OR k >= n OR g < 2 OR v <= 0 THEN 50.0
+                     ELSE least(greatest((k / n) * (1 - k / n) / v - 1, 1.0), 50.0) END AS w FROM between_groups),
+prior AS (SELECT coalesce((SELECT k / n FROM sums WHERE level = 3), 0) AS rate, coalesce((SELECT w FROM w WHERE level = 1), 50.0) AS wh,
+                 coalesce((SELECT w FROM w WHERE level = 2), 50.0) AS wd, coalesce((SELECT w FROM w WHERE level = 3), 50.0) AS ws),
 rated AS (
-  SELECT host, h.n, h.k, (h.k + wh * ((d.k + wd * ((s.k + ws * rate) / (s.n + ws))) / (d.n + wd))) / (h.n + wh) AS q, h.n + wh AS size
+  SELECT site, h.n, h.k, rate, (h.k + wh * ((d.k + wd * ((s.k + ws * rate) / (s.n + ws))) / (d.n + wd))) / (h.n + wh) AS q, h.n + wh AS size
   FROM h JOIN d USING (domain) JOIN s ON s.suffix = h.suffix, prior),
 r AS (
-  SELECT page_id, host, path, n, k, q - 1.645 * sqrt(q * (1 - q) / (size + 1)) > 0.5 AS bad,
+  SELECT page_id, host, path, n, k, q - 0.6745 * sqrt(q * (1 - q) / (size + 1)) AS bound, rate,
          CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
               WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM p JOIN rated USING (host))
+  FROM q JOIN rated USING (site))
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 1.0 * rate THEN 'block' ELSE 'allow' END AS verdict,
        n AS n_labelled, k AS n_bad
 FROM r
-"""
+""".replace("@SUFFIXES", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 
 def _share(level: str, path: str, parent: str | None, weight: str, budget: str) -> str:

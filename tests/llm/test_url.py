@@ -2,12 +2,13 @@ import re
 from collections import defaultdict
 
 from helpers import rows_of
+from pyspark.sql import functions as F
 
 from leafmill.llm import queries, sql
-from leafmill.llm.url_reputation import WEIGHTS, reputations, url_filter
+from leafmill.llm.url_reputation import SUFFIXES, WEIGHTS, domain_of, reputations, site_of, suffix_of, url_filter
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
-URLS = ["http://A.Example.NET/en/x?y", "https://b.example.net", "http://example.com/de/1", "http://x.org/fr/a#b", "http://org/fr/", "http://notexample.com/de/", "no scheme", None, "", "http://u:p@h.example.com:80/de/", "x://y://z/p", "http://É.example.org/FR/", "http://net.org/", "http://a.net?x", "http://\n.net/\n"]
+URLS = ["http://a.co.uk/x", "https://u@b.co.uk:8080/", "http://1.2.3.4/", "http://A.Example.NET/en/x?y", "https://b.example.net", "http://example.com/de/1", "http://x.org/fr/a#b", "http://org/fr/", "http://notexample.com/de/", "no scheme", None, "", "http://u:p@h.example.com:80/de/", "x://y://z/p", "http://É.example.org/FR/", "http://net.org/", "http://a.net?x", "http://\n.net/\n"]
 
 
 def brute_rule(host, path):
@@ -27,9 +28,25 @@ def brute_parts(url):
     return host.translate(_LOWER), re.match(r"[^?#]*", rest[len(host) :]).group()
 
 
+def brute_site(host):
+    return re.sub(r"\.\Z", "", re.sub(r":[0-9]*\Z", "", host.rpartition("@")[2]))
+
+
+def brute_suffix(site):
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}|\[.*\]", site):
+        return site
+    two = ".".join(site.split(".")[-2:])
+    return two if two in SUFFIXES else site.split(".")[-1]
+
+
+def brute_domain(site):
+    suffix = brute_suffix(site)
+    return site if site == suffix else site[: -len(suffix) - 1].split(".")[-1] + "." + suffix if suffix else site[:-1].split(".")[-1] + "."
+
+
 def brute_rates(hosts):
-    """host -> (n, k) -> bad rate and sd by the same shrinkage, step by step."""
-    levels = [lambda h: h, lambda h: ".".join(h.split(".")[-2:]), lambda h: h.split(".")[-1]]
+    """site -> (n, k) -> bad rate and sd by the same shrinkage, step by step."""
+    levels = [lambda h: h, brute_domain, brute_suffix]
     groups = []
     for f in levels:
         g = defaultdict(lambda: [0, 0])
@@ -82,22 +99,40 @@ def test_equals_brute_force(spark):
             judged[p] = max(judged.get(p, 0), int(b))
     hosts = defaultdict(lambda: [0, 0])
     for p, u in pages:
-        h = hosts[brute_parts(u)[0]]
+        h = hosts[brute_site(brute_parts(u)[0])]
         if p in judged:
             h[0] += 1
             h[1] += judged[p]
-    rates = brute_rates(hosts)
-    want = []
+    rates, want = brute_rates(hosts), []
+    rate = sum(k for _, k in hosts.values()) / sum(n for n, _ in hosts.values())
     for p, u in pages:
         host, path = brute_parts(u)
         rule = brute_rule(host, path)
-        m, sd = rates[host]
-        want.append((p, host, path, rule, queries.URL_RULES.get(rule) or ("block" if m - 1.645 * sd > 0.5 else "allow"), *hosts[host]))
+        m, sd = rates[brute_site(host)]
+        want.append((p, host, path, rule, queries.URL_RULES.get(rule) or ("block" if m - 0.6745 * sd > rate else "allow"), *hosts[brute_site(host)]))
     got = rows_of(url_filter(df, ldf, queries.URL_RULES), "page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
     assert got == sorted(want, key=repr)
     assert {w[4] for w in want if w[3] is None} == {"allow", "block"}
-    known = {r["host"]: r for r in reputations(df.selectExpr("page_id", "'h' AS host"), ldf).collect()}
-    assert known["h"]["n"] == sum(n for n, _ in hosts.values())
+    found, base = reputations(df.selectExpr("page_id", "'h' AS site"), ldf)
+    assert base == rate and found.first()["n"] == sum(n for n, _ in hosts.values())
+
+
+def test_sites_and_domains(spark):
+    cases = [
+        ("a.co.uk", "a.co.uk", "co.uk", "a.co.uk"), ("u:p@b.a.co.uk:8080", "b.a.co.uk", "co.uk", "a.co.uk"), ("co.uk", "co.uk", "co.uk", "co.uk"), ("1.2.3.4:80", "1.2.3.4", "1.2.3.4", "1.2.3.4"),
+        ("[::1]:443", "[::1]", "[::1]", "[::1]"), ("x.example.net.", "x.example.net", "net", "example.net"), ("localhost", "localhost", "localhost", "localhost"), ("", "", "", ""), (".net", ".net", "net", ".net"),
+    ]
+    site = site_of(F.col("host"))
+    df = spark.createDataFrame([(c[0],) for c in cases], "host string").withColumn("site", site).withColumn("suffix", suffix_of(F.col("site"))).withColumn("domain", domain_of(F.col("site"), F.col("suffix")))
+    assert [tuple(r) for r in df.collect()] == cases
+    for host, s, suffix, domain in cases:
+        assert (brute_site(host), brute_suffix(s), brute_domain(s)) == (s, suffix, domain)
+
+
+def test_very_long_url(spark):
+    long = "http://h.example.org/" + "p" * 300_000 + "?q"
+    got = url_filter(spark.createDataFrame([(1, long), (1, long), (2, "x" * 300_000)], "page_id long, url string"), spark.createDataFrame([(1, True)], "page_id long, bad boolean"), queries.URL_RULES).collect()
+    assert sorted((r["page_id"], r["host"], len(r["path"]), r["n_labelled"]) for r in got) == [(1, "h.example.org", 300_001, 2), (1, "h.example.org", 300_001, 2), (2, "", 0, 0)]
 
 
 def test_query_equals_its_sql(spark, tmp_path):
