@@ -6,7 +6,10 @@ one bound here; statistics, rules and scores cover all rows.  Chosen features ar
 break the order is refused, and the midpoint of a split bounds the leaves below it.
 
 Nulls and edge cases: a null or empty text has no words, fails the base rules and gets all-zero
-statistics; labels without a document, null labels and repeated rows are harmless (null labels are ignored);
+statistics; labels without a document, null labels and repeated rows are harmless (null labels are ignored, of several labels of
+an id the least counts, and of several documents with one id the trees see the one with the least statistics);
+an empty table gives an empty one; a very long text is one row like any other; a probability just at the bound is
+kept; columns of docs besides doc_id and text may have any names: those asked for by ``keep`` come back as they are;
 with fewer than two classes among the labels the trees keep everything and the hard rules decide alone.
 """
 
@@ -192,10 +195,10 @@ def some_labels(labels: DataFrame, most: int) -> DataFrame:
     return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)), "doc_id").limit(most)
 
 
-def train(stats: DataFrame, picked: DataFrame, max_train_rows: int = 20_000, trees: int = 40) -> Trees:
+def train(stats: DataFrame, picked: DataFrame, trees: int = 40) -> Trees:
     """stats from statistics_table, picked from some_labels."""
-    rows = stats.join(picked, "doc_id").select("doc_id", "y", "f").limit(4 * max_train_rows).collect()  # repeated ids give several rows
-    rows.sort(key=lambda r: (r["doc_id"], r["f"]))
+    one = stats.join(picked, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("f").alias("f"))  # of rows with one id the least
+    rows = sorted(one.collect(), key=lambda r: (r["doc_id"], r["f"]))
     x = np.array([r["f"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([float(r["y"] > 0) for r in rows]), list(FEATURES.values()), trees=trees)
 
@@ -221,7 +224,7 @@ def judged(stats: DataFrame, model: Trees, least_prob: float) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, least_prob: float = 0.3, trees: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, keep columns, base counts, base_failed, quality (probability), kept."""
     stats = stage(statistics_table(docs, *keep))
-    return judged(stats, train(stats, some_labels(labels, max_train_rows), max_train_rows, trees), least_prob)
+    return judged(stats, train(stats, some_labels(labels, max_train_rows), trees), least_prob)
 
 
 def apply_rules(docs: DataFrame, model: Trees, least_prob: float) -> DataFrame:
@@ -245,4 +248,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000,
     rows only, so the first of the two passes sends few rows."""
     picked = some_labels(labels, max_train_rows)
     stats = stage(statistics_table(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")))  # at most max_train_rows ids
-    return apply_rules(docs, train(stats, picked, max_train_rows, trees), least_prob)
+    return apply_rules(docs, train(stats, picked, trees), least_prob)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -5,7 +6,7 @@ from collections import Counter
 import numpy as np
 from helpers import DOCS, rows, rows_of, table
 
-from leafmill.llm.quality_gbt import FEATURES, Trees, fit, keep_good, quality_rules, statistics
+from leafmill.llm.quality_gbt import FEATURES, Trees, fit, keep_good, quality_rules, some_labels, statistics, statistics_table, train
 
 
 def brute(text):
@@ -65,6 +66,30 @@ def test_trees_learn_hold_order_and_score_flat():
     assert (fit(x, np.ones(3000), list(FEATURES.values())).score(x) > 5).all() and Trees(base=1.0).score(x[:2]).tolist() == [1.0, 1.0]
 
 
+def test_quality_and_kept_equal_a_plain_scorer(spark):
+    """Node by node, document by document; and ids repeated beyond the bound on labelled rows give one model in any order of rows."""
+    data = [*rows(n=80), *[(5, f"copy {i} of an id that many rows share, each with words of its own " * (1 + i % 3), "en", "s", 1) for i in range(60)]]
+    df, ls = table(spark, data), labels(spark, data)
+    stats = statistics_table(df)
+    model = train(stats, some_labels(ls, 30))
+    assert len(model.root) > 0
+
+    def walk(f):
+        total = model.base
+        for node in model.root:
+            while model.left[node] != node:
+                node = model.left[node] if f[model.feature[node]] <= model.cut[node] else model.right[node]
+            total += model.value[node]
+        return 1 / (1 + math.exp(-total))
+
+    want = sorted(((r["doc_id"], r["n_words"], round(walk(r["f"]), 9)) for r in stats.collect()), key=repr)
+    for parts in (1, 5):
+        out = quality_rules(df.repartition(parts), ls, max_train_rows=30)
+        got = out.collect()
+        assert sorted(((r["doc_id"], r["n_words"], round(r["quality"], 9)) for r in got), key=repr) == want
+        assert all(r["kept"] == (not r["base_failed"] and r["quality"] >= 0.3) for r in got)
+
+
 def test_pipeline_form_agrees_and_empty_tables(spark):
     data = rows()
     df, ls = table(spark, extra=True), labels(spark, data)
