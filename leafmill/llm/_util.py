@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +161,59 @@ class Poly:
 
 
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+# ---------------------------------------------------------------------- words of many texts at once
+#: Bytes of text worked on at a time, and the longest word that is hashed by sums.
+PIECE, LONG = 1_000_000, 255
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def runs(to: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal neighbours begin and end."""
+    ends = np.append(np.flatnonzero(np.diff(to)) + 1, len(to)).tolist() if len(to) else []
+    return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+
+
+def slices(raws: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most so many bytes, or one row."""
+    begin = held = 0
+    for i in range(len(raws)):
+        n = len(raws[i].as_buffer())
+        if held and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(raws):
+        yield begin, len(raws)
+
+
+@lru_cache(1)
+def _byte_powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte value, and the powers of a base and of its inverse, for sums over PIECE bytes."""
+    size = PIECE + LONG + 2
+    out = [mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))]
+    for b in (BASE_A, pow(BASE_A, -1, 1 << 64)):
+        a = np.full(size, b, _U)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=_U))
+    return tuple(out)
+
+
+def tokens_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text that ends with a blank -> where its words begin and end, and their hashes."""
+    x = np.frombuffer(data, np.uint8)
+    inside = np.concatenate(([0], (~_BLANK[x]).view(np.int8)))
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    value, power, inverse = _byte_powers()
+    out = np.zeros(len(starts), _U)
+    length = ends - starts
+    for a, b in runs(starts // PIECE):
+        lo, hi = int(starts[a]), int(starts[b - 1]) + min(int(length[b - 1]), LONG)
+        prefix = np.zeros(hi - lo + 1, _U)
+        np.cumsum(value[x[lo:hi]] * power[: hi - lo], out=prefix[1:])
+        s, e = starts[a:b] - lo, np.minimum(ends[a:b], hi) - lo
+        out[a:b] = mix((prefix[e] - prefix[s]) * inverse[s])
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return starts, ends, out

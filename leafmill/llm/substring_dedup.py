@@ -37,106 +37,142 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import BASE_A, BASE_B, Poly, mix, raw_text, same_key, stage, text_key, tidy, word_hashes
+from ._util import BASE_A, BASE_B, PIECE, Poly, mix, raw_text, same_key, slices, stage, text_key, tidy, tokens_of
 
 KEY = ["doc_id", "tk"]
 SPAN = ["h9", "h18", "s1"]
 _NONE = np.zeros(0, np.int64)
+#: Stands behind each text among the hashes of words; windows that hold it are none.
+SIGN = np.uint64(0x2545F4914F6CDD1D)
 
 
-def spans_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, level-1 hash, level-2 hash, span hash) of each span of a document."""
-    n, base = len(hashes), -(-window // 4)
-    if n < window:
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """Where the least of each run of ``size`` values stands, the leftmost of equals.  Values are compared by their upper 32 bits, as
+    the lower ones hold a place; runs are put together from runs of half their size."""
+    n, bits = len(values), np.uint64(32)
+    least, width = values >> bits << bits | np.arange(n, dtype=np.uint64), 1
+    while 2 * width <= size:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < size:
+        least = np.minimum(least[: n - size + 1], least[size - width :][: n - size + 1])
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+class Texts:
+    """Some texts, a megabyte or one long one: the hashes of their words one after the other, with a sign behind each text."""
+
+    def __init__(self, raws: list[bytes]):
+        self.data = b" ".join(raws) + b" "
+        self.starts, self.ends, h = tokens_of(self.data)
+        self.stops = np.searchsorted(self.starts, np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1))
+        self.n = np.diff(np.concatenate(([0], self.stops)))
+        self.hashes = np.insert(h, self.stops, SIGN)
+        self.doc = np.repeat(np.arange(len(raws)), self.n + 1)
+        signs = np.zeros(len(self.hashes), bool)
+        signs[np.cumsum(self.n + 1) - 1] = True
+        self.signs = signs
+        self.before = np.concatenate(([0], np.cumsum(signs)))
+        self.a, self.b = Poly(self.hashes, BASE_A), Poly(mix(self.hashes), BASE_B)
+
+    def windows(self, length: int) -> np.ndarray:
+        """Where windows of one text begin."""
+        return np.flatnonzero(self.before[length:] == self.before[:-length]) if len(self.hashes) >= length else _NONE
+
+    def named(self, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """One number for a text and a span."""
+        return mix(s.view(np.uint64) + mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
+def spans_of(t: Texts, window: int) -> tuple[np.ndarray, ...]:
+    """(first window, windows, level-1 hash, level-2 hash, span hash) of each span of the texts."""
+    starts, base = t.windows(window), -(-window // 4)
+    if not len(starts):
         return (_NONE,) * 5
-    choices = window - 2 * base + 1
-    a = Poly(hashes, BASE_A)
-    short = a.grams(base)
-    last = n - window + 1
-    view = np.lib.stride_tricks.sliding_window_view(short, choices)[:last]
-    anchor = np.arange(last) + view.argmin(1)
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    count = np.diff(np.append(first, last))
-    at = anchor[first]
-    b = Poly(mix(hashes), BASE_B)
-    whole = mix(b.of(first, count + (window - 1)) ^ count.astype(np.uint64))
-    return first, count, short[at].view(np.int64), a.of(at, 2 * base).view(np.int64), whole.view(np.int64)
+    short = t.a.grams(base)
+    anchor = least_of(short, window - 2 * base + 1)[starts]
+    cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    count, at, first = np.diff(np.append(cut, len(starts))), anchor[cut], starts[cut]
+    whole = mix(t.b.of(first, count + (window - 1)) ^ count.astype(np.uint64))
+    return first, count, short[at].view(np.int64), t.a.of(at, 2 * base).view(np.int64), whole.view(np.int64)
 
 
-def windows_of(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    return Poly(mix(hashes), BASE_B).of(starts, window).view(np.int64)
+def each_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    for batch in batches:
+        for a, b in slices(batch.column("raw"), PIECE):
+            part = batch.slice(a, b - a)
+            yield part, Texts([x.as_py() for x in part.column("raw")])
 
 
 def _emit_spans(window: int, level1_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("raw")
-            out: list[list[np.ndarray]] = []
-            rows: list[int] = []
-
-            def flush() -> pa.RecordBatch:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                if level1_only:
-                    h, n = np.unique(cols[0], return_counts=True)
-                    return pa.record_batch({"h9": h, "n": n.astype(np.int64)})
-                doc = pa.array(np.repeat(rows, [len(c[0]) for c in out]))
-                keys = {k: batch.column(k).take(doc) for k in KEY}
-                return pa.record_batch(keys | dict(zip([*SPAN, "cnt", "n"], cols, strict=True)))
-
-            held = 0
-            for i in range(batch.num_rows):
-                _, count, h9, h18, s1 = spans_of(word_hashes(texts[i].as_py().split()), window)
-                if not len(s1):
-                    continue
-                if level1_only:
-                    out.append([h9])
-                else:
-                    _, at, n = np.unique(s1, return_index=True, return_counts=True)
-                    out.append([h9[at], h18[at], s1[at], count[at].astype(np.int32), n.astype(np.int64)])
-                rows.append(i)
-                held += len(h9)
-                if held > 400_000:
-                    yield flush()
-                    out, rows, held = [], [], 0
-            if out:
-                yield flush()
+        for batch, t in each_piece(batches):
+            first, count, h9, h18, s1 = spans_of(t, window)
+            if level1_only:
+                h, n = np.unique(h9, return_counts=True)
+                yield pa.record_batch({"h9": h, "n": n.astype(np.int64)})
+                continue
+            _, at, n = np.unique(t.named(t.doc[first], s1), return_index=True, return_counts=True)
+            doc = pa.array(t.doc[first[at]])
+            keys = {k: batch.column(k).take(doc) for k in KEY}
+            yield pa.record_batch(keys | {"h9": h9[at], "h18": h18[at], "s1": s1[at], "cnt": count[at].astype(np.int32), "n": n.astype(np.int64)})
 
     return run
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The texts that the items of a column of lists belong to, and the items."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), column.flatten()
+
+
+def _taken_apart(first: np.ndarray, count: np.ndarray, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(span, place) of every window of the spans to keep, some at a time."""
+    which = np.repeat(keep, count[keep])
+    place = np.arange(len(which)) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
+    for x in range(0, len(which), 400_000):
+        yield which[x : x + 400_000], place[x : x + 400_000]
+
+
 def _emit_windows(window: int):
     """Of each document's named spans: every window, with its place in the span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, wanted = batch.column("raw"), batch.column("wanted")
-            for i in range(batch.num_rows):
-                hashes = word_hashes(texts[i].as_py().split())
-                first, count, h9, h18, s1 = spans_of(hashes, window)
-                keep = np.unique(s1, return_index=True)[1]
-                keep = keep[np.isin(s1[keep], np.array(wanted[i].as_py(), np.int64))]
-                which = np.repeat(keep, count[keep])
-                place = np.arange(len(which)) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
-                w = windows_of(hashes, first[which] + place, window)
+        for batch, t in each_piece(batches):
+            first, count, h9, h18, s1 = spans_of(t, window)
+            doc, names = _lists(batch.column("wanted"))
+            own = t.named(t.doc[first], s1)
+            keep = np.unique(own, return_index=True)[1]
+            keep = keep[np.isin(own[keep], t.named(doc, names.to_numpy(zero_copy_only=False).astype(np.int64)))]
+            for which, place in _taken_apart(first, count, keep):
+                w = t.b.of(first[which] + place, window).view(np.int64)
                 yield pa.record_batch({"h9": h9[which], "h18": h18[which], "s1": s1[which], "w": w, "place": place.astype(np.int32)})
 
     return run
 
 
-def repeated_starts(hashes: np.ndarray, window: int, s1: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Which windows of a document are repeats, given those of each span as a bit mask."""
-    first, count, _, _, spans = spans_of(hashes, window)
-    out = np.zeros(max(len(hashes) - window + 1, 0), bool)
-    if len(s1) and len(spans):
-        order = np.argsort(s1)
-        s1, masks = s1[order], masks[order]
-        at = np.minimum(np.searchsorted(s1, spans), len(s1) - 1)
-        mask = np.where(s1[at] == spans, masks[at], 0)
-        for bit in range(int(count.max())):
-            out[first[(mask >> bit & 1 == 1) & (bit < count)] + bit] = True
+def repeated_starts(t: Texts, window: int, spans: pa.Array) -> np.ndarray:
+    """Which windows are repeats, given those of each text's spans as bit masks."""
+    out = np.zeros(len(t.hashes), bool)
+    doc, items = _lists(spans)
+    if not len(items):
+        return out
+    first, count, _, _, s1 = spans_of(t, window)
+    names = t.named(doc, items.field("s1").to_numpy(zero_copy_only=False).astype(np.int64))
+    masks = items.field("mask").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(names)
+    names, masks = names[order], masks[order]
+    own = t.named(t.doc[first], s1)
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    mask = np.where(names[at] == own, masks[at], 0)
+    some = np.flatnonzero(mask)
+    first, count, mask = first[some], count[some], mask[some]
+    for bit in range(int(count.max()) if len(count) else 0):
+        out[first[(mask >> bit & 1 == 1) & (bit < count)] + bit] = True
     return out
 
 
@@ -149,20 +185,7 @@ def covered(repeated: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def least_of(values: np.ndarray, size: int) -> np.ndarray:
-    """Where the least of each run of ``size`` values stands, the leftmost of equals: block by block, in linear time."""
-    order = np.argsort(values, kind="stable")
-    n = len(values)
-    rank = np.full(-(-n // size) * size, n, np.int64)
-    rank[order] = np.arange(n)
-    grid = rank.reshape(-1, size)
-    ahead = np.minimum.accumulate(grid, 1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    last = n - size + 1
-    return order[np.minimum(behind[:last], ahead[size - 1 : size - 1 + last])]
-
-
-def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(repeated: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
     """(level, starts) of the windows of window * 2**level words, level >= 1, all of whose parts are repeats."""
     rows = -(-len(repeated) // window)
     grid = np.zeros(rows * window, bool)
@@ -176,63 +199,54 @@ def candidates(hashes: np.ndarray, repeated: np.ndarray, window: int) -> Iterato
         level += 1
 
 
-def longer_spans(hashes: np.ndarray, repeated: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def longer_spans(t: Texts, repeated: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(level, first window, windows, anchor hash, span hash) of the candidates of each level.  Windows that follow each other
     and have one anchor form a span, as at the levels before; equal windows have equal anchors."""
-    a = b = None
-    for level, starts in candidates(hashes, repeated, window):
-        a, b = a or Poly(hashes, BASE_A), b or Poly(mix(hashes), BASE_B)
+    for level, starts in candidates(repeated, window):
         length = window << level
         base = -(-length // 4)
-        short = a.grams(base)
+        short = t.a.grams(base)
         anchor = least_of(short, length - 2 * base + 1)[starts]
-        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
-        count, at, begin = np.diff(np.append(first, len(starts))), anchor[first], starts[first]
-        named = mix(a.of(at, 2 * base) ^ mix(short[at] + np.uint64(level)))
-        whole = mix(b.of(begin, count + (length - 1)) ^ (count.astype(np.uint64) << np.uint64(8) | np.uint64(level)))
-        yield level, begin, count, named.view(np.int64), whole.view(np.int64)
-
-
-def _of(found: list[dict], hashes: np.ndarray, window: int) -> np.ndarray:
-    return repeated_starts(hashes, window, np.array([x["s1"] for x in found], np.int64), np.array([x["mask"] for x in found], np.int64))
+        cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
+        count, at, first = np.diff(np.append(cut, len(starts))), anchor[cut], starts[cut]
+        around = mix(t.a.of(at, 2 * base) ^ mix(short[at] + np.uint64(level)))
+        whole = mix(t.b.of(first, count + (length - 1)) ^ (count.astype(np.uint64) << np.uint64(8) | np.uint64(level)))
+        yield level, first, count, around.view(np.int64), whole.view(np.int64)
+
+
+def kept_bytes(t: Texts, bad: np.ndarray) -> list[bytes]:
+    """The words of each text that stay, joined by one space."""
+    x = np.frombuffer(t.data, np.uint8)
+    stay = ~bad[~t.signs]
+    # A word that stays is copied with the blank behind it, which becomes a space.
+    step = np.zeros(len(x) + 1, np.int8)
+    step[t.starts[stay]] = 1
+    step[t.ends[stay] + 1] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    out = x[inside]
+    size = np.concatenate(([0], np.cumsum(np.where(stay, t.ends - t.starts + 1, 0))))
+    out[size[1:][stay] - 1] = 32
+    stops = size[np.concatenate(([0], t.stops))].tolist()
+    whole = out.tobytes()
+    return [whole[a : max(a, b - 1)] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 def _apply(window: int, with_text: bool):
     """One row a document, and one for each span of longer candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column("raw"), batch.column("spans")
-            total, gone, digest, kept_text, longer = [], [], [], [], []
-            for i in range(batch.num_rows):
-                words = texts[i].as_py().split()
-                found = spans[i].as_py()
-                removed = 0
-                if found:
-                    hashes = word_hashes(words)
-                    repeated = _of(found, hashes, window)
-                    bad = covered(repeated, len(words), window)
-                    removed = int(bad.sum())
-                    kept = b" ".join([w for w, b in zip(words, bad.tolist(), strict=True) if not b])
-                    for level, _, _, named, whole in longer_spans(hashes, repeated, window):
-                        at = np.unique(whole, return_index=True)[1]
-                        seen = np.bincount(np.searchsorted(whole[at], whole), minlength=len(at))
-                        longer.append((np.full(len(at), i), np.full(len(at), level, np.int32), named[at], whole[at], seen))
-                else:
-                    kept = b" ".join(words)
-                total.append(len(words))
-                gone.append(removed)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    kept_text.append(kept)
-            n = batch.num_rows
-            cols = {k: batch.column(k) for k in KEY} | {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.binary()).cast(pa.string()) if with_text else pa.nulls(n, pa.string())}
+        for batch, t in each_piece(batches):
+            repeated, n = repeated_starts(t, window, batch.column("spans")), batch.num_rows
+            bad = covered(repeated, len(t.hashes), window)
+            kept = kept_bytes(t, bad)
+            cols = {k: batch.column(k) for k in KEY} | {"n_words": pa.array(t.n, pa.int64()), "n_removed": pa.array(np.bincount(t.doc, bad, n).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+            cols["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string()) if with_text else pa.nulls(n, pa.string())
             yield pa.record_batch(cols | {"level": pa.nulls(n, pa.int32()), "a": pa.nulls(n, pa.int64()), "s": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64())})
-            if longer:
-                doc, level, a, s, seen = (np.concatenate(x) for x in zip(*longer, strict=True))
-                doc, n = pa.array(doc), len(level)
-                cols = {k: batch.column(k).take(doc) for k in KEY} | {"n_words": pa.nulls(n, pa.int64()), "n_removed": pa.nulls(n, pa.int64()), "kept_sha256": pa.nulls(n, pa.string()), "kept_text": pa.nulls(n, pa.string())}
-                yield pa.record_batch(cols | {"level": level, "a": a, "s": s, "n": seen.astype(np.int64)})
+            for level, first, _, around, whole in longer_spans(t, repeated, window):
+                _, at, seen = np.unique(t.named(t.doc[first], whole), return_index=True, return_counts=True)
+                doc, m = pa.array(t.doc[first[at]]), len(at)
+                cols = {k: batch.column(k).take(doc) for k in KEY} | {"n_words": pa.nulls(m, pa.int64()), "n_removed": pa.nulls(m, pa.int64()), "kept_sha256": pa.nulls(m, pa.string()), "kept_text": pa.nulls(m, pa.string())}
+                yield pa.record_batch(cols | {"level": np.full(m, level, np.int32), "a": around[at], "s": whole[at], "n": seen.astype(np.int64)})
 
     return run
 
@@ -241,20 +255,16 @@ def _emit_longer(window: int):
     """Of each document's named spans of longer candidates: every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans, wanted = (batch.column(c) for c in ("raw", "spans", "wanted"))
-            for i in range(batch.num_rows):
-                hashes = word_hashes(texts[i].as_py().split())
-                names = np.array(wanted[i].as_py(), np.int64)
-                b = Poly(mix(hashes), BASE_B)
-                for level, begin, count, _, whole in longer_spans(hashes, _of(spans[i].as_py(), hashes, window), window):
-                    keep = np.unique(whole, return_index=True)[1]
-                    keep = keep[np.isin(whole[keep], names)]
-                    which = np.repeat(keep, count[keep])
-                    place = np.arange(len(which)) - np.repeat(np.cumsum(count[keep]) - count[keep], count[keep])
-                    for x in range(0, len(which), 200_000):
-                        w = b.of(begin[which[x : x + 200_000]] + place[x : x + 200_000], window << level).view(np.int64)
-                        yield pa.record_batch({"level": np.full(len(w), level, np.int32), "s": whole[which[x : x + 200_000]], "w": w})
+        for batch, t in each_piece(batches):
+            doc, names = _lists(batch.column("wanted"))
+            wanted = t.named(doc, names.to_numpy(zero_copy_only=False).astype(np.int64))
+            for level, first, count, _, whole in longer_spans(t, repeated_starts(t, window, batch.column("spans")), window):
+                own = t.named(t.doc[first], whole)
+                keep = np.unique(own, return_index=True)[1]
+                keep = keep[np.isin(own[keep], wanted)]
+                for which, place in _taken_apart(first, count, keep):
+                    w = t.b.of(first[which] + place, window << level).view(np.int64)
+                    yield pa.record_batch({"level": np.full(len(w), level, np.int32), "s": whole[which], "w": w})
 
     return run
 

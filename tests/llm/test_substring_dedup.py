@@ -7,8 +7,7 @@ import numpy as np
 import pytest
 from helpers import DOCS, rows, rows_of, table
 
-from leafmill.llm._util import word_hashes
-from leafmill.llm.substring_dedup import least_of, spans_of, substring_dedup, windows_of
+from leafmill.llm.substring_dedup import Texts, kept_bytes, least_of, spans_of, substring_dedup
 
 
 def brute(data, n):
@@ -56,11 +55,19 @@ def longest(data, n):
 
 def test_least_of():
     rng = np.random.default_rng(1)
-    for n, size in ((1, 1), (50, 7), (49, 7), (300, 18), (20, 20)):
-        v = rng.integers(0, 9, n).astype(np.uint64)
+    for n, size in ((1, 1), (50, 7), (49, 7), (300, 18), (20, 20), (64, 16)):
+        v = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(40)
         assert least_of(v, size).tolist() == [i + int(np.argmin(v[i : i + size])) for i in range(n - size + 1)]
 
 
+def test_kept_bytes():
+    t = Texts([b" a  bc\n", b"", b"d", b"x y\tz"])
+    bad = np.zeros(len(t.hashes), bool)
+    assert kept_bytes(t, bad) == [b"a bc", b"", b"d", b"x y z"]
+    bad[[0, 4, 7]] = True  # a, d, y
+    assert kept_bytes(t, bad) == [b"bc", b"", b"", b"x z"]
+
+
 @pytest.mark.parametrize("window", [35, 8])
 def test_lengths_double_until_none_survives(spark, window):
     data = rows()
@@ -99,10 +106,17 @@ def test_empty_table_and_text_column(spark):
 
 
 def test_spans_cover_every_window_once():
-    h = word_hashes([b"x%d" % (i * i % 17) for i in range(200)])
-    first, count, *_ = spans_of(h, 35)
-    assert np.array_equal(np.concatenate([np.arange(f, f + c) for f, c in zip(first, count, strict=True)]), np.arange(166))
-    assert len(windows_of(h, np.arange(166), 35)) == 166 and count.max() <= 18
+    """Of each text, none across two, and a text alone has the spans that it has among others."""
+    texts = [b" ".join(b"x%d" % (i * i % 17 + k) for i in range(n)) for k, n in enumerate((200, 34, 35, 90))]
+    t = Texts(texts)
+    first, count, *names = spans_of(t, 35)
+    begins = np.cumsum(t.n + 1) - (t.n + 1)
+    want = np.concatenate([b + np.arange(max(n - 34, 0)) for b, n in zip(begins, t.n, strict=True)])
+    assert np.array_equal(np.concatenate([np.arange(f, f + c) for f, c in zip(first, count, strict=True)]), want) and count.max() <= 18
+    for k, text in enumerate(texts):
+        alone = spans_of(Texts([text]), 35)
+        at = t.doc[first] == k
+        assert np.array_equal(first[at] - begins[k], alone[0]) and all(np.array_equal(x[at], y) for x, y in zip(names, alone[2:], strict=True))
 
 
 def test_longest_repeat_of_all_windows(spark):
