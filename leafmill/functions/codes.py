@@ -9,7 +9,7 @@ _PACKAGE = {
 CODES: dict[str, str] = {
     "core.undetectable-input-format": "neither name nor bytes tell the format", "core.extension-mismatch": "the bytes show another format than the name", "core.unknown-input-format": "no reader has this format", "core.malformed-input": "a reader met bytes that it cannot make sense of",
     "core.input-too-large": "the input passes its limit", "core.depth-limit-exceeded": "nesting passes its limit", "core.limit-exceeded": "another limit is passed", "core.output-too-large": "the artifact passes its limit", "core.strict-refused": "more would be lost than the grade allows",
-    "core.nested-table-flattened": "tables in cells became placeholders", "core.reports-truncated": "more groups of reports than are kept", "core.stale-or-invalid-manifest": "a manifest beside the input was ignored", "core.destination-exists": "an output exists and may not be replaced",
+    "core.nested-table-flattened": "tables in cells became placeholders", "core.reports-truncated": "more groups of reports than are kept", "core.stale-or-invalid-manifest": "a manifest beside the input was ignored", "core.filter-broke-document": "a filter left a tree that breaks the model", "core.destination-exists": "an output exists and may not be replaced",
     "asciidoc.include-refused": "an include was left out", "asciidoc.invalid-utf8": "not UTF-8", "csv.invalid-utf8": "not UTF-8", "csv.ragged-row": "a record is wider or narrower than the first", "csv.unterminated-quote": "a quote never ends",
     "doc.not-a-compound-file": "no compound file", "doc.malformed-container": "broken sector chains", "doc.truncated": "the file ends early", "doc.missing-word-stream": "no text stream", "doc.unsupported-version": "another version of the format", "doc.encryption-refused": "encrypted", "doc.styles-omitted": "no style information", "doc.tables-flattened": "cells became paragraphs", "doc.page-breaks-dropped": "page breaks", "doc.embedded-objects-dropped": "objects",
     "docx.missing-document-part": "no main part", "docx.unhandled-construct": "an element was looked through", "docx.merged-cells-degraded": "merged cells", "docx.page-breaks-dropped": "page breaks", "docx.section-properties-dropped": "page geometry", "docx.comments-dropped": "comments", "docx.tracked-deletions-dropped": "deleted text", "docx.text-boxes-dropped": "text boxes", "docx.embedded-objects-dropped": "objects", "docx.bookmarks-dropped": "bookmarks", "docx.heading-level-clamped": "levels over six",

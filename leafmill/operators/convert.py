@@ -245,20 +245,18 @@ def spread(scan: DataFrame) -> DataFrame:
     """A plain scan with fewer splits than there are cores, dealt out to all of them; a larger one as it is.  Parsing a
     document takes far longer than moving it."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def files(spark, path: str, limits: Limits = DEFAULT) -> DataFrame:
-    """Files as (doc_id, name, content), without those over the limit; all_files() has them too."""
-    return all_files(spark, path, limits).where("content is not null").drop("length")
-
-
-def all_files(spark, path: str, limits: Limits = DEFAULT) -> DataFrame:
     """Files as (doc_id, name, length, content); those over the limit without their bytes, which are then never read, so that
-    conversion refuses them."""
+    conversion refuses them with a report."""
     return listed(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), limits)
 
 
+all_files = files
+
+
 def listed(scan: Callable[[], DataFrame], limits: Limits) -> DataFrame:
     named = [F.xxhash64("path").alias("doc_id"), F.col("path").alias("name"), "length"]
     small = scan().where(F.col("length") <= limits.max_input_bytes).select(*named, "content")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill import schema
@@ -40,43 +42,92 @@ def facets(parsed: DataFrame, kind: str, fields: str, *keys: str) -> DataFrame:
 
 
 def containment(rows: DataFrame, *keys: str, outer: Column | None = None) -> DataFrame:
-    """(keys, ancestor, node) by the interval of subtrees.  The keys make it an equi-join, so an interval is only tested within a
-    document."""
+    """(keys, ancestor, node) by the interval of subtrees: every pair, so for lists of pairs; to count them use contained()."""
     a = (rows if outer is None else rows.where(outer)).select(*keys, F.col("node").alias("ancestor"), (F.col("node") + F.col("subtree_len")).alias("__end"))
     return a.join(rows.select(*keys, "node"), list(keys)).where("node > ancestor and node < __end").drop("__end")
 
 
+def contained(outer: Callable[[Column], Column], inner: Callable[[Column], Column], blocks: str = "blocks") -> Column:
+    """How many pairs of an outer block and an inner one under it a document has.  Subtrees are put in order as openings and closings
+    and the inner blocks between them, and one pass counts what is open: n log n, within the row."""
+
+    def events(b: Column) -> Column:
+        at, end = b["node"], b["node"] + b["subtree_len"]
+        none = F.lit(None).cast("struct<at:int,kind:int>")
+        return F.array(F.when(outer(b), F.struct(at.alias("at"), F.lit(2).alias("kind"))).otherwise(none), F.when(outer(b), F.struct(end.alias("at"), F.lit(0).alias("kind"))).otherwise(none), F.when(inner(b), F.struct(at.alias("at"), F.lit(1).alias("kind"))).otherwise(none))
+
+    ordered = F.array_sort(F.array_compact(F.flatten(F.transform(blocks, events))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("pairs"))
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct((s["open"] + F.when(e["kind"] == 2, 1).when(e["kind"] == 0, -1).otherwise(0)).alias("open"), (s["pairs"] + F.when(e["kind"] == 1, s["open"]).otherwise(0)).alias("pairs"))
+
+    return F.aggregate(ordered, zero, step, lambda s: s["pairs"])
+
+
+def shown(i: Column) -> Column:
+    """What an inline gives to its block's text."""
+    return F.when(i["tag"].isin("text", "code", "math"), i["text"]).when(i["tag"].isin("space", "soft_break", "hard_break"), F.lit(" ")).otherwise(F.lit(""))
+
+
+def leaf_texts(tag: str, inlines: str = "inlines", blocks: str = "blocks") -> Column:
+    """array of (node, level, text) of the leaf blocks of one tag, within the row."""
+    return F.transform(F.filter(blocks, lambda b: b["tag"] == tag), lambda b: F.struct(b["node"].alias("node"), b["level"].alias("level"), F.array_join(F.transform(F.filter(inlines, lambda i: i["block"] == b["node"]), shown), "").alias("text")))
+
+
 def subtree_text(parsed: DataFrame, *keys: str) -> DataFrame:
     """(keys, block, text) of every leaf block."""
     text = F.when(F.col("tag").isin("text", "code", "math"), F.col("text")).when(F.col("tag").isin("space", "soft_break", "hard_break"), F.lit(" "))
     return inlines(parsed, *keys).groupBy(*keys, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", text.alias("t")))), lambda x: x["t"]), "").alias("text"))
 
 
-def violations(parsed: DataFrame, *keys: str) -> DataFrame:
-    """(keys, node, rule) of whatever breaks the model: placement, payload, ranges, adjacency, blanks inside text."""
-    b = blocks(parsed, *keys)
-    up = b.select(*keys, F.col("node").alias("parent"), F.col("tag").alias("parent_tag"), F.col("depth").alias("up_depth"), (F.col("node") + F.col("subtree_len")).alias("up_end"))
-    t = b.join(up, [*keys, "parent"], "left")
-    tag = F.col("tag")
+def broken(blocks: str = "blocks", inlines: str = "inlines") -> Column:
+    """array of (node, rule) of whatever breaks the model: known tags, placement, payload, ranges, counts, adjacency, blanks and bad
+    characters inside text.  Within the row: a block's parent is looked up by its number, which is its place as long as no
+    filter took blocks out, and by search otherwise."""
     known = [*schema.BLOCK_TAGS, *schema.STRUCTURE]
-    placed = tag.isin(*schema.BLOCK_TAGS) & F.col("parent_tag").isNull()
-    for p, kids in schema.CONTENT.items():
-        inner = tag.isin(*schema.BLOCK_TAGS) if kids == "blocks" else F.lit(False) if kids in ("inlines", "none") else tag.isin(*kids.split(","))
-        placed = placed | ((F.col("parent_tag") == p) & inner)
-    rules = F.array_compact(F.array(
-        F.when(~tag.isin(*known), "unknown-tag"), F.when(~F.coalesce(placed, F.lit(False)), "placement"), F.when((tag == "heading") & ~F.coalesce(F.col("level").between(1, 6), F.lit(False)), "heading-level"),
-        F.when(tag.isin("code_block", "raw_block") & F.col("text").isNull(), "payload"), F.when(F.col("parent").isNotNull() & (F.col("up_end") < F.col("node") + F.col("subtree_len")), "range"),
-        F.when(F.col("parent").isNotNull() & (F.col("depth") != F.col("up_depth") + 1), "depth"), F.when((tag == "table_cell") & ((F.col("row_span") < 1) | (F.col("col_span") < 1)), "span"),
-    ))
-    of_blocks = t.select(*keys, "node", F.explode(rules).alias("rule"))
-    i = inlines(parsed, *keys)
-    order = Window.partitionBy(*keys, "block", "parent").orderBy("node")
-    near = i.withColumn("before", F.lag("tag").over(order))
-    rules = F.array_compact(F.array(
-        F.when(~F.col("tag").isin(*schema.INLINE_TAGS), "unknown-inline"), F.when((F.col("tag") == "text") & (F.col("before") == "text"), "adjacent-text"),
-        F.when((F.col("tag") == "text") & F.col("text").rlike(r"[ \t\r\n]"), "blank-in-text"), F.when((F.col("tag") == "text") & (F.coalesce(F.length("text"), F.lit(0)) == 0), "empty-text"),
-    ))
-    return of_blocks.unionByName(near.select(*keys, "node", F.explode(rules).alias("rule")))
+
+    def up(b: Column) -> Column:
+        there = F.get(F.col(blocks), b["parent"])
+        return F.when(b["parent"].isNull(), F.lit(None)).when(there["node"] == b["parent"], there).otherwise(F.get(F.filter(blocks, lambda x: x["node"] == b["parent"]), F.lit(0)))
+
+    def placed(tag: Column, above: Column) -> Column:
+        out = tag.isin(*schema.BLOCK_TAGS) & above.isNull()
+        for p, kids in schema.CONTENT.items():
+            inner = tag.isin(*schema.BLOCK_TAGS) if kids == "blocks" else F.lit(False) if kids in ("inlines", "none") else tag.isin(*kids.split(","))
+            out = out | ((above == p) & inner)
+        return F.coalesce(out, F.lit(False))
+
+    def of_block(pair: Column) -> Column:
+        b, u, n = pair["b"], pair["u"], pair["b"]["node"]
+        tag = b["tag"]
+        return F.transform(F.array_compact(F.array(
+            F.when(~tag.isin(*known), "unknown-tag"), F.when(~placed(tag, u["tag"]), "placement"), F.when((tag == "heading") & ~F.coalesce(b["level"].between(1, 6), F.lit(False)), "heading-level"),
+            F.when(tag.isin("code_block", "raw_block") & b["text"].isNull(), "payload"), F.when(b["parent"].isNotNull() & u.isNull(), "missing-parent"), F.when(u.isNotNull() & ((u["node"] + u["subtree_len"] < n + b["subtree_len"]) | (n <= u["node"])), "range"),
+            F.when(u.isNotNull() & (b["depth"] != u["depth"] + 1) | b["parent"].isNull() & (b["depth"] != 0), "depth"), F.when(b["subtree_len"] < 1, "count"), F.when((tag == "table_cell") & ((b["row_span"] < 1) | (b["col_span"] < 1)), "span"),
+            F.when((tag == "extension") & (F.coalesce(F.length(b["owner"]), F.lit(0)) == 0), "extension-owner"), F.when(F.contains(F.coalesce(b["text"], F.lit("")), F.lit("\ufffd")), "replacement-character"),
+            F.when((tag == "list") & ~F.coalesce(b["kind"].isin("ordered", "unordered"), F.lit(False)), "list-kind"),
+        )), lambda r: F.struct(n.alias("node"), r.alias("rule")))
+
+    def of_inline(x: Column, after: Column) -> Column:
+        tag, text = x["tag"], x["text"]
+        rules = F.array_compact(F.array(
+            F.when(~tag.isin(*schema.INLINE_TAGS), "unknown-inline"), F.when((tag == "text") & text.rlike(r"[ \t\r\n]"), "blank-in-text"), F.when((tag == "text") & (F.coalesce(F.length(text), F.lit(0)) == 0), "empty-text"),
+            F.when(tag.isin("code", "math", "raw") & text.isNull(), "payload"), F.when((tag == "note") & x["note"].isNull(), "note-number"), F.when(F.contains(F.coalesce(text, F.lit("")), F.lit("\ufffd")), "replacement-character"),
+        ))
+        own = F.transform(rules, lambda r: F.struct(x["node"].alias("node"), r.alias("rule")))
+        # Text has nothing under it, so the next row with the same parent is its neighbour.
+        beside = (tag == "text") & (after["tag"] == "text") & (x["block"] == after["block"]) & x["parent"].eqNullSafe(after["parent"])
+        return F.concat(own, F.when(F.coalesce(beside, F.lit(False)), F.array(F.struct(after["node"].alias("node"), F.lit("adjacent-text").alias("rule")))).otherwise(F.array().cast("array<struct<node:int,rule:string>>")))
+
+    b = F.flatten(F.transform(F.transform(blocks, lambda b: F.struct(b.alias("b"), up(b).alias("u"))), of_block))
+    i = F.flatten(F.zip_with(inlines, F.slice(inlines, 2, F.greatest(F.size(inlines), F.lit(1))), of_inline))
+    return F.concat(b, i)
+
+
+def violations(parsed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, rule) of whatever breaks the model; nothing is shuffled, and the documents are read once."""
+    return parsed.select(*keys, F.explode(broken()).alias("v")).select(*keys, "v.node", "v.rule")
 
 
 def side_violations(parsed: DataFrame, *keys: str) -> DataFrame:

@@ -6,6 +6,8 @@ presentation, and three that no rule here uses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,34 +78,111 @@ def choose(alternatives: DataFrame, node: list[str], price: str = "cost", stable
     return alternatives.groupBy(*node).agg(F.min(F.struct(F.col(price), F.col(stable), F.col(operation))).alias("chosen")).select(*node, "chosen.*")
 
 
+#: Most alternatives that are proposed for a node, and most rules that one of them uses.
+MOST_ALTERNATIVES, MOST_LOSSES = 8, 4
+#: Ways to write a node that Markdown cannot express exactly: tag -> (operation, rules used, does it write the children too).
+PROPOSED: dict[str, list[tuple[str, tuple[str, ...], bool]]] = {
+    "container": [("children", ("container-attrs",), True), ("drop", ("raw-dropped",), False)], "extension": [("fallback", ("extension-fallback",), True), ("drop", ("raw-dropped",), False)],
+    "definition_list": [("paragraphs", ("definition-list",), True), ("drop", ("raw-dropped",), False)], "table": [("grid", (), True), ("placeholder", ("nested-table",), False)], "figure": [("children", (), True)],
+}
+
+
+def proposals(blocks: DataFrame, *keys: str) -> DataFrame:
+    """blocks (keys, node, parent, tag, ..) -> the alternatives of each: (keys, node, parent, stable_id, operation, cost, delegates).
+    Tags that are not named have one, exact and delegating."""
+    table = F.create_map(*[x for tag, ways in PROPOSED.items() for x in (F.lit(tag), F.array(*[_way(i, *w) for i, w in enumerate(ways[:MOST_ALTERNATIVES])]))])
+    exact = F.array(_way(0, "exact", (), True))
+    return blocks.select(*keys, "node", "parent", F.explode(F.coalesce(table[F.col("tag")], exact)).alias("w")).select(*keys, "node", "parent", "w.*")
+
+
+def _way(stable: int, operation: str, rules: tuple[str, ...], delegates: bool) -> Column:
+    price = [sum(RULES[r][i] for r in rules[:MOST_LOSSES]) if i < 3 else 0 for i in range(6)]
+    cost = F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(COST, price, strict=True)])
+    return F.struct(F.lit(stable).alias("stable_id"), F.lit(operation).alias("operation"), cost.alias("cost"), F.lit(delegates).alias("delegates"))
+
+
+def selected(alternatives: DataFrame, *keys: str, depth: int) -> DataFrame:
+    """alternatives (keys, node, parent, stable_id, operation, cost, delegates) of trees at most ``depth`` deep -> for each node (keys, node,
+    parent, stable_id, operation, total): the way with the least total, its own cost and, if it delegates, those of its children
+    as they were chosen; then the least stable id, then operation.  From the leaves up: a level is one join and one aggregate."""
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in COST])
+    level = alternatives.select(*keys, "node", "parent").distinct()
+    up = level.select(*keys, F.col("node").alias("n"), F.col("parent").alias("p"))
+    depths = level.select(*keys, "node", F.col("parent").alias("above"), F.lit(0).alias("d"))
+    for _ in range(depth):
+        depths = depths.join(up, [*[depths[k].eqNullSafe(up[k]) for k in keys], depths["above"] == up["n"]], "left").select(*[depths[k] for k in keys], "node", F.col("p").alias("above"), F.when(F.col("n").isNull(), F.col("d")).otherwise(F.col("d") + 1).alias("d"))
+    ways = alternatives.join(depths.select(*keys, "node", "d"), [*keys, "node"])
+    done = None
+    for d in range(depth, -1, -1):
+        now = ways.where(F.col("d") == d)
+        if done is not None:
+            below = done.where("parent is not null").groupBy(*keys, F.col("parent").alias("node")).agg(F.struct(*[F.sum(f"total.{c}").alias(c) for c in COST]).alias("under"))
+            now = now.join(below, [*keys, "node"], "left").withColumn("total", F.when(F.col("delegates"), add(F.col("cost"), F.coalesce("under", zero))).otherwise(F.col("cost")))
+        else:
+            now = now.withColumn("total", F.col("cost"))
+        best = now.groupBy(*keys, "node", "parent").agg(F.min(F.struct("total", "stable_id", "operation")).alias("c")).select(*keys, "node", "parent", "c.stable_id", "c.operation", "c.total")
+        done = best if done is None else done.unionByName(best)
+    return done
+
+
+def uses(blocks: str = "blocks", inlines: str = "inlines") -> Column:
+    """rule -> uses (those over zero) from the nested rows alone, before anything is rendered: what is in the body and in notes that
+    the body refers to.  One row is one document, and nothing is shuffled.  A block's place among its neighbours in
+    preorder tells its children: the next row is its first child if it names it as parent, and there are more if that one's
+    subtree ends before the block's."""
+    notes = F.transform(F.filter(inlines, lambda i: (i["tag"] == "note") & (i["forest"] == 0)), lambda i: i["note"] + 1)
+
+    def live(x: Column) -> Column:
+        return (x["forest"] == 0) | F.array_contains(notes, x["forest"])
+
+    def end(b: Column) -> Column:
+        return b["node"] + b["subtree_len"]
+
+    tables = F.filter(blocks, lambda b: (b["tag"] == "table") & live(b))
+    start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<struct<a:int,z:int>>").alias("inner"))
+    inside = F.aggregate(tables, start, lambda s, t: F.when(t["node"] < s["until"], F.struct(s["until"].alias("until"), F.array_append(s["inner"], F.struct(t["node"].alias("a"), end(t).alias("z"))).alias("inner"))).otherwise(F.struct(end(t).alias("until"), s["inner"].alias("inner"))), lambda s: s["inner"])
+
+    def deep(b: Column) -> Column:
+        """Under a nested table, which is one placeholder: nothing there is priced."""
+        return F.exists(inside, lambda t: (t["a"] < b["node"]) & (b["node"] < t["z"]))
+
+    after = F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1)))
+    rows = F.filter(F.zip_with(blocks, after, lambda b, n: F.struct(b.alias("b"), n.alias("n"))), lambda x: x["b"].isNotNull() & live(x["b"]) & ~deep(x["b"]))
+
+    def many(cond: Callable[[Column, Column], Column]) -> Column:
+        return F.size(F.filter(rows, lambda x: F.coalesce(cond(x["b"], x["n"]), F.lit(False)))).cast("bigint")
+
+    def tagged(tag: str, cond: Callable[[Column, Column], Column] | None = None) -> Column:
+        return many(lambda b, n: (b["tag"] == tag) & (cond(b, n) if cond else F.lit(True)))
+
+    def flat(b: Column, n: Column) -> Column:
+        return (b["subtree_len"] > 1) & ((end(n) < end(b)) | ~n["tag"].isin("paragraph", "plain"))
+
+    ids = F.transform(F.filter(rows, lambda x: x["b"]["tag"] == "table"), lambda x: x["b"]["node"])
+    captions = F.transform(F.filter(rows, lambda x: x["b"]["tag"] == "caption"), lambda x: x["b"]["parent"])
+    nested = F.transform(inside, lambda t: t["a"])
+    lines = F.filter(inlines, live)
+
+    def of_inlines(cond: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter(lines, cond)).cast("bigint")
+
+    def foreign(x: Column) -> Column:
+        return ~F.coalesce(x["format"].isin("markdown", "html"), F.lit(False))
+
+    counts = {
+        "raw-dropped": tagged("raw_block", lambda b, n: foreign(b)) + of_inlines(lambda i: (i["tag"] == "raw") & foreign(i)), "definition-list": tagged("definition_list"), "nested-table": tagged("table", lambda b, n: F.array_contains(nested, b["node"])),
+        "table-caption": F.size(F.array_intersect(captions, ids)).cast("bigint"), "cell-span": tagged("table_cell", lambda b, n: (F.coalesce(b["row_span"], F.lit(1)) > 1) | (F.coalesce(b["col_span"], F.lit(1)) > 1)), "cell-flattened": tagged("table_cell", flat),
+        "container-attrs": tagged("container", lambda b, n: b["attrs"].isNotNull()), "extension-fallback": tagged("extension") + of_inlines(lambda i: i["tag"] == "extension"),
+        "number-style": tagged("list", lambda b, n: (b["kind"] == "ordered") & (F.coalesce(b["style"], F.lit("decimal")) != "decimal")),
+        "style-dropped": of_inlines(lambda i: i["tag"].isin("underline", "small_caps", "superscript", "subscript")), "citation-dropped": of_inlines(lambda i: i["tag"] == "citation"),
+    }
+    entries = F.array(*[F.struct(F.lit(rule).alias("key"), n.alias("value")) for rule, n in counts.items()])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+
+
 def hits(parsed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, rule, uses) from the nested rows alone, before anything is rendered; counts what is in the body and in
-    notes that the body refers to."""
-    notes = F.transform(F.filter("inlines", lambda i: (i["tag"] == "note") & (i["forest"] == 0)), lambda i: i["note"] + 1)
-    base = parsed.select(*keys, F.array_append(notes, F.lit(0)).alias("live"), "blocks", "inlines")
-    tables = F.transform(F.filter("blocks", lambda b: b["tag"] == "table"), lambda t: F.struct(t["node"].alias("a"), (t["node"] + t["subtree_len"]).alias("z")))
-    base = base.withColumn("tables", tables)
-    b = base.select(*keys, "tables", "live", "blocks", F.explode("blocks").alias("b")).where("array_contains(live, b.forest)")
-    nested = F.exists("tables", lambda t: (t["a"] < F.col("b.node")) & (F.col("b.node") < t["z"]))
-    kids = F.filter("blocks", lambda x: x["parent"] == F.col("b.node"))
-    flat = (F.size(kids) > 1) | F.exists(kids, lambda x: ~x["tag"].isin("paragraph", "plain"))
-    # A nested table is one placeholder: nothing under it is priced.
-    deep = F.size(F.filter("tables", lambda t: (t["a"] < F.col("b.node")) & (F.col("b.node") < t["z"]))) > 1
-    deep = deep | ((F.col("b.tag") != "table") & F.exists("tables", lambda t: (t["a"] < F.col("b.node")) & (F.col("b.node") < t["z"]) & F.exists("tables", lambda u: (u["a"] < t["a"]) & (t["a"] < u["z"]))))
-    tag = F.col("b.tag")
-    rules = F.array_compact(F.array(
-        F.when((tag == "raw_block") & ~F.col("b.format").isin("markdown", "html"), "raw-dropped"), F.when(tag == "definition_list", "definition-list"),
-        F.when((tag == "table") & nested, "nested-table"), F.when((tag == "caption") & F.exists("blocks", lambda x: (x["node"] == F.col("b.parent")) & (x["tag"] == "table")), "table-caption"),
-        F.when((tag == "table_cell") & ((F.coalesce("b.row_span", F.lit(1)) > 1) | (F.coalesce("b.col_span", F.lit(1)) > 1)), "cell-span"), F.when((tag == "table_cell") & flat, "cell-flattened"),
-        F.when((tag == "container") & F.col("b.attrs").isNotNull(), "container-attrs"), F.when(tag == "extension", "extension-fallback"),
-        F.when((tag == "list") & (F.col("b.kind") == "ordered") & (F.coalesce("b.style", F.lit("decimal")) != "decimal"), "number-style"),
-    ))
-    of_blocks = b.where(~deep).select(*keys, F.explode(rules).alias("rule"))
-    i = base.select(*keys, "live", F.explode("inlines").alias("i")).where("array_contains(live, i.forest)")
-    t = F.col("i.tag")
-    rule = F.when(t.isin("underline", "small_caps", "superscript", "subscript"), "style-dropped").when((t == "raw") & ~F.col("i.format").isin("markdown", "html"), "raw-dropped").when(t == "citation", "citation-dropped").when(t == "extension", "extension-fallback")
-    of_inlines = i.select(*keys, rule.alias("rule")).where("rule is not null")
-    return of_blocks.unionByName(of_inlines).groupBy(*keys, "rule").agg(F.count("*").alias("uses"))
+    """(keys, rule, uses) of every document."""
+    return parsed.select(*keys, F.explode(uses()).alias("rule", "uses"))
 
 
 #: Tag -> the rules that may apply to it; tags that are not named are written exactly.

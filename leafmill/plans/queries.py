@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import filters, relations, reports, resources
+from leafmill.functions import cells, markdown_writer
+from leafmill.functions.limits import Limits
+from leafmill.operators import filters, manifest, relations, reports, resources
 from leafmill.operators.convert import Engine, spread
-from leafmill.plans import lowering
+from leafmill.plans import lowering, reader_queries
+from leafmill.plans.compose import BUILDERS, composed
+from leafmill.plans.reader_queries import told
 from leafmill.sources import detect, text
 
 ENGINE = Engine()
@@ -50,8 +55,21 @@ def text_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    escaped = F.regexp_replace(F.col("text"), r"([\\`*\[\]<])", r"\\$1")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escaped.cast("binary"), 256).alias("escaped_sha256"))
+    """The writer's escapes, for every whole text as one run at the beginning of a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            escaped = [markdown_writer.escape(x or "", True, False).encode() for x in batch.column("text").to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "escaped": pa.array(escaped, pa.binary())})
+
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id long, escaped binary")
+    return rows.select("doc_id", F.sha2("escaped", 256).alias("escaped_sha256"))
+
+
+def text_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text read and written: blanks, breaks and escapes."""
+    out = ENGINE.convert(spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), F.lit("d.txt"), "text")
+    return out.select("doc_id", "status", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"))
 
 
 # --------------------------------------------------------------------- html
@@ -66,8 +84,11 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_title_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _parsed(spark, sf_dir)
-    return out.select(F.col("doc_id").alias("page_id"), F.size("metadata").cast("bigint").alias("entries"), F.exists("inlines", lambda i: F.contains(F.coalesce(i["text"], F.lit("")), F.lit("track("))).alias("script_seen"))
+    """Titles and scripts give no text; in odd pages the same words stand in the body too, where they stay."""
+    said = F.when(F.col("page_id") % 2 == 1, F.lit("<body><p>track(title)</p>")).otherwise(F.lit("<body>"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), said).alias("html")))
+    out = ENGINE.parse(pages, F.lit("page.html"), "html", keep=("page_id",))
+    return out.select("page_id", F.size("metadata").cast("bigint").alias("entries"), F.size(F.filter("inlines", lambda i: F.contains(F.coalesce(i["text"], F.lit("")), F.lit("track(")))).cast("bigint").alias("script_words"))
 
 
 def html_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +97,8 @@ def html_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_heading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir)
-    heads = relations.blocks(parsed, "doc_id").where("tag = 'heading'").select("doc_id", F.col("node").alias("block"), "level")
-    return heads.join(relations.subtree_text(parsed, "doc_id"), ["doc_id", "block"]).select(F.col("doc_id").alias("page_id"), F.col("level").cast("bigint").alias("level"), F.btrim(F.regexp_replace("text", " +", " ")).alias("heading"))
+    heads = _parsed(spark, sf_dir).select("doc_id", F.explode(relations.leaf_texts("heading")).alias("h"))
+    return heads.select(F.col("doc_id").alias("page_id"), F.col("h.level").cast("bigint").alias("level"), F.btrim(F.regexp_replace("h.text", " +", " ")).alias("heading"))
 
 
 def block_census(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +108,8 @@ def block_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtree_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists and the items in them, by the interval of subtrees."""
-    rows = relations.blocks(_parsed(spark, sf_dir), "doc_id").where("tag in ('list', 'list_item')").select("doc_id", "node", "subtree_len", "tag")
-    return relations.containment(rows, "doc_id", outer=F.col("tag") == "list").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("pairs"))
+    pairs = relations.contained(lambda b: b["tag"] == "list", lambda b: b["tag"] == "list_item")
+    return _parsed(spark, sf_dir).select(F.col("doc_id").alias("page_id"), pairs.alias("pairs")).where("pairs > 0")
 
 
 def batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +119,16 @@ def batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that parsed pages break: none, so the result is one row of zero."""
-    return relations.violations(_parsed(spark, sf_dir), "doc_id").agg(F.count("*").alias("violations"))
+    """Parsed pages, three in four of them broken in one way each: by page number a heading's level, the tag of list items, the depth
+    of headings."""
+    k = F.col("doc_id") % 4
+
+    def spoil(b: F.Column) -> F.Column:
+        heading, item = b["tag"] == "heading", b["tag"] == "list_item"
+        return F.when((k == 1) & heading, b.withField("level", F.lit(9))).when((k == 2) & item, b.withField("tag", F.lit("quote"))).when((k == 3) & heading, b.withField("depth", b["depth"] + 1)).otherwise(b)
+
+    broken = _parsed(spark, sf_dir).withColumn("blocks", F.transform("blocks", spoil))
+    return relations.violations(broken, "doc_id").groupBy(F.col("doc_id").alias("page_id"), "rule").agg(F.count("*").alias("n"))
 
 
 def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +137,12 @@ def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = ENGINE.convert(_pages(spark, sf_dir), F.lit("page.html"), "html").select("doc_id", F.col("markdown").alias("a"))
-    twice = ENGINE.convert(once, F.lit("a.md"), "a", keep=("doc_id",)).select("doc_id", F.col("markdown").alias("b"))
-    thrice = ENGINE.convert(twice, F.lit("b.md"), "b", keep=("doc_id", "b"))
-    return thrice.select(F.col("doc_id").alias("page_id"), (F.col("b") == F.col("markdown")).alias("fixed"))
+    """Whole texts taken for Markdown, and the Markdown of pages: what was written once is written the same way again."""
+    texts = spread(table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("a")))
+    pages = ENGINE.convert(_pages(spark, sf_dir), F.lit("page.html"), "html").select("doc_id", F.col("markdown").alias("a"))
+    once = ENGINE.convert(texts.unionByName(pages), F.lit("a.md"), "a").select("doc_id", F.col("markdown").alias("b"))
+    twice = ENGINE.convert(once, F.lit("b.md"), "b", keep=("doc_id", "b"))
+    return twice.select("doc_id", (F.col("b") == F.col("markdown")).alias("fixed"), (F.length("b") > 0).alias("written"))
 
 
 # ---------------------------------------------------------------- detection
@@ -147,8 +177,12 @@ def strip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def promote_first_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ENGINE.parse(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\nbody\n")).alias("md")), F.lit("x.md"), "md").transform(filters.promote_first_heading)
-    return out.select("doc_id", F.element_at(F.filter("metadata", lambda m: m["key"] == "title"), 1)["value"].alias("title"), F.size("blocks").cast("bigint").alias("n_blocks"))
+    """Whole pages; in odd ones a heading of level 1 is put in front, in the others one of level 2, which stays."""
+    head = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("<body><h1>T"), F.col("page_id").cast("string"), F.lit("</h1>"))).otherwise(F.lit("<body><h2>No title</h2>"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), head).alias("html")))
+    out = ENGINE.parse(pages, F.lit("page.html"), "html", keep=("page_id",)).transform(filters.promote_first_heading)
+    title = F.get(F.filter("metadata", lambda m: m["key"] == "title"), F.lit(0))["value"]
+    return out.select("page_id", title.alias("title"), F.size(F.filter("blocks", lambda b: b["tag"] == "heading")).cast("bigint").alias("headings_left"))
 
 
 def loss_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +192,11 @@ def loss_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lowering_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan from nested rows agrees with what the writer did, document by document."""
-    rendered = ENGINE.render(_parsed(spark, sf_dir))
-    did = rendered.select("doc_id", F.explode("losses").alias("rule", "did"))
-    return lowering.hits(_parsed(spark, sf_dir)).join(did, ["doc_id", "rule"], "full").select("doc_id", "rule", "uses", "did", F.coalesce(F.col("uses") == F.col("did"), F.lit(False)).alias("same"))
+    """The plan from nested rows agrees with what the writer did, document by document; each is read once."""
+    both = ENGINE.render(_parsed(spark, sf_dir)).select("doc_id", lowering.uses().alias("plan"), "losses")
+    rules = both.select("doc_id", "plan", "losses", F.explode(F.array_union(F.map_keys("plan"), F.map_keys("losses"))).alias("rule"))
+    uses, did = F.col("plan")[F.col("rule")], F.col("losses")[F.col("rule")]
+    return rules.select("doc_id", "rule", uses.alias("uses"), did.alias("did"), F.coalesce(uses == did, F.lit(False)).alias("same"))
 
 
 def choose_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,17 +217,26 @@ def report_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spreadsheet serials to dates and back to text."""
+    """Ship dates as spreadsheet serials with a time of day, shown as dates by the readers' own rule, and as plain numbers."""
     serial = F.datediff(F.to_date("l_shipdate"), F.lit("1899-12-30").cast("date"))
-    day = F.date_add(F.lit("1899-12-30").cast("date"), serial)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", serial.cast("bigint").alias("serial"), F.date_format(day, "yyyy-MM-dd").alias("day"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("serial").to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([cells.show(v + 0.25, "date") for v in x], pa.string()), pa.array([cells.show(v / 4, "number") for v in x], pa.string())], names=[*batch.schema.names, "day", "quarter"])
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", serial.cast("bigint").alias("serial"))
+    return spread(rows).mapInArrow(run, "l_orderkey long, l_linenumber int, serial long, day string, quarter string")
 
-def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def width(c: str) -> F.Column:
-        return F.least(F.lit(30), F.greatest(F.lit(3), F.max(F.octet_length(F.col(c).cast("string"))))).cast("bigint").alias(c)
 
-    return table(spark, sf_dir, "nation").agg(width("n_nationkey"), width("n_name"), width("n_regionkey"))
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each nation as one CSV document, written as a table: the widths of its columns."""
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    docs = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("k,customer,segment\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content"))
+    out = ENGINE.convert(docs, F.lit("c.csv"), "content", keep=("c_nationkey",))
+    rule = F.split(F.get(F.split("markdown", "\n"), F.lit(1)), r"\|")
+    wide = [(F.length(F.get(rule, F.lit(i + 1))) - 2).cast("bigint").alias(c) for i, c in enumerate(("w_key", "w_name", "w_segment"))]
+    return out.select("c_nationkey", *wide)
 
 
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,26 +257,133 @@ def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as CSV documents of one record: cells come back as text."""
     content = F.concat(F.lit('name,segment\n"'), F.col("c_name"), F.lit('",'), F.col("c_mktsegment"), F.lit("\r\n"))
     out = ENGINE.parse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), content.alias("content")), F.lit("c.csv"), "content")
-    cells = F.transform(F.filter("inlines", lambda i: (i["tag"] == "text")), lambda i: i["text"])
-    return out.select(F.col("doc_id").alias("c_custkey"), F.array_join(cells, "|").alias("cells"), F.size(F.filter("blocks", lambda b: b["tag"] == "table_cell")).cast("bigint").alias("n_cells"))
+    texts = F.transform(F.filter("inlines", lambda i: (i["tag"] == "text")), lambda i: i["text"])
+    return out.select(F.col("doc_id").alias("c_custkey"), F.array_join(texts, "|").alias("cells"), F.size(F.filter("blocks", lambda b: b["tag"] == "table_cell")).cast("bigint").alias("n_cells"))
+
+
+def csv_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records wider and narrower than the first, tabs, doubled quotes and quotes that never end, by customer number."""
+    name, k = F.col("c_name"), F.col("c_custkey") % 4
+    content = (
+        F.when(k == 0, F.concat(F.lit("a\tb\n"), name, F.lit("\tx, y\n")))
+        .when(k == 1, F.concat(F.lit("a,b\n"), name, F.lit("\n"), name, F.lit(",2,3\n")))
+        .when(k == 2, F.concat(F.lit('a,b\n"say ""'), name, F.lit('"" now","one\ntwo"\n')))
+        .otherwise(F.concat(F.lit('a,b\n"'), name, F.lit(",2\n")))
+    )
+    out = ENGINE.convert(spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), content.alias("content"))), F.lit("c.csv"), "content")
+    return out.select(F.col("doc_id").alias("c_custkey"), "status", "markdown", told().alias("codes"))
+
+
+def oversize_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over a limit of 2,000 bytes, half of them without their bytes, as a listing of files gives them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("length"), F.when((F.octet_length("text") <= 2000) | (F.col("doc_id") % 2 == 0), F.col("text").cast("binary")).alias("content"))
+    out = Engine(limits=Limits(max_input_bytes=2000)).convert(spread(docs), F.lit("d.txt"))
+    return out.select("doc_id", "status", F.col("markdown").isNull().alias("nothing"), told().alias("codes"))
+
+
+def strict_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each grade refuses of the pages: containers with attributes lose presentation, which only the exact grade minds."""
+    pages = _pages(spark, sf_dir)
+    out = [ENGINE.convert(pages, F.lit("page.html"), "html", strict=g).select(F.col("doc_id").alias("page_id"), F.lit(g).alias("grade"), "status", F.exists("reports", lambda r: r["code"] == "core.strict-refused").alias("told")) for g in ("structure", "exact")]
+    return out[0].unionByName(out[1])
+
+
+def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as HTML with a table in a table, a plain container and a link, through a pipeline of four filters, validated after each."""
+    name, k = F.col("s_name"), F.col("s_suppkey").cast("string")
+    html = F.concat(F.lit("<h1>"), name, F.lit("</h1><div><p>see <a href='http://old.example.org/"), k, F.lit("'>it</a></p></div><table><tr><th>a<th>b<tr><td>"), k, F.lit("<td><table><tr><td>inner</table></table><h3 class='x-low keep'>End</h3>"))
+    steps = filters.pipeline(
+        filters.Described(filters.drop_empty_containers(), "leafmill.drop-empty-containers", block_tags=("container",)), filters.Described(filters.flatten_nested_tables("(table)"), "leafmill.flatten-nested-tables", block_tags=("table",)),
+        filters.Described(filters.replace_link_target(lambda u: u.replace("http://old.", "https://new.")), "leafmill.links", inline_tags=("link",)), filters.Described(filters.shift_headings(1), "leafmill.shift-headings", (), (("by", "1"),), block_tags=("heading",)),
+    )
+    out = ENGINE.convert(spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), html.alias("html"))), F.lit("s.html"), "html", filters=[steps])
+    return out.select(F.col("doc_id").alias("s_suppkey"), "status", "markdown", told().alias("codes"))
+
+
+def filter_broke_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that sets headings of odd pages to level 9: the pipeline fails those documents and names it."""
+    spoil = filters.Described(lambda df: df.withColumn("blocks", F.transform("blocks", lambda b: F.when((b["tag"] == "heading") & (F.col("doc_id") % 2 == 1), b.withField("level", F.lit(9))).otherwise(b))), "leafmill.spoil")
+    out = _parsed(spark, sf_dir).transform(filters.pipeline(spoil))
+    return out.select(F.col("doc_id").alias("page_id"), "status", F.array_join(F.flatten(F.transform("reports", lambda r: F.concat(F.array(r["code"]), r["contexts"]))), " ").alias("told"))
+
+
+def grid_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the suppliers' workbooks as a relation."""
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+    parsed = ENGINE.parse(composed(rows, BUILDERS["xlsx"], F.col("s_suppkey"), F.col("s_name"), F.floor("s_acctbal")), F.lit("a.xlsx"))
+    out = relations.facets(parsed, "grid", "row int, col int, value_type string, formula string, cached string", "doc_id")
+    return out.select(F.col("doc_id").alias("s_suppkey"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.length("formula").cast("bigint").alias("formula"), F.col("cached").alias("shown"))
+
+
+def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of the suppliers' word-processing documents: the artifact's digest, counts, and what the reader said."""
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
+    docs = composed(rows, BUILDERS["docx"], F.col("s_suppkey"), F.col("s_name"), F.floor("s_acctbal"))
+    out = manifest.manifest(ENGINE.render(ENGINE.parse(docs, F.lit("a.docx"), keep=("doc_id", "content"))), F.col("content"))
+    at = {c: F.get_json_object("manifest", f"$.{path}") for c, path in (("artifact_hex", "artifact.hex"), ("algorithm", "artifact.algorithm"), ("format", "source.format"), ("code", "reports[0].code"), ("schema_version", "schema_version"))}
+    source = F.get_json_object("manifest", "$.source.digest.hex") == F.sha2("content", 256)
+    return out.select(F.col("doc_id").alias("s_suppkey"), *[c.alias(n) for n, c in at.items()], source.alias("source_agrees"))
+
+
+def delegating_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trees of line items.  An order may be written with its lines, at their price, or as one placeholder; a line in two ways."""
+    def price(c0: F.Column, c1: F.Column) -> F.Column:
+        zero = F.lit(0).cast("bigint")
+        return F.struct(c0.cast("bigint").alias("c0"), c1.cast("bigint").alias("c1"), *[zero.alias(c) for c in lowering.COST[2:]])
+
+    def way(i: int, operation: str, cost: F.Column, delegates: bool) -> F.Column:
+        return F.struct(F.lit(i).alias("stable_id"), F.lit(operation).alias("operation"), cost.alias("cost"), F.lit(delegates).alias("delegates"))
+
+    none, zero = F.lit(None).cast("long"), F.lit(0)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("node"), none.alias("parent"), F.explode(F.array(way(0, "lines", price(zero, F.lit(1)), True), way(1, "placeholder", price(F.lit(3), zero), False))).alias("w"))
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"), F.min("l_partkey").alias("l_partkey"))
+    lines = each.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("node"), F.lit(0).cast("long").alias("parent"), F.explode(F.array(way(0, "plain", price(F.col("l_quantity") % 2, zero), True), way(1, "rich", price(F.col("l_partkey") % 2, F.lit(2)), True))).alias("w"))
+    ways = orders.unionByName(lines).select("doc_id", "node", "parent", "w.*")
+    return lowering.selected(ways, "doc_id", depth=1).where("parent is null").select(F.col("doc_id").alias("o_orderkey"), "operation", F.col("total.c0").alias("c0"), F.col("total.c1").alias("c1"))
+
+
+def read_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tag soup: implied ends, spans, details, preformatted text, entities, raw content."""
+    name, k = F.col("c_name"), F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>none</title><style>p{}</style></head><body><h2 id=top>"), name, F.lit("</h2><p>a <em>b</em> &lt;"), k, F.lit("&gt; <a href='u?k="), k, F.lit("&amp;x'>c</a><p>next<br>line<img src=p.png alt=pic>"),
+        F.lit("<ul><li>one<ol start=3><li>in</ol><li>two</ul><pre>x &amp;\n  y</pre><blockquote><p>said</blockquote><hr><script>var p = '<p>no</p>';</script>"),
+        F.lit("<details><summary>more</summary><p>hidden</details><table><tr><th>Key<th>Name<tr><td>"), k, F.lit("<td>"), name, F.lit("<tr><td colspan=2>wide</table><p><b>open <i>both</p><p>done &copy; &nosuch;"),
+    )
+    out = ENGINE.convert(spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), html.alias("html"))), F.lit("c.html"), "html")
+    return out.select(F.col("doc_id").alias("c_custkey"), "status", "markdown", told().alias("codes"))
+
+
+def read_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as Markdown in other spellings than the writer's: setext headings, other markers and fences, reference links."""
+    name, k = F.col("c_name"), F.col("c_custkey").cast("string")
+    md = F.concat(
+        name, F.lit("\n=====\n\nA *b* __c__ ~~d~~ `e` [f][r] ![g](h.png \"t\")\nand <https://example.org/"), k, F.lit("> here[^n].\n\n* one\n* two\n  1) three\n  2) four\n\n> quoted\nlazy\n\n~~~py\nkey = "), k,
+        F.lit("\n~~~\n\n    indented\n\n***\n\nKey|Name\n:-|-:\n"), k, F.lit("|"), name, F.lit("\nshort\n\n<div>\n*raw*\n</div>\n\nSub\n---\n\nhard\\\nbreak &amp; \\*no\\*\n\n[r]: /to/"), k, F.lit("\n[^n]: the note\n"),
+    )
+    out = ENGINE.convert(spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), md.alias("md"))), F.lit("c.md"), "md")
+    return out.select(F.col("doc_id").alias("c_custkey"), "status", "markdown", told().alias("codes"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    html_to_markdown, text_paragraph_counts, text_soft_breaks, text_space_collapse, text_conversations, md_escape, html_tag_counts, html_title_dropped, html_link_targets, html_heading_text, block_census, subtree_containment, batch_envelopes,
-    tree_violations, html_list_items, round_trip_fixed_point, detect_format, sniff_magic, format_suggestion, shift_headings, strip_classes, promote_first_heading, loss_grades, lowering_hits, choose_lowering, report_aggregate,
-    serial_dates, column_widths, table_markdown, resource_naming, csv_tables,
-)}
+    html_to_markdown, text_paragraph_counts, text_soft_breaks, text_space_collapse, text_conversations, md_escape, text_to_markdown, html_tag_counts, html_title_dropped, html_link_targets, html_heading_text, block_census, subtree_containment, batch_envelopes,
+    tree_violations, html_list_items, round_trip_fixed_point, detect_format, sniff_magic, format_suggestion, shift_headings, strip_classes, promote_first_heading, loss_grades, strict_grades, lowering_hits, choose_lowering, delegating_choice, report_aggregate,
+    serial_dates, column_widths, table_markdown, resource_naming, csv_tables, csv_variants, oversize_refused, filter_pipeline, filter_broke_document, grid_facets, manifest_digests, read_html, read_markdown,
+)} | reader_queries.QUERIES
 
 _BODY = r"regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+#: The writer's escapes of a run at the beginning of a line.  An underscore between letters or digits stays, by way of a sign that no text holds.
+_ESCAPED = r"regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '([A-Za-z0-9])_([A-Za-z0-9])', '\1' || chr(1) || '\2', 'g'), '([A-Za-z0-9])_([A-Za-z0-9])', '\1' || chr(1) || '\2', 'g'), '([\\`*\[\]<])', '\\\1', 'g'), '&(#?[A-Za-z0-9]+;)', '\\&\1', 'g'), '!\[', '\!\['), '_', '\_'), chr(1), '_'), '^([#>+-])', '\\\1'), '^$', '')"
 _FORMATS = list(detect.EXTENSIONS)
+_table, _text, _DAY, _SHARE, _FLAG, _A = reader_queries._table, reader_queries._text, reader_queries._DAY, reader_queries._SHARE, reader_queries._FLAG, reader_queries.A
 ORACLES: dict[str, str] = {
     "text_paragraph_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0)) AS paragraphs FROM documents",
     "text_soft_breaks": r"SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0), lambda x: length(regexp_replace(x, '^([ \t]*\n)+', '')) - length(replace(regexp_replace(x, '^([ \t]*\n)+', ''), E'\n', '')))), 0) AS BIGINT) AS soft_breaks FROM documents",
     "text_space_collapse": r"SELECT doc_id, length(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ')) AS chars FROM documents",
     "text_conversations": r"SELECT role, CAST(sum(len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0))) AS BIGINT) AS paragraphs, count(*) AS messages FROM conversations GROUP BY role",
-    "md_escape": r"SELECT doc_id, sha256(regexp_replace(text, '([\\`*\[\]<])', '\\\1', 'g')) AS escaped_sha256 FROM documents",
+    "md_escape": f"SELECT doc_id, sha256({_ESCAPED.format(x="coalesce(text, '')")}) AS escaped_sha256 FROM documents",
     "html_tag_counts": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<h[1-6][ >]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all({_BODY}, '<a[ >]')) AS BIGINT) AS links FROM pages",
-    "html_title_dropped": "SELECT page_id, CAST(0 AS BIGINT) AS entries, false AS script_seen FROM pages",
+    "html_title_dropped": "SELECT page_id, CAST(0 AS BIGINT) AS entries, CAST(page_id % 2 AS BIGINT) AS script_words FROM pages",
     "html_link_targets": rf"SELECT page_id, array_to_string(list_transform(regexp_extract_all({_BODY}, '<a href=\"([^\"]*)\"', 1), lambda x: replace(replace(x, '&quot;', '\"'), '&amp;', '&')), '|') AS targets FROM pages",
     "html_list_items": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<li[ >]')) AS BIGINT) AS items FROM pages",
     "html_heading_text": rf"SELECT page_id, CAST(1 AS BIGINT) AS level, trim(regexp_replace(replace(regexp_extract({_BODY}, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ') AS heading FROM pages",
@@ -241,8 +392,10 @@ SELECT 'heading' AS tag, CAST(sum(len(regexp_extract_all(html, '<h[1-6][ >]')))
 UNION ALL SELECT 'list_item', CAST(sum(len(regexp_extract_all(html, '<li[ >]'))) AS BIGINT) FROM b UNION ALL SELECT 'container', CAST(sum(len(regexp_extract_all(html, '<(div|section|article|aside|figure|main|nav|header|footer)[ >]'))) AS BIGINT) FROM b""",
     "subtree_containment": rf"SELECT page_id, n AS pairs FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<li[ >]')) AS BIGINT) AS n FROM pages) WHERE n > 0",
     "batch_envelopes": r"""SELECT r_regionkey AS doc_id, '{"artifact":"# ' || r_name || '\n","format":"markdown","name":"r.md","status":"success"}' AS line FROM region""",
-    "tree_violations": "SELECT CAST(0 AS BIGINT) AS violations",
-    "round_trip_fixed_point": "SELECT page_id, true AS fixed FROM pages",
+    "tree_violations": rf"""WITH b AS (SELECT page_id, {_BODY} AS html FROM pages), v AS (
+SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'heading-level' WHEN 2 THEN 'placement' ELSE 'depth' END AS rule, CAST(len(regexp_extract_all(html, CASE WHEN page_id % 4 = 2 THEN '<li[ >]' ELSE '<h[1-6][ >]' END)) AS BIGINT) AS n FROM b WHERE page_id % 4 <> 0)
+SELECT * FROM v WHERE n > 0""",
+    "round_trip_fixed_point": "SELECT page_id AS doc_id, true AS fixed, true AS written FROM pages UNION ALL SELECT -1 - doc_id, true, length(trim(coalesce(text, ''), E' \\t\\r\\n')) > 0 FROM documents",
     "detect_format": r"SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '\.html?$') THEN 'html' END AS format, CASE WHEN NOT regexp_matches(regexp_extract(url, '^[^?#]*'), '\.html?$') THEN 'core.undetectable-input-format' END AS code FROM pages",
     "sniff_magic": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'docx' WHEN 3 THEN 'xlsx' WHEN 4 THEN 'zip' ELSE 'none' END AS format FROM orders",
     "format_suggestion": f"""WITH f AS (SELECT unnest({_FORMATS!r}) AS f, generate_subscripts({_FORMATS!r}, 1) AS i),
@@ -253,7 +406,7 @@ SELECT p_partkey, CASE WHEN min(d) <= 2 THEN arg_min(f, d * 100 + i) END AS sugg
     "strip_classes": rf"SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|footer|header|section|main|figure)[ >]')) + len(regexp_extract_all({_BODY}, '<(div|nav|footer|header|section|main|figure) [^>]*class=.[^a]')) AS BIGINT) AS classes_left FROM pages",
     "loss_grades": rf"SELECT page_id, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, c2, false AS content, false AS structure, c2 > 0 AS exact FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) AS BIGINT) AS c2 FROM pages)",
     "lowering_hits": rf"SELECT page_id AS doc_id, 'container-attrs' AS rule, n AS uses, n AS did, true AS same FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) AS BIGINT) AS n FROM pages) WHERE n > 0",
-    "promote_first_heading": "SELECT doc_id, 'T' || doc_id AS title, CAST(1 AS BIGINT) AS n_blocks FROM documents",
+    "promote_first_heading": rf"SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'T' || page_id END AS title, CAST(len(regexp_extract_all({_BODY}, '<h[1-6][ >]')) + (page_id + 1) % 2 AS BIGINT) AS headings_left FROM pages",
     "choose_lowering": """SELECT node, stable_id, operation, c0, c1, c2 FROM (
   SELECT l_orderkey AS node, l_linenumber AS stable_id, l_returnflag AS operation, CAST(l_quantity % 3 AS BIGINT) AS c0, l_partkey % 5 AS c1, l_suppkey % 7 AS c2,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity % 3 AS BIGINT), l_partkey % 5, l_suppkey % 7, l_linenumber, l_returnflag) AS k FROM lineitem) WHERE k = 1""",
@@ -261,10 +414,33 @@ SELECT p_partkey, CASE WHEN min(d) <= 2 THEN arg_min(f, d * 100 + i) END AS sugg
 c AS (SELECT doc_id, code, context, min(seq) AS first_seq FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY first_seq, context) AS k FROM c),
 j AS (SELECT doc_id, code, string_agg(context, ',' ORDER BY k) AS contexts FROM k WHERE k <= 4 GROUP BY ALL)
 SELECT r.doc_id, r.code, CAST(sum(count) AS BIGINT) AS count, CAST(max(s) AS BIGINT) AS severity_rank, min(seq) AS seq, any_value(j.contexts) AS contexts FROM r JOIN j USING (doc_id, code) GROUP BY r.doc_id, r.code""",
-    "serial_dates": "SELECT l_orderkey, l_linenumber, CAST(date_diff('day', DATE '1899-12-30', CAST(l_shipdate AS DATE)) AS BIGINT) AS serial, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS day FROM lineitem",
-    "column_widths": "SELECT CAST(least(30, greatest(3, max(strlen(CAST(n_nationkey AS VARCHAR))))) AS BIGINT) AS n_nationkey, CAST(least(30, greatest(3, max(strlen(n_name)))) AS BIGINT) AS n_name, CAST(least(30, greatest(3, max(strlen(CAST(n_regionkey AS VARCHAR))))) AS BIGINT) AS n_regionkey FROM nation",
+    "serial_dates": """SELECT l_orderkey, l_linenumber, CAST(date_diff('day', DATE '1899-12-30', CAST(l_shipdate AS DATE)) AS BIGINT) AS serial, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS day,
+CAST(date_diff('day', DATE '1899-12-30', CAST(l_shipdate AS DATE)) // 4 AS VARCHAR) || CASE date_diff('day', DATE '1899-12-30', CAST(l_shipdate AS DATE)) % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' WHEN 3 THEN '.75' ELSE '' END AS quarter FROM lineitem""",
+    "column_widths": "SELECT c_nationkey, CAST(greatest(3, max(length(CAST(c_custkey AS VARCHAR)))) AS BIGINT) AS w_key, CAST(least(30, greatest(8, max(strlen(c_name)))) AS BIGINT) AS w_name, CAST(least(30, greatest(7, max(strlen(c_mktsegment)))) AS BIGINT) AS w_segment FROM customer GROUP BY c_nationkey",
     "table_markdown": """WITH w AS (SELECT least(30, greatest(3, 4, max(length(r_name)))) AS w FROM region)
 SELECT '| key | ' || rpad('name', CAST(any_value(w) AS INT), ' ') || E' |\n| --- | ' || repeat('-', any_value(w)) || E' |\n' || string_agg('| ' || rpad(CAST(r_regionkey AS VARCHAR), 3, ' ') || ' | ' || rpad(r_name, CAST(w AS INT), ' ') || E' |\n', '' ORDER BY r_regionkey) AS markdown FROM region, w""",
     "resource_naming": """SELECT l_orderkey AS doc_id, l_linenumber AS idx, CASE WHEN l_returnflag <> 'R' THEN 'order-' || l_orderkey || '_media/image-' || row_number() OVER (PARTITION BY l_orderkey, l_returnflag <> 'R' ORDER BY l_linenumber, l_linestatus <> 'O' DESC) || CASE WHEN l_linestatus = 'O' THEN '.png' ELSE '.jpg' END END AS name FROM lineitem""",
     "csv_tables": "SELECT c_custkey, array_to_string(list_filter(string_split('name segment ' || c_name || ' ' || c_mktsegment, ' '), lambda x: x <> ''), '|') AS cells, CAST(4 AS BIGINT) AS n_cells FROM customer",
+    "text_to_markdown": rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+t AS (SELECT doc_id, i, trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' ') AS line FROM l)
+SELECT doc_id, 'success' AS status, sha256(CASE WHEN length(string_agg(line, '')) = 0 THEN '' ELSE string_agg({_ESCAPED.format(x="line")}, chr(10) ORDER BY i) || chr(10) END) AS markdown_sha256 FROM t GROUP BY doc_id""",
+    "csv_variants": f"""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'failed' ELSE 'success' END AS status,
+CASE c_custkey % 4 WHEN 0 THEN {_table(["'a'", "'b'"], ["c_name", "'x, y'"])} WHEN 1 THEN {_table(["'a'", "'b'", "''"], ["c_name", "''", "''"], ["c_name", "'2'", "'3'"])} WHEN 2 THEN {_table(["'a'", "'b'"], ["'say \"' || c_name || '\" now'", "'one two'"])} END AS markdown,
+CASE c_custkey % 4 WHEN 1 THEN 'csv.ragged-row:2' WHEN 3 THEN 'csv.unterminated-quote:1' ELSE '' END AS codes FROM customer""",
+    "oversize_refused": "SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN 'failed' ELSE 'success' END AS status, strlen(text) > 2000 AS nothing, CASE WHEN strlen(text) > 2000 THEN 'core.input-too-large:1' ELSE '' END AS codes FROM documents",
+    "strict_grades": rf"""WITH n AS (SELECT page_id, len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) > 0 AS lost FROM pages)
+SELECT page_id, 'structure' AS grade, 'success' AS status, false AS told FROM n UNION ALL SELECT page_id, 'exact', CASE WHEN lost THEN 'failed' ELSE 'success' END, lost FROM n""",
+    "filter_pipeline": f"""SELECT s_suppkey, 'success' AS status, '## ' || s_name || chr(10) || chr(10) || 'see [it](https://new.example.org/' || s_suppkey || ')' || chr(10) || chr(10) || {_table(["'a'", "'b'"], ["CAST(s_suppkey AS VARCHAR)", "'(table)'"])} || chr(10) || '#### End' || chr(10) AS markdown,
+'core.nested-table-flattened:1' AS codes FROM supplier""",
+    "filter_broke_document": rf"SELECT page_id, CASE WHEN bad THEN 'failed' ELSE 'success' END AS status, CASE WHEN bad THEN 'core.filter-broke-document leafmill.spoil' ELSE '' END AS told FROM (SELECT page_id, page_id % 2 = 1 AND len(regexp_extract_all({_BODY}, '<h[1-6][ >]')) > 0 AS bad FROM pages)",
+    "grid_facets": f"""SELECT s_suppkey, CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, CAST(f AS BIGINT) AS formula, v AS shown FROM supplier, LATERAL (VALUES (0, 0, 0, 'Name'), (0, 1, 0, 'When'), (0, 3, 0, 'Share'), (1, 0, 0, s_name), (1, 1, 0, {_DAY}), (1, 3, 0, {_SHARE}), (2, 0, 0, {_FLAG}), (2, 1, 4, {_A}), (2, 3, 0, '#N/A')) t(r, c, f, v)""",
+    "manifest_digests": f"SELECT s_suppkey, sha256({_text(*reader_queries.EXPECTED['docx'][0])}) AS artifact_hex, 'sha256' AS algorithm, 'docx' AS format, 'docx.tracked-deletions-dropped' AS code, '1' AS schema_version, true AS source_agrees FROM supplier",
+    "delegating_choice": """WITH l AS (SELECT l_orderkey, CASE WHEN CAST(l_quantity AS BIGINT) % 2 <= l_partkey % 2 THEN CAST(l_quantity AS BIGINT) % 2 ELSE l_partkey % 2 END AS c0, CASE WHEN CAST(l_quantity AS BIGINT) % 2 <= l_partkey % 2 THEN 0 ELSE 2 END AS c1 FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)),
+o AS (SELECT o_orderkey, coalesce(sum(c0), 0) AS a, 1 + coalesce(sum(c1), 0) AS b FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT o_orderkey, CASE WHEN a < 3 THEN 'lines' ELSE 'placeholder' END AS operation, CAST(CASE WHEN a < 3 THEN a ELSE 3 END AS BIGINT) AS c0, CAST(CASE WHEN a < 3 THEN b ELSE 0 END AS BIGINT) AS c1 FROM o""",
+    "read_html": f"""SELECT c_custkey, 'success' AS status, {_text("## ", "@c_name", "\n\na _b_ \\<", "@CAST(c_custkey AS VARCHAR)", "> [c](u?k=", "@CAST(c_custkey AS VARCHAR)", "&x)\n\nnext\\\nline![pic](p.png)\n\n- one\n\n  1. in\n\n- two\n\n```\nx &\n  y\n```\n\n> said\n\n---\n\nmore\n\nhidden\n\n", "@" + _table(["'Key'", "'Name'"], ["CAST(c_custkey AS VARCHAR)", "c_name"], ["'wide'", "''"]), "\n**open _both_**\n\ndone © \\&nosuch;\n")} AS markdown,
+'markdown.cell-span-degraded:1,markdown.extension-fallback:1' AS codes FROM customer""",
+    "read_markdown": f"""SELECT c_custkey, 'success' AS status, {_text("# ", "@c_name", "\n\nA _b_ **c** ~~d~~ `e` [f](/to/", "@CAST(c_custkey AS VARCHAR)", ") ![g](h.png \"t\")\nand [https://example.org/", "@CAST(c_custkey AS VARCHAR)", "](https://example.org/", "@CAST(c_custkey AS VARCHAR)", ") here[^1].\n\n- one\n- two\n  1) three\n  2) four\n\n> quoted\n> lazy\n\n```py\nkey = ", "@CAST(c_custkey AS VARCHAR)", "\n```\n\n```\nindented\n```\n\n---\n\n", "@" + _table(["'Key'", "'Name'"], ["CAST(c_custkey AS VARCHAR)", "c_name"], ["'short'", "''"], align="lr"), "\n<div>\n*raw*\n</div>\n\n## Sub\n\nhard\\\nbreak & \\*no\\*\n\n[^1]: the note\n")} AS markdown,
+'' AS codes FROM customer""",
 }
+ORACLES |= reader_queries.ORACLES

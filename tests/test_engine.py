@@ -3,6 +3,7 @@
 import json
 
 import packages as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,7 +189,8 @@ def test_files_source(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(P.REPORT)
     df = ENGINE.convert(files(spark, str(tmp_path)))
     assert {r["format"]: r["n_headings"] for r in df.collect()} == {"markdown": 1, "docx": 1}
-    assert files(spark, str(tmp_path), Limits(max_input_bytes=10)).count() == 1
+    few = ENGINE.convert(files(spark, str(tmp_path), Limits(max_input_bytes=10)))  # a file over the limit is a refused row
+    assert {r["format"]: (r["status"], [x["code"] for x in r["reports"]]) for r in few.collect()} == {"markdown": ("success", []), "docx": ("failed", ["core.input-too-large"])}
 
 
 def test_writer_details():
@@ -228,3 +230,94 @@ def test_files_over_the_limit_are_refused(spark, tmp_path):
     for df in (ENGINE.convert(batch), ENGINE.parse(batch), spark.table("over_the_limit")):
         got = {r["name"][-4:]: (r["status"], [x["code"] for x in r["reports"]]) for r in df.collect()}
         assert got == {"a.md": ("success", []), "b.md": ("failed", ["core.input-too-large"])}
+
+
+def test_sink_saves_artifacts_media_and_manifests(spark, tmp_path):
+    from leafmill.operators.manifest import manifest
+    from leafmill.operators.sink import save
+
+    rows = docs(spark, ("a.docx", P.docx(P.para('<w:r><w:drawing><wp descr="alt"/><a:blip r:embed="i1"/></w:drawing></w:r>' + P.run("kept")))), ("b.md", b"# B"), ("c.bin", b"?"))
+    stem = F.concat(F.lit("out-"), F.col("doc_id").cast("string"))
+    made = manifest(ENGINE.render(ENGINE.parse(rows, keep=("doc_id", "content")), stem), F.col("content"))
+    folder = str(tmp_path / "out")
+    for _ in range(2):  # a task that runs again finds its own files
+        got = {r["doc_id"]: (r["n_media"], r["status"], r["code"]) for r in save(made, folder, stem).collect()}
+        assert got == {0: (1, "saved", None), 1: (0, "saved", None), 2: (0, "failed", None)}
+    assert (tmp_path / "out" / "out-0.md").read_text() == "![alt](out-0_media/image-1.png)kept\n"
+    assert (tmp_path / "out" / "out-0_media" / "image-1.png").read_bytes() == P.PNG and '"schema":"leafmill.manifest"' in (tmp_path / "out" / "out-1.md.leafmill.json").read_text()
+    (tmp_path / "out" / "out-1.md").write_text("other")
+    assert {r["doc_id"]: r["code"] for r in save(made, folder, stem).collect()}[1] == "core.destination-exists" and (tmp_path / "out" / "out-1.md").read_text() == "other"
+    assert {r["doc_id"]: r["status"] for r in save(made, folder, stem, overwrite=True).collect()}[1] == "saved" and (tmp_path / "out" / "out-1.md").read_text() == "# B\n"
+    assert not list((tmp_path / "out").glob(".*"))
+
+
+def test_described_filters_contexts_and_validation(spark):
+    def visit(node, above, ctx):
+        if node.tag == "heading":
+            ctx.set_meta("title", node.kids)
+            ctx.report("team.seen", context=str(node.p["level"]))
+            return ctx.heading_level(ctx.attrs(node, id="top"), 9) and filters.KEEP
+        return filters.KEEP
+
+    own = filters.Described(filters.tree_filter(visit, lambda i, ctx: ctx.link_target(i, "/x") and filters.KEEP if i.tag == "link" else filters.KEEP, with_context=True), "team.head", "marks headings", order="top-down", block_tags=("heading",))
+    p = ENGINE.parse(docs(spark, ("a.md", b"# One *two*\n\n[l](y)\n"), ("b.md", b"text\n")))
+    out = p.transform(filters.pipeline(own))
+    r = ENGINE.render(out).where("doc_id = 0").first()
+    assert (r["status"], r["artifact"]) == ("success", "###### One _two_ {#top}\n\n[l](/x)\n")
+    assert [(m["key"], m["value_type"], m["value"]) for m in r["metadata"]] == [("title", "inlines", "One two")] and [(x["code"], x["contexts"]) for x in r["reports"]] == [("team.seen", ["1"])]
+    spoil = filters.Described(lambda df: df.withColumn("blocks", F.transform("blocks", lambda b: b.withField("tag", F.lit("table_row")))), "team.spoil")
+    bad = {r["doc_id"]: r for r in p.transform(filters.pipeline(own, spoil)).collect()}
+    assert bad[1]["status"] == "failed" and [(x["code"], x["consequence"], x["contexts"]) for x in bad[1]["reports"]] == [("core.filter-broke-document", "placement", ["team.spoil"])]
+    assert {r["status"] for r in p.transform(filters.pipeline(spoil, validate=False)).collect()} == {"success"}
+    for wrong in (lambda: filters.Described(own, "Team"), lambda: filters.Described(own, "a.b", order="sideways"), lambda: filters.Described(own, "a.b", block_tags=("p",)), lambda: filters.pipeline(own, own)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_proposals_and_delegating_selection(spark):
+    """A container is written by its children unless dropping it costs less; children are priced only where they are written."""
+    p = ENGINE.parse(docs(spark, ("a.html", b"<div class=x><p>a</p><div class=y><p>b</p></div></div><dl></dl><p>c</p>")))
+    b = relations.blocks(p, "doc_id")
+    ways = lowering.proposals(b, "doc_id")
+    assert ways.groupBy("node").count().agg(F.max("count")).first()[0] <= lowering.MOST_ALTERNATIVES
+    chosen = {(r["parent"], r["node"]): (r["operation"], r["total"]["c0"], r["total"]["c2"]) for r in lowering.selected(ways, "doc_id", depth=3).collect()}
+    top = {k: v for k, v in chosen.items() if k[0] is None}
+    assert ("children", 0, 2) in top.values() and {v[0] for v in chosen.values()} == {"children", "exact"}
+    dear = ways.withColumn("cost", F.when(F.col("operation") == "exact", F.col("cost").withField("c0", F.lit(2).cast("bigint"))).otherwise(F.col("cost")))
+    again = [r for r in lowering.selected(dear, "doc_id", depth=3).where("parent is null").collect() if r["operation"] == "drop"]
+    assert [(r["total"]["c0"], r["total"]["c2"]) for r in again] == [(1, 0)]
+
+
+def test_plan_from_nested_rows_equals_the_writer(spark):
+    """Every rule, inside tables, notes and nested tables, and in notes that nothing refers to."""
+    from leafmill.functions.tree import flatten
+
+    def text(s):
+        return Node("text", text=s)
+
+    def cell(*kids, **p):
+        return Node("table_cell", kids=list(kids), **p)
+
+    def plain(*kids):
+        return Node("plain", kids=list(kids))
+
+    def table(*rows, **p):
+        return Node("table", kids=[Node("table_head", kids=[Node("table_row", kids=list(r)) for r in rows])], **p)
+
+    inner = table([cell(Node("container", kids=[plain(text("x"))], attrs={"id": "deep"}))])
+    d = Document()
+    d.body = [
+        table([cell(plain(text("a")), Node("paragraph", kids=[text("b")]), col_span=2), cell(inner), cell(Node("list", kids=[Node("list_item", kids=[plain(text("i"))])], kind="ordered", style="lower_alpha", start=1)), cell(plain(text("one")))]),
+        Node("table", kids=[Node("caption", kids=[Node("paragraph", kids=[Node("underline", kids=[text("u")])])]), Node("table_body", kids=[Node("table_row", kids=[cell(plain(text("z")), row_span=2)])])]),
+        Node("container", kids=[Node("definition_list", kids=[Node("definition_entry", kids=[Node("definition_term", kids=[text("t")]), Node("definition_body", kids=[Node("paragraph", kids=[text("d")])])])])], attrs={"classes": ["k"]}),
+        Node("raw_block", text="<x>", format="latex"), Node("extension", kids=[Node("paragraph", kids=[Node("superscript", kids=[text("s")]), Node("raw", text="r", format="tex"), Node("note", note=0)])], owner="o", name="n", version=1),
+    ]
+    d.notes = [[Node("extension", kids=[Node("paragraph", kids=[text("n")])], owner="o", name="n", version=1)], [Node("raw_block", text="never", format="tex")]]
+    blocks, inlines = flatten(d)
+    from leafmill import schema
+    from leafmill.operators.convert import arrow_schema
+
+    rows = spark.createDataFrame(pa.Table.from_pylist([{"doc_id": 0, "blocks": blocks, "inlines": inlines}], schema=arrow_schema(f"doc_id bigint, blocks array<{schema.BLOCK}>, inlines array<{schema.INLINE}>")))
+    want = render(d)[1]
+    assert rows.select(lowering.uses().alias("u")).first()["u"] == want and len(want) >= 9
+    assert {r["rule"]: r["uses"] for r in lowering.hits(rows).collect()} == want
