@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     more time on a row than it takes to move it.  A large table has splits enough and is left as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,14 +51,27 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """stage() of what make gives; the tables that make staged on the way are removed once its result is written."""
+    before = len(_staged)
+    out = stage(make())
+    mine, _staged[before:] = _staged[before:-1], _staged[-1:]
+    _remove(mine)
+    return out
+
+
+def _remove(staged: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in staged:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_staged() -> None:
-    for spark, path in _staged:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+    try:
+        _remove(_staged)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        return
 
 
 atexit.register(_remove_staged)

@@ -12,7 +12,9 @@ thumbnail of the image *is* the payload.  64 blocks a row, a restart interval a
 longer payloads take several images, one after the other.  A comment segment holds the unpadded length.
 
 Edge cases: a null or empty text is 64 zero bytes; equal texts give equal media; the thumbnail hash covers
-all samples.  ``media_features`` gives nulls and the reason in ``error`` for bytes that are no such image.
+all samples.  ``media_features`` gives nulls and the reason in ``error`` for bytes that are no such image.  A null doc_id is
+kept; rows alike are rows of their own; an empty table gives an empty one; a very long text is several images in one value;
+columns besides ``doc_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ compared by two differently seeded 64-bit hashes.
 
 Null or empty text: one empty line, whose key has no code point and so is never dropped if min_chars >= 1.
 Rows alike in doc_id and text count as two documents and get equal results.  A null doc_id is a value like
-any other.  Other columns, whatever their names, are passed through by ``drop_frequent_lines``.
+any other.  An empty table gives an empty one.  A text of very many lines is exploded once, by line.  A key in exactly ``min_docs``
+documents goes.  Other columns, whatever their names, are passed through by ``drop_frequent_lines``.
 """
 
 from __future__ import annotations

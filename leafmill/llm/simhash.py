@@ -14,7 +14,10 @@ postings by alternating large-star and small-star steps; every step is a partial
 equi-join.
 
 Nulls and edge cases: null and word-less texts have fingerprint zero and are linked like any other; fewer than
-three words make one shingle; a null doc_id is kept, and names a group only if the group has no other.
+three words make one shingle; a bit that is set in exactly half the hashes is 0; a null doc_id is kept, and names a group only if
+the group has no other; rows alike in doc_id and text are rows of one group, of which one stays in keep_one; an empty table
+gives an empty one; a very long text is hashed some 262,144 shingles at a time; other columns of docs, whatever their
+names, are carried in one struct by keep_one and not looked at by simhash_groups.
 """
 
 from __future__ import annotations

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from leafmill.llm import _util
@@ -32,3 +34,17 @@ def test_stage_writes_and_reads_back(spark):
     got = _util.stage(df)
     assert got.schema.simpleString() == df.schema.simpleString() and sorted(got.collect()) == sorted(df.collect())
     assert got.inputFiles()[0].startswith("file:") and _util.stage(df.limit(0)).count() == 0
+
+
+def test_finished_removes_what_was_staged_on_the_way(spark):
+    made = []
+
+    def make():
+        made.append(_util.stage(spark.range(3)))
+        made.append(_util.stage(made[0].selectExpr("id + 1 AS id")))
+        return made[1].where("id > 1")
+
+    kept = _util.stage(spark.range(2))
+    out = _util.finished(make)
+    assert sorted(r["id"] for r in out.collect()) == [2, 3] and kept.count() == 2
+    assert not any(os.path.exists(f.removeprefix("file://")) for x in made for f in x.inputFiles())
