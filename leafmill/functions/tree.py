@@ -56,6 +56,9 @@ class Document:
     facets: list[dict] = field(default_factory=list)
     plugins: dict[str, tuple[int, Any]] = field(default_factory=dict)
     reports: list[Report] = field(default_factory=list)
+    #: Most groups of reports, and most contexts of one; what is over is counted.
+    most_groups: int = DEFAULT.max_report_groups
+    most_samples: int = DEFAULT.max_report_samples
 
     def report(self, code: str, severity: str = "note", consequence: str = "", loss: str = "none", context: str | None = None, count: int = 1, **more: Any) -> None:
         """Reports alike in code, consequence and directions are one, with their counts summed."""
@@ -63,9 +66,12 @@ class Document:
             if (r.code, r.consequence, r.directions) == (code, consequence, more.get("directions", "")):
                 r.count += count
                 r.severity = max(r.severity, severity, key=SEVERITIES.index)
-                if context is not None and context not in r.contexts and len(r.contexts) < 4:
+                if context is not None and context not in r.contexts and len(r.contexts) < self.most_samples:
                     r.contexts.append(context)
                 return
+        if len(self.reports) >= self.most_groups and code != "core.reports-truncated":
+            self.report("core.reports-truncated", "warning")
+            return
         self.reports.append(Report(code, severity, consequence, loss, count=count, contexts=[] if context is None else [context], **more))
 
 
@@ -84,7 +90,8 @@ class Builder:
     """Writes a Document front to back.  Blocks nest by open()/close(); text goes to the open leaf."""
 
     def __init__(self, limits: Limits = DEFAULT):
-        self.doc, self.limits, self.nodes = Document(), limits, 0
+        self.doc, self.limits, self.nodes = Document(most_groups=limits.max_report_groups, most_samples=limits.max_report_samples), limits, 0
+        self.held_bytes = self.entities = 0
         self.blocks: list[tuple[Node | None, list[Node]]] = [(None, self.doc.body)]
         self.spans: list[Node] = []
 
@@ -199,13 +206,19 @@ class Builder:
                 return i
         if len(self.doc.resources) >= self.limits.max_resources:
             raise LimitExceeded("max_resources")
+        self.held_bytes += len(content or b"")
+        if self.held_bytes > self.limits.max_resource_bytes:
+            raise LimitExceeded("max_resource_bytes")
         self.doc.resources.append({"source": source, "content": content, "mime": mime, "kind": "external" if content is None else "embedded", "alt": alt})
         return len(self.doc.resources) - 1
 
     def facet(self, node: Node, kind: str, **values: Any) -> None:
         """A row of a facet table, bound to the node."""
+        if len(self.doc.facets) >= self.limits.max_facet_rows:
+            raise LimitExceeded("max_facet_rows")
         if node.entity is None:
-            node.entity = 1 + max((f["entity"] for f in self.doc.facets), default=-1)
+            node.entity = self.entities
+            self.entities += 1
         self.doc.facets.append({"entity": node.entity, "kind": kind, "values": values})
 
     def report(self, *a: Any, **k: Any) -> None:

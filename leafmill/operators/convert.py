@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,13 @@ from leafmill import schema
 from leafmill.functions.limits import DEFAULT, LimitExceeded, Limits
 from leafmill.functions.markdown_writer import render, report_losses
 from leafmill.functions.tree import Document, Refused, flatten, unflatten
+from leafmill.operators.resources import ENDINGS
 from leafmill.sources import registry
-from leafmill.sources.detect import EXTENSIONS, resolve
+from leafmill.sources.detect import EXTENSIONS, extension, resolve
 
 Read = Callable[[bytes, str, Limits], Document]
+#: (document, resource number -> published name) -> the artifact, and how often each lowering rule was used.
+Write = Callable[[Document, dict[int, str]], tuple[str, dict[str, int]]]
 #: Rows are whole documents, so batches are small.
 BATCH = 64
 
@@ -72,6 +76,12 @@ def rows_of(doc: Document) -> dict:
     }
 
 
+def names_of(doc: Document, stem: str) -> dict[int, str]:
+    """Published names of embedded resources by their number, as published_names() gives them for rows."""
+    own = [i for i, r in enumerate(doc.resources) if r["kind"] == "embedded"]
+    return {i: f"{stem}_media/image-{k}.{ENDINGS.get(doc.resources[i]['mime'], 'bin')}" for k, i in enumerate(own, 1)}
+
+
 def report_rows(doc: Document) -> list[dict]:
     return [{"seq": i, "code": r.code, "severity": r.severity, "consequence": r.consequence, "loss": r.loss, "directions": r.directions, "exit_class": r.exit_class, "count": r.count, "contexts": r.contexts} for i, r in enumerate(doc.reports)]
 
@@ -113,27 +123,53 @@ def parse_one(content: bytes | None, name: str | None, fmt: str | None, note: st
 
 @dataclass
 class Engine:
-    """A set of readers, limits and how to name inputs.  readers: format -> function(bytes, name, limits)."""
+    """A set of readers and writers, and limits.  readers: format -> function(bytes, name, limits); writers: format -> function(document,
+    names of resources); extensions: of formats that are not built in, none of which may be told in two ways."""
 
     readers: dict[str, Read] = field(default_factory=lambda: dict(registry.READERS))
     limits: Limits = DEFAULT
+    writers: dict[str, Write] = field(default_factory=lambda: {"markdown": render})
+    extensions: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for f in self.readers:
+        for f, way in [*self.readers.items(), *self.writers.items()]:
             if not f.isidentifier() or not f.islower():
                 raise ValueError(f"a format's name is a lower-case word: {f!r}")
+            if not callable(way):
+                raise TypeError(f"{f} needs a function")
+        seen: dict[str, str] = {}
+        for f, endings in self.formats().items():
+            for e in endings:
+                if not re.fullmatch(r"[a-z0-9]+", e) or seen.setdefault(e, f) != f:
+                    raise ValueError(f"an extension is small letters and digits and belongs to one format: {e!r} of {f}")
 
     def formats(self) -> dict[str, list[str]]:
-        return {f: EXTENSIONS.get(f, [f]) for f in self.readers}
+        return {f: self.extensions.get(f, EXTENSIONS.get(f, [f])) for f in {**self.readers, **self.writers}}
+
+    def with_reader(self, name: str, read: Read, *extensions: str) -> Engine:
+        return replace(self, readers={**self.readers, name: read}, extensions={**self.extensions, name: list(extensions) or [name]} if name not in EXTENSIONS else self.extensions)
+
+    def with_writer(self, name: str, write: Write, *extensions: str) -> Engine:
+        return replace(self, writers={**self.writers, name: write}, extensions={**self.extensions, name: list(extensions) or [name]} if name not in EXTENSIONS else self.extensions)
 
-    def with_reader(self, name: str, read: Read) -> Engine:
-        return Engine({**self.readers, name: read}, self.limits)
+    def writer(self, to: str) -> Write:
+        if to not in self.writers:
+            raise ValueError(f"no writer of {to!r}; there are {', '.join(self.writers)}")
+        return self.writers[to]
+
+    def resolved(self, name: Column, content: Column, declared: Column | None, from_file: bool = False) -> tuple[Column, Column]:
+        """resolve() for the built-in formats, and by extension for others where that finds none."""
+        fmt, note = resolve(name, content, declared, from_file)
+        own = F.when(F.lit(False), F.lit(""))
+        for f, endings in self.extensions.items():
+            own = own.when(extension(name).isin(*endings), F.lit(f))
+        return F.coalesce(fmt, own), F.when(fmt.isNotNull() | own.isNull(), note)
 
     def parse(self, docs: DataFrame, name: Column | str = "name", content: Column | str = "content", declared: Column | None = None, from_file: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """docs -> keep columns, name, status, format, blocks, inlines, metadata, resources, facets, plugins, reports."""
         name = F.col(name) if isinstance(name, str) else name
         content = (F.col(content) if isinstance(content, str) else content).cast("binary")
-        fmt, note = resolve(name, content, declared, from_file)
+        fmt, note = self.resolved(name, content, declared, from_file)
         base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("__format"), note.alias("__note"), left_out(docs, content))
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keep, "name").schema.fields) + ", " + schema.PARSED
         out, readers, limits, kept = arrow_schema(ddl), self.readers, self.limits, [*keep, "name"]
@@ -151,58 +187,65 @@ class Engine:
 
         return base.mapInArrow(run, ddl)
 
-    def render(self, parsed: DataFrame, media_stem: Column | None = None) -> DataFrame:
-        """Adds artifact (null where the status is not success), sha256, and the uses of each lowering rule."""
+    def render(self, parsed: DataFrame, media_stem: Column | None = None, to: str = "markdown") -> DataFrame:
+        """Adds artifact (null where the status is not success), sha256, and the uses of each lowering rule.  An artifact over its limit
+        is a refusal."""
         from leafmill.operators.resources import published_names
 
         stem = F.lit("document") if media_stem is None else media_stem
         base = parsed.withColumn("__names", published_names("resources", stem))
-        cols = parsed.columns
+        cols, write, most = parsed.columns, self.writer(to), self.limits.max_output_bytes
         added = StructType(list(parsed.schema.fields)).add("artifact", "string").add("losses", MapType(StringType(), LongType()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for a in range(0, whole.num_rows, BATCH):
                     batch = whole.slice(a, BATCH)
-                    text, losses, reports = [], [], []
+                    text, losses, reports, status = [], [], [], []
                     for r in batch.select(["status", "blocks", "inlines", "reports", "__names"]).to_pylist():
                         reports.append(r["reports"])
+                        status.append(r["status"])
                         if r["status"] != "success":
                             text.append(None)
                             losses.append(None)
                             continue
                         names = {x["idx"]: x["name"] for x in r["__names"] or []}
                         doc = unflatten(r["blocks"], r["inlines"])
-                        out, hits = render(doc, names)
+                        out, hits = write(doc, names)
                         report_losses(doc, hits)
+                        if len(out.encode()) > most:
+                            doc.report("core.output-too-large", "failure", exit_class="limit", context="max_output_bytes")
+                            out, status[-1] = None, "failed"
                         reports[-1] = r["reports"] + [x | {"seq": len(r["reports"]) + x["seq"]} for x in report_rows(doc)]
                         text.append(out)
                         losses.append(list(hits.items()))
                     told = pa.array(reports, batch.column("reports").type)
-                    yield pa.RecordBatch.from_arrays([told if c == "reports" else batch.column(c) for c in cols] + [pa.array(text, pa.string()), pa.array(losses, pa.map_(pa.string(), pa.int64()))], names=[*cols, "artifact", "losses"])
+                    yield pa.RecordBatch.from_arrays([told if c == "reports" else pa.array(status, pa.string()) if c == "status" else batch.column(c) for c in cols] + [pa.array(text, pa.string()), pa.array(losses, pa.map_(pa.string(), pa.int64()))], names=[*cols, "artifact", "losses"])
 
         return base.mapInArrow(run, added).withColumn("sha256", F.sha2(F.col("artifact").cast("binary"), 256))
 
-    def convert(self, docs: DataFrame, name: Column | str = "name", content: Column | str = "content", declared: Column | None = None, strict: str = "off", keep: tuple[str, ...] = ("doc_id",), filters: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-        """keep columns, name, format, status, markdown, n_blocks, n_headings, n_links, losses, reports.  Without filters the tree
-        never leaves Python: one pass parses, prices and renders."""
+    def convert(self, docs: DataFrame, name: Column | str = "name", content: Column | str = "content", declared: Column | None = None, strict: str = "off", keep: tuple[str, ...] = ("doc_id",), filters: list[Callable[[DataFrame], DataFrame]] | None = None, media_stem: Column | None = None, to: str = "markdown") -> DataFrame:
+        """keep columns, name, format, status, markdown (or what the writer ``to`` gives), n_blocks, n_headings, n_links, losses, reports.
+        Without filters the tree never leaves Python: one pass parses, prices and renders.  media_stem: begins the names under
+        which media are published, as for render()."""
         from leafmill.plans.lowering import graded
 
         if filters:
             parsed = self.parse(docs, name, content, declared, keep=keep)
             for f in filters:
                 parsed = parsed.transform(f)
-            out = self.render(parsed)
+            out = self.render(parsed, media_stem, to)
             out = out.withColumns({"markdown": F.col("artifact"), "n_blocks": F.size("blocks"), "n_headings": F.expr("size(filter(blocks, b -> b.tag = 'heading'))"), "n_links": F.expr("size(filter(inlines, i -> i.tag = 'link'))")})
             return graded(out, strict).select(*keep, "name", "format", "status", "markdown", "n_blocks", "n_headings", "n_links", "losses", "reports")
         name = F.col(name) if isinstance(name, str) else name
         content = (F.col(content) if isinstance(content, str) else content).cast("binary")
-        fmt, note = resolve(name, content, declared)
-        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("format"), note.alias("__note"), left_out(docs, content))
+        fmt, note = self.resolved(name, content, declared)
+        stem = F.lit("document") if media_stem is None else media_stem
+        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("format"), note.alias("__note"), left_out(docs, content), stem.alias("__stem"))
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keep, "name", "format").schema.fields)
         more = f"status string, markdown string, n_blocks int, n_headings int, n_links int, losses map<string,bigint>, reports array<{schema.REPORT}>"
         types = arrow_schema(more)
-        readers, limits, kept = self.readers, self.limits, [*keep, "name", "format"]
+        readers, limits, kept, write = self.readers, self.limits, [*keep, "name", "format"], self.writer(to)
 
         def count(doc: Document) -> tuple[int, int, int]:
             blocks = heads = links = 0
@@ -228,10 +271,13 @@ class Engine:
                 for a in range(0, whole.num_rows, BATCH):
                     batch = whole.slice(a, BATCH)
                     rows = []
-                    for r in batch.select(["__content", "name", "format", "__note", "__length"]).to_pylist():
+                    for r in batch.select(["__content", "name", "format", "__note", "__length", "__stem"]).to_pylist():
                         status, doc = parse_one(r["__content"], r["name"], r["format"], r["__note"], readers, limits, r["__length"])
-                        text, hits = render(doc) if status == "success" else (None, {})
+                        text, hits = write(doc, names_of(doc, r["__stem"])) if status == "success" else (None, {})
                         report_losses(doc, hits)
+                        if text is not None and len(text.encode()) > limits.max_output_bytes:
+                            doc.report("core.output-too-large", "failure", exit_class="limit", context="max_output_bytes")
+                            status, text = "failed", None
                         n = count(doc)
                         rows.append({"status": status, "markdown": text, "n_blocks": n[0], "n_headings": n[1], "n_links": n[2], "losses": list(hits.items()), "reports": report_rows(doc)})
                     made = pa.RecordBatch.from_pylist(rows, schema=types)

@@ -321,3 +321,47 @@ def test_plan_from_nested_rows_equals_the_writer(spark):
     want = render(d)[1]
     assert rows.select(lowering.uses().alias("u")).first()["u"] == want and len(want) >= 9
     assert {r["rule"]: r["uses"] for r in lowering.hits(rows).collect()} == want
+
+
+def test_media_names_are_the_same_with_and_without_filters(spark):
+    rows = docs(spark, ("a.docx", P.docx(P.para('<w:r><w:drawing><wp descr="alt"/><a:blip r:embed="i1"/></w:drawing></w:r>'))))
+    for more in ({}, {"filters": [filters.shift_headings(0)]}):
+        assert ENGINE.convert(rows, media_stem=F.lit("x"), **more).first()["markdown"] == "![alt](x_media/image-1.png)\n"
+        assert ENGINE.convert(rows, **more).first()["markdown"] == "![alt](document_media/image-1.png)\n"
+
+
+def test_writers_and_their_contract(spark):
+    def shout(doc, names):
+        return render(doc, names)[0].upper(), {}
+
+    def lines(content, name, limits):
+        d = Document()
+        d.body = [Node("paragraph", kids=[Node("text", text=x)]) for x in content.decode().split("|")]
+        return d
+
+    own = ENGINE.with_writer("shout", shout, "loud").with_reader("bars", lines, "bar", "bars")
+    assert own.formats()["bars"] == ["bar", "bars"] and own.formats()["shout"] == ["loud"]
+    rows = docs(spark, ("x.bar", b"a|b"), ("y.md", b"# c"), ("z.none", b"?"))
+    got = [(r["format"], r["status"], r["markdown"]) for r in own.convert(rows, to="shout").orderBy("doc_id").collect()]
+    assert got == [("bars", "success", "A\n\nB\n"), ("markdown", "success", "# C\n"), (None, "failed", None)]
+    assert [r["artifact"] for r in own.render(own.parse(rows), to="shout").orderBy("doc_id").collect()] == ["A\n\nB\n", "# C\n", None]
+    for wrong, kind in ((lambda: own.with_writer("Loud", shout), ValueError), (lambda: own.with_writer("other", shout, "md"), ValueError), (lambda: own.with_writer("other", "no"), TypeError), (lambda: own.convert(rows, to="none"), ValueError)):
+        with pytest.raises(kind):
+            wrong()
+
+
+def test_limits_refuse_one_document(spark):
+    from leafmill.functions.tree import Builder
+
+    def refused(limits, *files):
+        return [(r["status"], [x["code"] for x in r["reports"]], [c for x in r["reports"] for c in x["contexts"]]) for r in Engine(limits=limits).convert(docs(spark, *files)).orderBy("doc_id").collect()]
+
+    assert refused(Limits(max_output_bytes=6), ("a.md", b"short"), ("b.md", b"longer text")) == [("success", [], []), ("failed", ["core.output-too-large"], ["max_output_bytes"])]
+    assert refused(Limits(max_facet_rows=2), ("a.xlsx", P.xlsx())) == [("failed", ["core.limit-exceeded"], ["max_facet_rows"])]
+    image = P.docx(P.para('<w:r><w:drawing><wp descr="alt"/><a:blip r:embed="i1"/></w:drawing></w:r>'))
+    assert refused(Limits(max_resource_bytes=10), ("a.docx", image)) == [("failed", ["core.limit-exceeded"], ["max_resource_bytes"])]
+    out = Builder(Limits(max_report_groups=2, max_report_samples=1))
+    for k in range(5):
+        out.report(f"x.{k}")
+        out.report("x.0", context=str(k))
+    assert [(r.code, r.count, r.contexts) for r in out.doc.reports] == [("x.0", 6, ["0"]), ("x.1", 1, []), ("core.reports-truncated", 3, [])]
