@@ -30,7 +30,7 @@ def docx(body: str, **more: str) -> bytes:
         "word/_rels/document.xml.rels": rels(("h1", "hyperlink", "https://example.org/", "x"), ("f", "footnotes", "footnotes.xml"), ("i1", "image", "media/a.png")),
         "word/styles.xml": f'<w:styles {W}><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:type="paragraph" w:styleId="Sub"><w:name w:val="own"/><w:basedOn w:val="H1"/></w:style></w:styles>',
         "word/numbering.xml": f'<w:numbering {W}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>',
-        "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:t>The note body.</w:t></w:r></w:p></w:footnote></w:footnotes>',
+        "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:t>Kept at the foot.</w:t></w:r></w:p></w:footnote></w:footnotes>',
         "word/media/a.png": PNG,
         "word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>",
     } | more)
@@ -49,11 +49,11 @@ def item(text: str, level: int) -> str:
 
 
 REPORT = docx(
-    para(run("The Report"), '<w:pStyle w:val="H1"/>')
-    + para(run("Plain then ") + run("bold italic", "<w:b/><w:i/>") + run(" then a ") + '<w:hyperlink r:id="h1">' + run("link") + "</w:hyperlink>" + run(" and a note") + '<w:r><w:footnoteReference w:id="2"/></w:r>' + run("."))
-    + item("first item", 0) + item("nested bullet", 1) + item("second item", 0)
+    para(run("Harvest"), '<w:pStyle w:val="H1"/>')
+    + para(run("Weighed ") + run("ripe dry", "<w:b/><w:i/>") + run(" by one ") + '<w:hyperlink r:id="h1">' + run("link") + "</w:hyperlink>" + run(" and counted") + '<w:r><w:footnoteReference w:id="2"/></w:r>' + run("."))
+    + item("barley", 0) + item("six-row", 1) + item("oats", 0)
     + "<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/></w:tblGrid><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc>" + para(run("Name")) + "</w:tc><w:tc>" + para(run("Count"))
-    + '</w:tc></w:tr><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>' + para(run("merged across both")) + "</w:tc></w:tr></w:tbl>" + para(run("after table"))
+    + '</w:tc></w:tr><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>' + para(run("one for both sides")) + "</w:tc></w:tr></w:tbl>" + para(run("what is left"))
 )
 
 

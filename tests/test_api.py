@@ -13,7 +13,7 @@ from leafmill.streaming.files import convert_files
 
 def test_convert_bytes_and_errors():
     out = api.convert(P.REPORT, name="r.docx")
-    assert out.name == "r.md" and out.source_format == "docx" and out.artifact.startswith("# The Report")
+    assert out.name == "r.md" and out.source_format == "docx" and out.artifact.startswith("# Harvest")
     assert json.loads(out.manifest)["source"]["format"] == "docx"
     with pytest.raises(api.ConversionError, match="core.strict-refused"):
         api.convert(P.REPORT, strict="exact")

@@ -176,7 +176,7 @@ def test_relations(spark):
     assert {r["tag"] for r in relations.children(b, b.where("tag = 'table'"), "doc_id").collect()} == {"table_head", "table_body"}
     table = lowering.capabilities(spark)
     assert table.where("disposition = 'exact' and rule is null").count() == 18 + 14 and table.where("rule = 'style-dropped'").count() == 4
-    assert "The Report" in {r["text"] for r in relations.subtree_text(p, "doc_id").collect()}
+    assert "Harvest" in {r["text"] for r in relations.subtree_text(p, "doc_id").collect()}
     assert relations.side_violations(p, "doc_id").count() == 0
     loose = p.where("doc_id = 1").withColumn("facets", F.transform("facets", lambda f: f.withField("entity", f["entity"] + 100)))
     assert {r["rule"] for r in relations.side_violations(loose, "doc_id").collect()} == {"unbound-facet"}
@@ -206,7 +206,7 @@ def test_writer_details():
     plain = lambda *w: Node("plain", kids=text(*w))
     assert out(Node("list", kids=[item(plain("one")), item(plain("two"), Node("list", kids=[item(plain("three"))], kind="ordered", start=3, style="decimal", delimiter="period"))], kind="unordered")) == "- one\n- two\n  3. three\n"
     assert out(Node("quote", kids=[Node("paragraph", kids=text("first")), Node("paragraph", kids=text("second"))])) == "> first\n>\n> second\n"
-    assert out(Node("code_block", text="const a = `tick`;\n```\nmore\n", attrs={"classes": ["zig"]})) == "````zig\nconst a = `tick`;\n```\nmore\n````\n"
+    assert out(Node("code_block", text="let a = `tick`;\n```\nmore\n", attrs={"classes": ["rust"]})) == "````rust\nlet a = `tick`;\n```\nmore\n````\n"
     assert out(Node("paragraph", kids=text("Plain", "*stars*", "and", "2", "+", "2."))) == "Plain \\*stars\\* and 2 + 2.\n"
     styled = Node("strong", kids=[Node("space"), Node("text", text="x"), Node("space")])
     assert out(Node("paragraph", kids=[Node("text", text="a"), styled, Node("text", text="b"), Node("emphasis", kids=[Node("space")])])) == "a **x** b\n"

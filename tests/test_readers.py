@@ -67,10 +67,10 @@ def test_html_mismatched_and_code():
 
 
 @pytest.mark.parametrize("text", [
-    '# A Title\n\nThe *quick* **brown** [fox](http://example.com "jumps") and\n`code with backticks` plus ~~gone~~ text.\n\nan autolink <https://example.org/>.\n',
-    "- one\n- two\n  1. nested three\n  2. nested four\n\n> quoted\n>\n> second\n\n```zig\nconst a = 42;\n```\n\n---\n\nLoose:\n\n- alpha\n\n- beta\n",
+    '# A Title\n\nAn *early* **cold** [spring](http://example.com "rains") and\n`code with backticks` plus ~~gone~~ text.\n\nan autolink <https://example.org/>.\n',
+    "- one\n- two\n  1. nested three\n  2. nested four\n\n> quoted\n>\n> second\n\n```rust\nlet n = 3;\n```\n\n---\n\nLoose:\n\n- alpha\n\n- beta\n",
     "| Name | Count |\n| :--- | ----: |\n| alpha | 3 |\n| be\\|ta | 14 |\n\nSee [the docs][ref].\n\n[ref]: https://example.com/docs \"Docs\"\n",
-    "Some text with a note[^a] in it.\n\n[^a]: The note body.\n", "Setext Title\n============\n\nSubtitle\n--------\n\n### Deep ###\n", "Literal \\*stars\\* and \\[x\\] &amp; 5 < 6 \\_a\\_\n\n    code\n",
+    "Some text with a note[^a] in it.\n\n[^a]: Kept at the foot.\n", "Setext Title\n============\n\nSubtitle\n--------\n\n### Deep ###\n", "Literal \\*stars\\* and \\[x\\] &amp; 5 < 6 \\_a\\_\n\n    code\n",
 ])
 def test_markdown_reaches_a_fixed_point(text):
     once = md("markdown", text)
@@ -93,8 +93,8 @@ def test_markdown_details():
 def test_docx_report():
     doc = READ["docx"](P.REPORT, "x", DEFAULT)
     assert render(doc)[0] == (
-        "# The Report\n\nPlain then **_bold italic_** then a [link](https://example.org/) and a note[^1].\n\n1. first item\n   - nested bullet\n2. second item\n\n"
-        "| Name               | Count |\n| ------------------ | ----- |\n| merged across both |       |\n\nafter table\n\n[^1]: The note body.\n"
+        "# Harvest\n\nWeighed **_ripe dry_** by one [link](https://example.org/) and counted[^1].\n\n1. barley\n   - six-row\n2. oats\n\n"
+        "| Name               | Count |\n| ------------------ | ----- |\n| one for both sides |       |\n\nwhat is left\n\n[^1]: Kept at the foot.\n"
     )
     assert {r.code for r in doc.reports} == {"docx.merged-cells-degraded"}
 
