@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm._util import stage, table
+from leafmill.llm._util import finished, table
 from leafmill.llm.line_dedup import drop_frequent_lines
 from leafmill.llm.mixing import take_mix
 from leafmill.llm.quality_gbt import keep_good
 from leafmill.llm.queries import MIX_WEIGHTS, domain_of
-from leafmill.llm.sentencepiece_scan import encode_ids
+from leafmill.llm.sentencepiece_scan import encode
 from leafmill.llm.simhash import keep_one
 
 
@@ -35,7 +35,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_ids(docs).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+    """Ids, and the digest of the text that they decode to."""
+    return encode(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("mixing", mixing), ("sentencepiece", tokens)]
@@ -46,8 +47,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs)
-    return docs
+    for _, apply in STAGES[:-1]:
+        docs = finished(lambda f=apply, d=docs: f(spark, d, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
