@@ -125,9 +125,9 @@ def selected(alternatives: DataFrame, *keys: str, depth: int) -> DataFrame:
     return done
 
 
-def uses(blocks: str = "blocks", inlines: str = "inlines") -> Column:
-    """rule -> uses (those over zero) from the nested rows alone, before anything is rendered: what is in the body and in notes that
-    the body refers to.  One row is one document, and nothing is shuffled.  A block's place among its neighbours in
+def _where(blocks: str, inlines: str) -> dict[str, tuple[Column | None, Column | None]]:
+    """Rule -> arrays of the blocks and of the inlines that use it, from the nested rows alone, before anything is rendered: what is in the
+    body and in notes that the body refers to.  One row is one document, and nothing is shuffled.  A block's place among its neighbours in
     preorder tells its children: the next row is its first child if it names it as parent, and there are more if that one's
     subtree ends before the block's."""
     notes = F.transform(F.filter(inlines, lambda i: (i["tag"] == "note") & (i["forest"] == 0)), lambda i: i["note"] + 1)
@@ -149,11 +149,9 @@ def uses(blocks: str = "blocks", inlines: str = "inlines") -> Column:
     after = F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1)))
     rows = F.filter(F.zip_with(blocks, after, lambda b, n: F.struct(b.alias("b"), n.alias("n"))), lambda x: x["b"].isNotNull() & live(x["b"]) & ~deep(x["b"]))
 
-    def many(cond: Callable[[Column, Column], Column]) -> Column:
-        return F.size(F.filter(rows, lambda x: F.coalesce(cond(x["b"], x["n"]), F.lit(False)))).cast("bigint")
-
     def tagged(tag: str, cond: Callable[[Column, Column], Column] | None = None) -> Column:
-        return many(lambda b, n: (b["tag"] == tag) & (cond(b, n) if cond else F.lit(True)))
+        own = F.filter(rows, lambda x: F.coalesce((x["b"]["tag"] == tag) & (cond(x["b"], x["n"]) if cond else F.lit(True)), F.lit(False)))
+        return F.transform(own, lambda x: x["b"]["node"])
 
     def flat(b: Column, n: Column) -> Column:
         return (b["subtree_len"] > 1) & ((end(n) < end(b)) | ~n["tag"].isin("paragraph", "plain"))
@@ -164,22 +162,41 @@ def uses(blocks: str = "blocks", inlines: str = "inlines") -> Column:
     lines = F.filter(inlines, live)
 
     def of_inlines(cond: Callable[[Column], Column]) -> Column:
-        return F.size(F.filter(lines, cond)).cast("bigint")
+        return F.transform(F.filter(lines, cond), lambda i: i["node"])
 
     def foreign(x: Column) -> Column:
         return ~F.coalesce(x["format"].isin("markdown", "html"), F.lit(False))
 
-    counts = {
-        "raw-dropped": tagged("raw_block", lambda b, n: foreign(b)) + of_inlines(lambda i: (i["tag"] == "raw") & foreign(i)), "definition-list": tagged("definition_list"), "nested-table": tagged("table", lambda b, n: F.array_contains(nested, b["node"])),
-        "table-caption": F.size(F.array_intersect(captions, ids)).cast("bigint"), "cell-span": tagged("table_cell", lambda b, n: (F.coalesce(b["row_span"], F.lit(1)) > 1) | (F.coalesce(b["col_span"], F.lit(1)) > 1)), "cell-flattened": tagged("table_cell", flat),
-        "container-attrs": tagged("container", lambda b, n: b["attrs"].isNotNull()), "extension-fallback": tagged("extension") + of_inlines(lambda i: i["tag"] == "extension"),
-        "number-style": tagged("list", lambda b, n: (b["kind"] == "ordered") & (F.coalesce(b["style"], F.lit("decimal")) != "decimal")),
-        "style-dropped": of_inlines(lambda i: i["tag"].isin("underline", "small_caps", "superscript", "subscript")), "citation-dropped": of_inlines(lambda i: i["tag"] == "citation"),
+    return {
+        "raw-dropped": (tagged("raw_block", lambda b, n: foreign(b)), of_inlines(lambda i: (i["tag"] == "raw") & foreign(i))), "definition-list": (tagged("definition_list"), None),
+        "nested-table": (tagged("table", lambda b, n: F.array_contains(nested, b["node"])), None), "table-caption": (F.array_intersect(captions, ids), None),
+        "cell-span": (tagged("table_cell", lambda b, n: (F.coalesce(b["row_span"], F.lit(1)) > 1) | (F.coalesce(b["col_span"], F.lit(1)) > 1)), None), "cell-flattened": (tagged("table_cell", flat), None),
+        "container-attrs": (tagged("container", lambda b, n: b["attrs"].isNotNull()), None), "extension-fallback": (tagged("extension"), of_inlines(lambda i: i["tag"] == "extension")),
+        "number-style": (tagged("list", lambda b, n: (b["kind"] == "ordered") & (F.coalesce(b["style"], F.lit("decimal")) != "decimal")), None),
+        "style-dropped": (None, of_inlines(lambda i: i["tag"].isin("underline", "small_caps", "superscript", "subscript"))), "citation-dropped": (None, of_inlines(lambda i: i["tag"] == "citation")),
     }
-    entries = F.array(*[F.struct(F.lit(rule).alias("key"), n.alias("value")) for rule, n in counts.items()])
+
+
+def uses(blocks: str = "blocks", inlines: str = "inlines") -> Column:
+    """rule -> uses, those over zero."""
+    def size(x: Column | None) -> Column:
+        return F.lit(0) if x is None else F.size(x)
+
+    entries = F.array(*[F.struct(F.lit(rule).alias("key"), (size(b) + size(i)).cast("bigint").alias("value")) for rule, (b, i) in _where(blocks, inlines).items()])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
 
 
+def refused_nodes(parsed: DataFrame, grade: str, *keys: str) -> DataFrame:
+    """(keys, rule, kind, node): what of each document a grade refuses, block by block and inline by inline."""
+    none = F.array().cast("array<struct<rule:string,kind:string,node:int>>")
+
+    def named(rule: str, kind: str, x: Column | None) -> Column:
+        return none if x is None else F.transform(x, lambda n: F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), n.alias("node")))
+
+    parts = [named(rule, kind, x) for rule, found in _where("blocks", "inlines").items() if any(RULES[rule][: GRADES[grade]]) for kind, x in zip(("block", "inline"), found, strict=True)]
+    return parsed.select(*keys, F.explode(F.concat(none, *parts)).alias("r")).select(*keys, "r.*")
+
+
 def hits(parsed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, rule, uses) of every document."""
     return parsed.select(*keys, F.explode(uses()).alias("rule", "uses"))

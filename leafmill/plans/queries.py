@@ -288,6 +288,12 @@ def strict_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def refused_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact grade refuses of the pages, node by node: containers whose attributes would be lost."""
+    found = lowering.refused_nodes(_parsed(spark, sf_dir), "exact", "doc_id")
+    return found.groupBy(F.col("doc_id").alias("page_id"), "rule", "kind").agg(F.count_distinct("node").alias("nodes"))
+
+
 def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as HTML with a table in a table, a plain container and a link, through a pipeline of four filters, validated after each."""
     name, k = F.col("s_name"), F.col("s_suppkey").cast("string")
@@ -367,7 +373,7 @@ def read_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     html_to_markdown, text_paragraph_counts, text_soft_breaks, text_space_collapse, text_conversations, md_escape, text_to_markdown, html_tag_counts, html_title_dropped, html_link_targets, html_heading_text, block_census, subtree_containment, batch_envelopes,
-    tree_violations, html_list_items, round_trip_fixed_point, detect_format, sniff_magic, format_suggestion, shift_headings, strip_classes, promote_first_heading, loss_grades, strict_grades, lowering_hits, choose_lowering, delegating_choice, report_aggregate,
+    tree_violations, html_list_items, round_trip_fixed_point, detect_format, sniff_magic, format_suggestion, shift_headings, strip_classes, promote_first_heading, loss_grades, strict_grades, refused_nodes, lowering_hits, choose_lowering, delegating_choice, report_aggregate,
     serial_dates, column_widths, table_markdown, resource_naming, csv_tables, csv_variants, oversize_refused, filter_pipeline, filter_broke_document, grid_facets, manifest_digests, read_html, read_markdown,
 )} | reader_queries.QUERIES
 
@@ -430,6 +436,7 @@ CASE c_custkey % 4 WHEN 1 THEN 'csv.ragged-row:2' WHEN 3 THEN 'csv.unterminated-
     "oversize_refused": "SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN 'failed' ELSE 'success' END AS status, strlen(text) > 2000 AS nothing, CASE WHEN strlen(text) > 2000 THEN 'core.input-too-large:1' ELSE '' END AS codes FROM documents",
     "strict_grades": rf"""WITH n AS (SELECT page_id, len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) > 0 AS lost FROM pages)
 SELECT page_id, 'structure' AS grade, 'success' AS status, false AS told FROM n UNION ALL SELECT page_id, 'exact', CASE WHEN lost THEN 'failed' ELSE 'success' END, lost FROM n""",
+    "refused_nodes": rf"SELECT page_id, 'container-attrs' AS rule, 'block' AS kind, n AS nodes FROM (SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '<(nav|article|footer|header|section|aside|main|figure)[ >]|<div [^>]*(class|id)=')) AS BIGINT) AS n FROM pages) WHERE n > 0",
     "filter_pipeline": f"""SELECT s_suppkey, 'success' AS status, '## ' || s_name || chr(10) || chr(10) || 'see [it](https://new.example.org/' || s_suppkey || ')' || chr(10) || chr(10) || {_table(["'a'", "'b'"], ["CAST(s_suppkey AS VARCHAR)", "'(table)'"])} || chr(10) || '#### End' || chr(10) AS markdown,
 'core.nested-table-flattened:1' AS codes FROM supplier""",
     "filter_broke_document": rf"SELECT page_id, CASE WHEN bad THEN 'failed' ELSE 'success' END AS status, CASE WHEN bad THEN 'core.filter-broke-document leafmill.spoil' ELSE '' END AS told FROM (SELECT page_id, page_id % 2 = 1 AND len(regexp_extract_all({_BODY}, '<h[1-6][ >]')) > 0 AS bad FROM pages)",
