@@ -383,6 +383,22 @@ _ESCAPED = r"regexp_replace(regexp_replace(replace(replace(replace(regexp_replac
 _FORMATS = list(detect.EXTENSIONS)
 _table, _text, _DAY, _SHARE, _FLAG, _A = reader_queries._table, reader_queries._text, reader_queries._DAY, reader_queries._SHARE, reader_queries._FLAG, reader_queries.A
 ORACLES: dict[str, str] = {
+    "html_to_markdown": rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace({_BODY}, '(?s)^.*?<body>|</body>.*$', '', 'g'), '[ \t\r\n]+', ' ', 'g') AS s FROM pages),
+e AS (SELECT page_id, s, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
+    '([A-Za-z0-9])_([A-Za-z0-9])', '\1' || chr(1) || '\2', 'g'), '([A-Za-z0-9])_([A-Za-z0-9])', '\1' || chr(1) || '\2', 'g'),
+    '([\\`*\[\]])', '\\\1', 'g'), '(<p>|<div class="ad">|<footer>) ?([#>+-])', '\1\\\2', 'g'), '_', '\_'), chr(1), '_') AS x FROM b),
+m AS (SELECT page_id, s,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+    '<li><a href="([^"]*)"> ?(.*?) ?</a></li>', chr(10) || chr(10) || '- [\2](\1)', 'g'),
+    '<h1> ?(.*?) ?</h1>', chr(10) || chr(10) || '# \1', 'g'),
+    '<p> ?<b>(.*?)<br>', chr(10) || chr(10) || '**\1\\' || chr(10) || '**', 'g'),
+    ' ?(<p>|<div class="ad">|<footer>) ?', chr(10) || chr(10), 'g'),
+    '</?[a-z]+>', '', 'g'), ' +(\n|$)', '\1', 'g') AS t FROM e)
+SELECT page_id, 'success' AS status,
+  CAST(7 + 2 * len(regexp_extract_all(s, '<li>')) + len(regexp_extract_all(s, '<p>')) + len(regexp_extract_all(s, '<h1>')) AS INT) AS n_blocks,
+  CAST(len(regexp_extract_all(s, '<h1>')) AS INT) AS n_headings, CAST(len(regexp_extract_all(s, '<a ')) AS INT) AS n_links,
+  trim(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), chr(10)) || chr(10) AS markdown
+FROM m""",
     "text_paragraph_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0)) AS paragraphs FROM documents",
     "text_soft_breaks": r"SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r(\n|$)', '\1', 'g'), '\n([ \t]*(\n|$))+'), lambda x: length(trim(x, E' \t\n')) > 0), lambda x: length(regexp_replace(x, '^([ \t]*\n)+', '')) - length(replace(regexp_replace(x, '^([ \t]*\n)+', ''), E'\n', '')))), 0) AS BIGINT) AS soft_breaks FROM documents",
     "text_space_collapse": r"SELECT doc_id, length(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ')) AS chars FROM documents",
