@@ -71,10 +71,10 @@ sums AS (
 between_groups AS (
   SELECT *, CASE WHEN n > n2 / n THEN (k2 - n * (k / n) * (k / n) - (g - 1) * (k / n) * (1 - k / n)) / (n - n2 / n) ELSE 0 END AS v FROM sums),
 w AS (
-  SELECT level, CASE WHEN k <= 0 OR k >= n OR g < 2 OR v <= 0 THEN 50.0
-                     ELSE least(greatest((k / n) * (1 - k / n) / v - 1, 1.0), 50.0) END AS w FROM between_groups),
-prior AS (SELECT coalesce((SELECT k / n FROM sums WHERE level = 3), 0) AS rate, coalesce((SELECT w FROM w WHERE level = 1), 50.0) AS wh,
-                 coalesce((SELECT w FROM w WHERE level = 2), 50.0) AS wd, coalesce((SELECT w FROM w WHERE level = 3), 50.0) AS ws),
+  SELECT level, CASE WHEN k <= 0 OR k >= n OR g < 2 OR v <= 0 THEN 10.0
+                     ELSE least(greatest((k / n) * (1 - k / n) / v - 1, 1.0), 10.0) END AS w FROM between_groups),
+prior AS (SELECT coalesce((SELECT k / n FROM sums WHERE level = 3), 0) AS rate, coalesce((SELECT w FROM w WHERE level = 1), 10.0) AS wh,
+                 coalesce((SELECT w FROM w WHERE level = 2), 10.0) AS wd, coalesce((SELECT w FROM w WHERE level = 3), 10.0) AS ws),
 rated AS (
   SELECT site, h.n, h.k, rate, (h.k + wh * ((d.k + wd * ((s.k + ws * rate) / (s.n + ws))) / (d.n + wd))) / (h.n + wh) AS q, h.n + wh AS size
   FROM h JOIN d USING (domain) JOIN s ON s.suffix = h.suffix, prior),

@@ -31,7 +31,7 @@ from ._util import stage
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Least and greatest weight of a prior, in pages: the labels of a site can always outweigh what is known of others.
-WEIGHTS = (1.0, 50.0)
+WEIGHTS = (1.0, 10.0)
 #: Suffixes of more than one label under which names are registered (fixed values; a parameter of url_filter).
 SUFFIXES = (
     "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.ng",
