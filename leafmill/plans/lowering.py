@@ -125,11 +125,8 @@ def selected(alternatives: DataFrame, *keys: str, depth: int) -> DataFrame:
     return done
 
 
-def _where(blocks: str, inlines: str) -> dict[str, tuple[Column | None, Column | None]]:
-    """Rule -> arrays of the blocks and of the inlines that use it, from the nested rows alone, before anything is rendered: what is in the
-    body and in notes that the body refers to.  One row is one document, and nothing is shuffled.  A block's place among its neighbours in
-    preorder tells its children: the next row is its first child if it names it as parent, and there are more if that one's
-    subtree ends before the block's."""
+def _held(blocks: str, inlines: str) -> Column:
+    """What is asked of every node, worked out once for a document: notes that the body refers to, and tables in tables."""
     notes = F.transform(F.filter(inlines, lambda i: (i["tag"] == "note") & (i["forest"] == 0)), lambda i: i["note"] + 1)
 
     def live(x: Column) -> Column:
@@ -141,6 +138,21 @@ def _where(blocks: str, inlines: str) -> dict[str, tuple[Column | None, Column |
     tables = F.filter(blocks, lambda b: (b["tag"] == "table") & live(b))
     start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<struct<a:int,z:int>>").alias("inner"))
     inside = F.aggregate(tables, start, lambda s, t: F.when(t["node"] < s["until"], F.struct(s["until"].alias("until"), F.array_append(s["inner"], F.struct(t["node"].alias("a"), end(t).alias("z"))).alias("inner"))).otherwise(F.struct(end(t).alias("until"), s["inner"].alias("inner"))), lambda s: s["inner"])
+    return F.struct(notes.alias("notes"), inside.alias("inside"))
+
+
+def _where(blocks: str, inlines: str, held: Column) -> dict[str, tuple[Column | None, Column | None]]:
+    """Rule -> arrays of the blocks and of the inlines that use it, from the nested rows alone, before anything is rendered: what is in the
+    body and in notes that the body refers to.  One row is one document, and nothing is shuffled.  A block's place among its neighbours in
+    preorder tells its children: the next row is its first child if it names it as parent, and there are more if that one's
+    subtree ends before the block's."""
+    notes, inside = held["notes"], held["inside"]
+
+    def live(x: Column) -> Column:
+        return (x["forest"] == 0) | F.array_contains(notes, x["forest"])
+
+    def end(b: Column) -> Column:
+        return b["node"] + b["subtree_len"]
 
     def deep(b: Column) -> Column:
         """Under a nested table, which is one placeholder: nothing there is priced."""
@@ -182,8 +194,11 @@ def uses(blocks: str = "blocks", inlines: str = "inlines") -> Column:
     def size(x: Column | None) -> Column:
         return F.lit(0) if x is None else F.size(x)
 
-    entries = F.array(*[F.struct(F.lit(rule).alias("key"), (size(b) + size(i)).cast("bigint").alias("value")) for rule, (b, i) in _where(blocks, inlines).items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+    def counted(held: Column) -> Column:
+        entries = F.array(*[F.struct(F.lit(rule).alias("key"), (size(b) + size(i)).cast("bigint").alias("value")) for rule, (b, i) in _where(blocks, inlines, held).items()])
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+
+    return F.get(F.transform(F.array(_held(blocks, inlines)), counted), F.lit(0))
 
 
 def refused_nodes(parsed: DataFrame, grade: str, *keys: str) -> DataFrame:
@@ -193,8 +208,10 @@ def refused_nodes(parsed: DataFrame, grade: str, *keys: str) -> DataFrame:
     def named(rule: str, kind: str, x: Column | None) -> Column:
         return none if x is None else F.transform(x, lambda n: F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), n.alias("node")))
 
-    parts = [named(rule, kind, x) for rule, found in _where("blocks", "inlines").items() if any(RULES[rule][: GRADES[grade]]) for kind, x in zip(("block", "inline"), found, strict=True)]
-    return parsed.select(*keys, F.explode(F.concat(none, *parts)).alias("r")).select(*keys, "r.*")
+    def refused_of(held: Column) -> Column:
+        return F.concat(none, *[named(rule, kind, x) for rule, found in _where("blocks", "inlines", held).items() if any(RULES[rule][: GRADES[grade]]) for kind, x in zip(("block", "inline"), found, strict=True)])
+
+    return parsed.select(*keys, F.explode(F.get(F.transform(F.array(_held("blocks", "inlines")), refused_of), F.lit(0))).alias("r")).select(*keys, "r.*")
 
 
 def hits(parsed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
