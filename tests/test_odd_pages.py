@@ -3,7 +3,11 @@
 import duckdb
 import pytest
 
+from leafmill.functions.limits import DEFAULT
+from leafmill.functions.markdown_writer import render
+from leafmill.functions.tree import Document, Node
 from leafmill.plans import queries
+from leafmill.sources import registry
 
 TITLES = ["A &amp;&amp; b &amp", "token = &quot;0b9", "token = &quot", "+1 (278) 555 The", "# of", "&gt b", "- a_b *c*", "plain"]
 
@@ -26,3 +30,17 @@ def agrees(spark, folder, name):
 
 def test_heading_text_of_cut_titles(spark, pages):
     agrees(spark, pages, "html_heading_text")
+
+
+def test_markdown_of_odd_headings(spark, pages):
+    agrees(spark, pages, "html_to_markdown")
+
+
+def test_headings_are_read_as_they_were_written():
+    for words in (["+1"], ["#"], ["#", "of"], ["a", "##"], ["-", "b"], [">", "c"], ["a#"]):
+        doc = Document()
+        kids = [x for w in words for x in (Node("text", text=w), Node("space"))][:-1]
+        doc.body = [Node("heading", kids=kids, level=1)]
+        md = render(doc)[0]
+        again = registry.READERS["markdown"](md.encode(), "a.md", DEFAULT)
+        assert [[k.text for k in b.kids if k.tag == "text"] for b in again.body] == [words] and render(again)[0] == md
