@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from leafmill.operators import convert
 from leafmill.plans import lowering
 
 
@@ -15,3 +16,12 @@ def test_choice_broadcasts_no_nodes(spark, capsys):
     out.explain()  # as it ran
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tasks_grow_in_number_with_the_scan(spark, tmp_path, monkeypatch):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/few")
+    scan = spark.read.parquet(f"{tmp_path}/few")
+    assert convert.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(convert, "SHARE", 10)
+    out = convert.spread(scan)
+    assert out.rdd.glom().map(len).collect() == [10] * 10 and out.count() == 100
