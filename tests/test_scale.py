@@ -25,3 +25,8 @@ def test_tasks_grow_in_number_with_the_scan(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(convert, "SHARE", 10)
     out = convert.spread(scan)
     assert out.rdd.glom().map(len).collect() == [10] * 10 and out.count() == 100
+
+
+def test_rules_share_one_pass_over_inlines(spark):
+    plan = str(lowering.uses())
+    assert plan.count("filter(inlines") == 3  # twice for notes, once for what rules may apply to
