@@ -15,9 +15,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, MapType, StringType, StructType, _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from leafmill import schema
 from leafmill.functions.limits import DEFAULT, LimitExceeded, Limits
@@ -30,8 +31,10 @@ from leafmill.sources.detect import EXTENSIONS, extension, resolve
 Read = Callable[[bytes, str, Limits], Document]
 #: (document, resource number -> published name) -> the artifact, and how often each lowering rule was used.
 Write = Callable[[Document, dict[int, str]], tuple[str, dict[str, int]]]
-#: Rows are whole documents, so batches are small.
-BATCH = 64
+#: Rows are whole documents, so batches are small: so many documents at most, and so many bytes or nodes of them unless one alone has more.
+BATCH, BATCH_BYTES, BATCH_NODES = 64, 4 << 20, 1 << 16
+#: What rendering adds.
+ARTIFACT = "artifact string, losses map<string,bigint>"
 #: Most documents of a scan that spread() gives to a task.
 SHARE = 2000
 
@@ -61,6 +64,18 @@ def pixel_size(content: bytes | None) -> tuple[int | None, int | None]:
     return None, None
 
 
+def pieces(batch: pa.RecordBatch, weights: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most BATCH rows, and of a weight of at most ``most`` unless one row alone has more."""
+    begin, held = 0, 0
+    for i, w in enumerate(weights.to_pylist()):
+        if i > begin and (i - begin == BATCH or held + (w or 0) > most):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += w or 0
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def rows_of(doc: Document) -> dict:
     blocks, inlines = flatten(doc)
     resources = []
@@ -88,6 +103,17 @@ def report_rows(doc: Document) -> list[dict]:
     return [{"seq": i, "code": r.code, "severity": r.severity, "consequence": r.consequence, "loss": r.loss, "directions": r.directions, "exit_class": r.exit_class, "count": r.count, "contexts": r.contexts} for i, r in enumerate(doc.reports)]
 
 
+def rendered(doc: Document, names: dict[int, str], reports: list[dict], write: Write, most: int) -> dict:
+    """status, artifact, losses and reports of a document that was read; reports: the rows of what its reader said."""
+    text, hits = write(doc, names)
+    own, status = Document(), "success"
+    report_losses(own, hits)
+    if len(text.encode()) > most:
+        own.report("core.output-too-large", "failure", exit_class="limit", context="max_output_bytes")
+        text, status = None, "failed"
+    return {"status": status, "artifact": text, "losses": list(hits.items()), "reports": reports + [x | {"seq": len(reports) + x["seq"]} for x in report_rows(own)]}
+
+
 def left_out(docs: DataFrame, content: Column) -> Column:
     """The length of a document that comes without its bytes."""
     return (F.when(content.isNull(), F.col("length").cast("long")) if "length" in docs.columns else F.lit(None).cast("long")).alias("__length")
@@ -167,27 +193,35 @@ class Engine:
             own = own.when(extension(name).isin(*endings), F.lit(f))
         return F.coalesce(fmt, own), F.when(fmt.isNotNull() | own.isNull(), note)
 
-    def parse(self, docs: DataFrame, name: Column | str = "name", content: Column | str = "content", declared: Column | None = None, from_file: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """docs -> keep columns, name, status, format, blocks, inlines, metadata, resources, facets, plugins, reports."""
+    def parse(self, docs: DataFrame, name: Column | str = "name", content: Column | str = "content", declared: Column | None = None, from_file: bool = False, keep: tuple[str, ...] = ("doc_id",), to: str | None = None, media_stem: Column | None = None) -> DataFrame:
+        """docs -> keep columns, name, status, format, blocks, inlines, metadata, resources, facets, plugins, reports.
+
+        to: render in the same pass, with what render() adds after this one: trees then neither go to a second Python worker nor are
+        put together again there."""
         name = F.col(name) if isinstance(name, str) else name
         content = (F.col(content) if isinstance(content, str) else content).cast("binary")
         fmt, note = self.resolved(name, content, declared, from_file)
-        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("__format"), note.alias("__note"), left_out(docs, content))
-        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keep, "name").schema.fields) + ", " + schema.PARSED
-        out, readers, limits, kept = arrow_schema(ddl), self.readers, self.limits, [*keep, "name"]
+        stem = F.lit("document") if media_stem is None else media_stem
+        base = docs.select(*keep, name.alias("name"), content.alias("__content"), fmt.alias("__format"), note.alias("__note"), left_out(docs, content), stem.alias("__stem"))
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keep, "name").schema.fields) + ", " + schema.PARSED + (f", {ARTIFACT}" if to else "")
+        out, readers, limits, kept, write = arrow_schema(ddl), self.readers, self.limits, [*keep, "name"], self.writer(to) if to else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for a in range(0, whole.num_rows, BATCH):
-                    batch = whole.slice(a, BATCH)
+                for batch in pieces(whole, pc.binary_length(whole.column("__content")), BATCH_BYTES):
                     rows = []
-                    for r in batch.select(["__content", "name", "__format", "__note", "__length"]).to_pylist():
+                    for r in batch.select(["__content", "name", "__format", "__note", "__length", "__stem"]).to_pylist():
                         status, doc = parse_one(r["__content"], r["name"], r["__format"], r["__note"], readers, limits, r["__length"])
-                        rows.append({"status": status, "format": r["__format"], **rows_of(doc)})
+                        row = {"status": status, "format": r["__format"], **rows_of(doc)}
+                        if write and status == "success":
+                            row |= rendered(doc, names_of(doc, r["__stem"]), row["reports"], write, limits.max_output_bytes)
+                        rows.append(row)
+                        del doc, row  # before the next one is read
                     made = pa.RecordBatch.from_pylist(rows, schema=pa.schema([f for f in out if f.name not in kept]))
                     yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made.columns, names=kept + made.schema.names)
 
-        return base.mapInArrow(run, ddl)
+        parsed = base.mapInArrow(run, ddl)
+        return parsed.withColumn("sha256", F.sha2(F.col("artifact").cast("binary"), 256)) if to else parsed
 
     def render(self, parsed: DataFrame, media_stem: Column | None = None, to: str = "markdown") -> DataFrame:
         """Adds artifact (null where the status is not success), sha256, and the uses of each lowering rule.  An artifact over its limit
@@ -197,30 +231,21 @@ class Engine:
         stem = F.lit("document") if media_stem is None else media_stem
         base = parsed.withColumn("__names", published_names("resources", stem))
         cols, write, most = parsed.columns, self.writer(to), self.limits.max_output_bytes
-        added = StructType(list(parsed.schema.fields)).add("artifact", "string").add("losses", MapType(StringType(), LongType()))
+        added = StructType([*parsed.schema.fields, *_parse_datatype_string(ARTIFACT).fields])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for a in range(0, whole.num_rows, BATCH):
-                    batch = whole.slice(a, BATCH)
+                for batch in pieces(whole, pc.add(pc.list_value_length(whole.column("blocks")), pc.list_value_length(whole.column("inlines"))), BATCH_NODES):
                     text, losses, reports, status = [], [], [], []
                     for r in batch.select(["status", "blocks", "inlines", "reports", "__names"]).to_pylist():
-                        reports.append(r["reports"])
-                        status.append(r["status"])
-                        if r["status"] != "success":
-                            text.append(None)
-                            losses.append(None)
-                            continue
-                        names = {x["idx"]: x["name"] for x in r["__names"] or []}
-                        doc = unflatten(r["blocks"], r["inlines"])
-                        out, hits = write(doc, names)
-                        report_losses(doc, hits)
-                        if len(out.encode()) > most:
-                            doc.report("core.output-too-large", "failure", exit_class="limit", context="max_output_bytes")
-                            out, status[-1] = None, "failed"
-                        reports[-1] = r["reports"] + [x | {"seq": len(r["reports"]) + x["seq"]} for x in report_rows(doc)]
-                        text.append(out)
-                        losses.append(list(hits.items()))
+                        row = {"status": r["status"], "reports": r["reports"], "artifact": None, "losses": None}
+                        if r["status"] == "success":
+                            names = {x["idx"]: x["name"] for x in r["__names"] or []}
+                            row |= rendered(unflatten(r["blocks"], r["inlines"]), names, r["reports"], write, most)
+                        text.append(row["artifact"])
+                        losses.append(row["losses"])
+                        reports.append(row["reports"])
+                        status.append(row["status"])
                     told = pa.array(reports, batch.column("reports").type)
                     yield pa.RecordBatch.from_arrays([told if c == "reports" else pa.array(status, pa.string()) if c == "status" else batch.column(c) for c in cols] + [pa.array(text, pa.string()), pa.array(losses, pa.map_(pa.string(), pa.int64()))], names=[*cols, "artifact", "losses"])
 
@@ -270,8 +295,7 @@ class Engine:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for a in range(0, whole.num_rows, BATCH):
-                    batch = whole.slice(a, BATCH)
+                for batch in pieces(whole, pc.binary_length(whole.column("__content")), BATCH_BYTES):
                     rows = []
                     for r in batch.select(["__content", "name", "format", "__note", "__length", "__stem"]).to_pylist():
                         status, doc = parse_one(r["__content"], r["name"], r["format"], r["__note"], readers, limits, r["__length"])
@@ -282,6 +306,7 @@ class Engine:
                             status, text = "failed", None
                         n = count(doc)
                         rows.append({"status": status, "markdown": text, "n_blocks": n[0], "n_headings": n[1], "n_links": n[2], "losses": list(hits.items()), "reports": report_rows(doc)})
+                        del doc  # before the next one is read
                     made = pa.RecordBatch.from_pylist(rows, schema=types)
                     yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made.columns, names=kept + made.schema.names)
 

@@ -1,9 +1,11 @@
 """What keeps work in proportion to the input: plans and splits."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from leafmill.functions.limits import Limits
 from leafmill.operators import convert
-from leafmill.plans import lowering
+from leafmill.plans import lowering, queries
 
 
 def test_choice_broadcasts_no_nodes(spark, capsys):
@@ -30,3 +32,31 @@ def test_tasks_grow_in_number_with_the_scan(spark, tmp_path, monkeypatch):
 def test_rules_share_one_pass_over_inlines(spark):
     plan = str(lowering.uses())
     assert plan.count("filter(inlines") == 3  # twice for notes, once for what rules may apply to
+
+
+def test_manifests_take_one_pass(spark, tmp_path, capsys):
+    spark.createDataFrame([(k, f"S{k}", 1.5 * k) for k in range(5)], "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = queries.manifest_digests(spark, str(tmp_path))
+    assert out.where("source_agrees").count() == 5
+    out.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 2  # one that makes the documents, one that reads and writes them
+
+
+def test_rendering_in_the_same_pass_gives_the_same(spark):
+    rows = [("a.html", "<h1>T</h1><p><u>a</u> b<sup>2</sup><ul><li>x</ul><table><tr><td><table></table></table>"), ("b.csv", "a,b\n1\n"), ("c.csv", 'a,"b'), ("d.md", "![alt](data:image/png;base64,AAAA) *x*"), ("e.nosuch", "x"), ("f.txt", "")]
+    docs = spark.createDataFrame([(i, n, c.encode()) for i, (n, c) in enumerate(rows)], "doc_id long, name string, content binary")
+    engine = convert.Engine()
+    two, one = engine.render(engine.parse(docs), F.lit("m")), engine.parse(docs, to="markdown", media_stem=F.lit("m"))
+    assert one.columns == two.columns
+    got, want = ([r.asDict(True) for r in x.orderBy("doc_id").collect()] for x in (one, two))
+    assert got == want and [r["status"] for r in got] == ["success", "success", "failed", "success", "failed", "success"]
+    small = convert.Engine(limits=Limits(max_output_bytes=8))
+    got, want = ([r.asDict(True) for r in x.orderBy("doc_id").collect()] for x in (small.parse(docs, to="markdown"), small.render(small.parse(docs))))
+    assert got == want and "failed" in {r["status"] for r in got[:2]}
+
+
+def test_pieces_are_bounded_by_bytes():
+    batch = pa.record_batch({"x": list(range(200)), "w": [10] * 100 + [500, None] + [1] * 98})
+    got = list(convert.pieces(batch, batch.column("w"), 100))
+    assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in got] == [10] * 10 + [1, 64, 35]  # a large row is alone
