@@ -276,11 +276,14 @@ class Engine:
 
         def count(doc: Document) -> tuple[int, int, int]:
             blocks = heads = links = 0
-            todo = [*doc.body, *(x for n in doc.notes for x in n)]
+            todo = [iter(doc.body), *map(iter, doc.notes)]  # a large table makes its rows as they are asked for
             from leafmill.functions.tree import INLINE_LEAVES
 
             while todo:
-                node = todo.pop()
+                node = next(todo[-1], None)
+                if node is None:
+                    todo.pop()
+                    continue
                 blocks += 1
                 if node.tag in INLINE_LEAVES:
                     heads += node.tag == "heading"
@@ -290,7 +293,7 @@ class Engine:
                         links += x.tag == "link"
                         inner += x.kids
                 else:
-                    todo += node.kids
+                    todo.append(iter(node.kids))
             return blocks, heads, links
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

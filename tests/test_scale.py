@@ -1,11 +1,16 @@
 """What keeps work in proportion to the input: plans and splits."""
 
+import tracemalloc
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions.limits import Limits
+from leafmill.functions import markdown_writer, tree
+from leafmill.functions.limits import LimitExceeded, Limits
 from leafmill.operators import convert
 from leafmill.plans import lowering, queries
+from leafmill.sources import csv
 
 
 def test_choice_broadcasts_no_nodes(spark, capsys):
@@ -60,3 +65,22 @@ def test_pieces_are_bounded_by_bytes():
     got = list(convert.pieces(batch, batch.column("w"), 100))
     assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
     assert [p.num_rows for p in got] == [10] * 10 + [1, 64, 35]  # a large row is alone
+
+
+def test_rows_of_large_tables_are_made_one_at_a_time(monkeypatch):
+    cells = "".join(f'{i},"some ""name"" {i}", x  y\r\n' + ("odd|one\n" if i % 50 == 7 else "") for i in range(3000))
+    made = {}
+    for large in (1 << 60, 1):
+        monkeypatch.setattr(csv, "LARGE", large)
+        for text in (cells, "only,head\n", "", "a\n\nb"):
+            tracemalloc.start()
+            doc = csv.read(text.encode())
+            held = tracemalloc.get_traced_memory()[0]
+            tracemalloc.stop()
+            made.setdefault(text, []).append((markdown_writer.render(doc), tree.flatten(doc), doc.reports, tree.flatten(doc)))
+            if text == cells:
+                assert (held > 20 * len(text)) == (large > 1), held
+    assert all(a == b and a[1] == a[3] for a, b in made.values())
+    for broken, limits, raised in (("a\n1\n" + 'x,"', Limits(max_nodes=5), tree.Refused), ("a\n1\n2\n3", Limits(max_nodes=5), LimitExceeded)):
+        with pytest.raises(raised):
+            csv.read(broken.encode(), "", limits)
