@@ -26,6 +26,7 @@ from leafmill.functions.markdown_writer import render, report_losses
 from leafmill.functions.tree import Document, Refused, flatten, unflatten
 from leafmill.operators.resources import ENDINGS
 from leafmill.sources import registry
+from leafmill.sources import text as text_source
 from leafmill.sources.detect import EXTENSIONS, extension, resolve
 
 Read = Callable[[bytes, str, Limits], Document]
@@ -33,6 +34,8 @@ Read = Callable[[bytes, str, Limits], Document]
 Write = Callable[[Document, dict[int, str]], tuple[str, dict[str, int]]]
 #: Rows are whole documents, so batches are small: so many documents at most, and so many bytes or nodes of them unless one alone has more.
 BATCH, BATCH_BYTES, BATCH_NODES = 64, 4 << 20, 1 << 16
+#: Inlines without any in them.
+WORDS = frozenset({"text", "space", "soft_break"})
 #: What rendering adds.
 ARTIFACT = "artifact string, losses map<string,bigint>"
 #: Most documents of a scan that spread() gives to a task.
@@ -273,6 +276,8 @@ class Engine:
         more = f"status string, markdown string, n_blocks int, n_headings int, n_links int, losses map<string,bigint>, reports array<{schema.REPORT}>"
         types = arrow_schema(more)
         readers, limits, kept, write = self.readers, self.limits, [*keep, "name", "format"], self.writer(to)
+        if write is render and readers.get("text") is text_source.read:
+            readers = readers | {"text": text_source.written}
 
         def count(doc: Document) -> tuple[int, int, int]:
             blocks = heads = links = 0
@@ -287,11 +292,11 @@ class Engine:
                 blocks += 1
                 if node.tag in INLINE_LEAVES:
                     heads += node.tag == "heading"
-                    inner = list(node.kids)
+                    inner = [x for x in node.kids if x.tag not in WORDS]
                     while inner:
                         x = inner.pop()
                         links += x.tag == "link"
-                        inner += x.kids
+                        inner += [y for y in x.kids if y.tag not in WORDS]
                 else:
                     todo.append(iter(node.kids))
             return blocks, heads, links
@@ -302,12 +307,15 @@ class Engine:
                     rows = []
                     for r in batch.select(["__content", "name", "format", "__note", "__length", "__stem"]).to_pylist():
                         status, doc = parse_one(r["__content"], r["name"], r["format"], r["__note"], readers, limits, r["__length"])
-                        text, hits = write(doc, names_of(doc, r["__stem"])) if status == "success" else (None, {})
+                        if doc.written:
+                            text, hits = doc.written[0], {}
+                        else:
+                            text, hits = write(doc, names_of(doc, r["__stem"])) if status == "success" else (None, {})
                         report_losses(doc, hits)
                         if text is not None and len(text.encode()) > limits.max_output_bytes:
                             doc.report("core.output-too-large", "failure", exit_class="limit", context="max_output_bytes")
                             status, text = "failed", None
-                        n = count(doc)
+                        n = (doc.written[1], 0, 0) if doc.written else count(doc)
                         rows.append({"status": status, "markdown": text, "n_blocks": n[0], "n_headings": n[1], "n_links": n[2], "losses": list(hits.items()), "reports": report_rows(doc)})
                         del doc  # before the next one is read
                     made = pa.RecordBatch.from_pylist(rows, schema=types)

@@ -1,5 +1,6 @@
 """What keeps work in proportion to the input: plans and splits."""
 
+import random
 import tracemalloc
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from leafmill.functions import markdown_writer, tree
 from leafmill.functions.limits import LimitExceeded, Limits
 from leafmill.operators import convert
 from leafmill.plans import lowering, queries
-from leafmill.sources import csv
+from leafmill.sources import csv, text
 
 
 def test_choice_broadcasts_no_nodes(spark, capsys):
@@ -84,3 +85,28 @@ def test_rows_of_large_tables_are_made_one_at_a_time(monkeypatch):
     for broken, limits, raised in (("a\n1\n" + 'x,"', Limits(max_nodes=5), tree.Refused), ("a\n1\n2\n3", Limits(max_nodes=5), LimitExceeded)):
         with pytest.raises(raised):
             csv.read(broken.encode(), "", limits)
+
+
+def test_texts_are_written_as_they_are_read_without_a_tree(spark):
+    """Any text gives what its tree gives, with no more than a few objects for each line."""
+    r = random.Random(7)
+    signs = ["a", "b1", " ", "  ", "\n", "\n", "\t", "\r", "\r\n", "#", ">", "+", "-", "_", "!", "[", "]", "|", "<", "&", "amp;", "*", "\\", "`", "\xa0", "\x0b", "é", "# ", "1. "]
+    for s in ["", "\n", "\r\r\n", "a\n\r\r\nb", " a \n b", *("".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(3000))]:
+        doc = text.read(s.encode())
+        assert text.written(s.encode()).written == (markdown_writer.render(doc)[0], len(doc.body)), s
+    with pytest.raises(tree.Refused):
+        text.written(b"\xff")
+    with pytest.raises(LimitExceeded):
+        text.written(b"a b c", "", Limits(max_nodes=3))
+    docs = spark.createDataFrame([(0, "d.txt", b"a  b\n\n# c")], "doc_id long, name string, content binary")
+    own = convert.Engine().with_reader("text", lambda content, name, limits: text.read(content.upper(), name, limits))
+    rows = [e.convert(docs).select("status", "markdown", "n_blocks").first() for e in (convert.Engine(), own)]
+    assert rows == [("success", "a b\n\n\\# c\n", 2), ("success", "A B\n\n\\# C\n", 2)]
+
+
+def test_runs_of_words_are_one_escape(monkeypatch):
+    calls = []
+    real = markdown_writer.escape
+    monkeypatch.setattr(markdown_writer, "escape", lambda *a: calls.append(a) or real(*a))
+    doc = text.read(b"#a _b_ c_d\n# e\nf &amp; !x [y\n")
+    assert markdown_writer.render(doc)[0] == "\\#a \\_b\\_ c_d\n\\# e\nf \\&amp; !x \\[y\n" and len(calls) == 1
